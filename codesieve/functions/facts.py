@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import ast
 import warnings
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-_POSITION = [("line", pa.int32()), ("col", pa.int32())]
+# seq numbers the nodes of a file breadth first, the order in which matches are listed
+_POSITION = [("line", pa.int32()), ("col", pa.int32()), ("seq", pa.int32())]
 FACTS_ARROW_TYPE = pa.struct([
     ("parsed", pa.bool_()),
     ("calls", pa.list_(pa.struct(_POSITION + [
@@ -120,9 +122,10 @@ def source_facts(text: str) -> dict:
         return facts
     facts["parsed"] = True
     # Each entry carries the functions it lies in and the names of enclosing exception handlers.
-    stack = [(tree, (), ())]
-    while stack:
-        node, inside, handlers = stack.pop()
+    queue, seq = deque([(tree, (), ())]), 0
+    while queue:
+        node, inside, handlers = queue.popleft()
+        seq += 1
         if isinstance(node, ast.FunctionDef):
             fact = _function(node)
             facts["functions"].append(fact)
@@ -130,7 +133,7 @@ def source_facts(text: str) -> dict:
         elif isinstance(node, _DECISIONS):
             for fact in inside:
                 fact["complexity"] += 1
-        at = {"line": getattr(node, "lineno", 1), "col": getattr(node, "col_offset", 0)}
+        at = {"line": getattr(node, "lineno", 1), "col": getattr(node, "col_offset", 0), "seq": seq}
         if isinstance(node, ast.Call):
             facts["calls"].append(at | _names(node.func) | {
                 "args": [_argument(a) for a in node.args],
@@ -150,7 +153,7 @@ def source_facts(text: str) -> dict:
             facts["imports"].append(node.module)
         elif isinstance(node, ast.ExceptHandler) and node.name:
             handlers = handlers + (node.name,)
-        stack.extend((child, inside, handlers) for child in ast.iter_child_nodes(node))
+        queue.extend((child, inside, handlers) for child in ast.iter_child_nodes(node))
     return facts
 
 

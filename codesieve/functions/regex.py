@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codesieve.functions.expressions import let
+from codesieve.functions.expressions import let, sql_literal
 
 # Python's str.isspace() characters, written for a Java character class.
 SPACE_CLASS = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -160,40 +160,39 @@ def locate_matches(text: Column, pattern: Column, group_count: Column | None = N
                lambda matches: let(located(matches), fold))
 
 
-def could_match(text: Column, fold: Column, spec: RegexSpec, language: Column | None) -> Column:
-    """Cheap tests first (language, literals), the expression itself last."""
-    test = F.lit(True)
+def could_match(spec: RegexSpec, text: str, fold: str, language: str | None) -> str:
+    """SQL condition; cheap tests first (language, literals), the expression itself last."""
+    tests = []
     if spec.languages is not None and language is not None:
-        test = language.isin(*spec.languages)
+        tests.append(f"{language} IN ({', '.join(map(sql_literal, spec.languages))})")
     for words in spec.needs:
-        any_word = F.lit(False)
-        for word in words:
-            any_word = any_word | fold.contains(word)
-        test = test & any_word
-    return test & text.rlike(spec.java)
+        tests.append("(" + " OR ".join(f"contains({fold}, {sql_literal(w)})" for w in words) + ")")
+    return " AND ".join(tests + [f"{text} RLIKE {sql_literal(spec.java)}"])
+
+
+def regex_hits(text: str, fold: str, specs: list[RegexSpec], language: str | None = None) -> Column:
+    """Numbers of the expressions that match a text, given by column name."""
+    cases = [f"CASE WHEN {could_match(spec, text, fold, language)} THEN {number} END"
+             for number, spec in enumerate(specs)]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
+
 
+def locate_hits(text: Column, hits: Column, specs: list[RegexSpec], with_groups: bool = False) -> Column:
+    """All matches of the expressions numbered in ``hits``, as one flat array.
 
-def regex_hits(text: Column, fold: Column, specs: list[RegexSpec], language: Column | None = None) -> Column:
-    """Array of the expressions that match a text, each with the values of its rule."""
+    ``rule`` holds the values of the rule an expression belongs to.
+    """
     names = sorted({k for s in specs for k in s.attributes})
-    tests = []
-    for spec in specs:
-        values = [F.lit(spec.owner_id).alias("owner_id"), F.lit(spec.pattern_no).alias("pattern_no"),
-                  F.lit(spec.java).alias("java"), F.lit(spec.pattern).alias("pattern"),
-                  F.lit(spec.group_count).alias("group_count")]
-        values += [F.lit(spec.attributes.get(n)).cast("string").alias(n) for n in names]
-        tests.append(F.when(could_match(text, fold, spec, language), F.struct(*values)))
-    return F.array_compact(F.array(*tests))
-
-
-def locate_hits(text: Column, hits: Column, attributes: list[str], with_groups: bool = False) -> Column:
-    """All matches of all expressions of ``regex_hits``, as one flat array."""
-    def one(hit: Column) -> Column:
-        found = locate_matches(text, hit["java"], hit["group_count"] if with_groups else None)
+    known = F.expr(sql_literal([{
+        "pattern_no": s.pattern_no, "java": s.java, "pattern": s.pattern,
+        "group_count": s.group_count,
+        "rule": {"owner_id": s.owner_id} | {n: s.attributes.get(n) for n in names}} for s in specs]))
+
+    def one(spec: Column) -> Column:
+        found = locate_matches(text, spec["java"], spec["group_count"] if with_groups else None)
         return F.transform(found, lambda m, i: F.struct(
-            hit["owner_id"].alias("owner_id"), hit["pattern_no"].alias("pattern_no"),
-            (i + 1).alias("match_no"), m["line"].alias("line_number"), m["col"].alias("column_number"),
-            m["text"].alias("matched_text"), hit["pattern"].alias("pattern"), m["groups"].alias("groups"),
-            *[hit[a].alias(a) for a in attributes]))
+            spec["rule"].alias("rule"), spec["pattern_no"].alias("pattern_no"), (i + 1).alias("match_no"),
+            m["line"].alias("line_number"), m["col"].alias("column_number"), m["text"].alias("matched_text"),
+            spec["pattern"].alias("pattern"), m["groups"].alias("groups")))
 
-    return F.flatten(F.transform(hits, one))
+    return F.flatten(F.transform(hits, lambda number: let(F.get(known, number), one)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codesieve.catalog import fixed_values as V
-from codesieve.functions.expressions import contains_any, let, literals
+from codesieve.functions.expressions import contains_any, let, literals, sql_literal
 
 _RULES = {r[0]: r for r in V.RULES}
 
@@ -20,10 +20,10 @@ _RULES = {r[0]: r for r in V.RULES}
 def match(rule_id: str, title: str, severity: str, confidence: str, owasp_category: str,
           at: Column, detail: Column) -> Column:
     """A match at the position of a fact; custom structural rules build theirs with it."""
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"), F.lit(title).alias("title"), F.lit(severity).alias("severity"),
-        F.lit(confidence).alias("confidence"), F.lit(owasp_category).alias("owasp_category"),
-        detail.alias("detail"), at["line"].alias("line_number"), at["col"].alias("column_number"))
+    rule = {"owner_id": rule_id, "title": title, "severity": severity, "confidence": confidence,
+            "owasp_category": owasp_category}
+    return F.struct(F.expr(sql_literal(rule)).alias("rule"), detail.alias("detail"), at["line"].alias("line_number"),
+                    at["col"].alias("column_number"), at["seq"].alias("seq"))
 
 
 def _match(rule_id: str, at: Column, detail: Column, severity: str | None = None,

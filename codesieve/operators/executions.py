@@ -11,8 +11,9 @@ from codesieve.functions.expressions import let, literals
 
 
 def cap_matches(matches: Column, limit: int = V.MAX_MATCHES_PER_RULE) -> Column:
-    """First ``limit`` matches of one rule in one file, in match order (the feature itself is a limit)."""
-    return F.slice(matches, F.lit(1), F.lit(limit))
+    """First ``limit`` matches of one rule in one file, in match order (the limit is the feature)."""
+    in_order = F.array_sort(matches, lambda a, b: a["seq"] - b["seq"])
+    return F.when(F.size(matches) > limit, F.slice(in_order, F.lit(1), F.lit(limit))).otherwise(matches)
 
 
 def rule_executions(file_results: DataFrame, rules: DataFrame, max_matches: int = V.MAX_MATCHES_PER_RULE,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codesieve.catalog import fixed_values as V
 from codesieve.catalog import specs as S
 from codesieve.catalog import tables
-from codesieve.functions.expressions import let
+from codesieve.functions.expressions import bind, let
 from codesieve.functions.facts import code_facts
 from codesieve.functions.paths import base_name
 from codesieve.functions.regex import RegexSpec, folded, locate_hits, regex_hits
@@ -28,15 +28,12 @@ StructuralRule = Callable[[Column], Column]
 def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: str = "text",
                language: str | None = None, with_groups: bool = False) -> DataFrame:
     """One row per match of any expression: key, owner, position, matched text, groups, rule values."""
-    attributes = sorted({k for s in specs for k in s.attributes})
-    lang = F.col(language) if language else None
-    hits = texts.select(*key, F.col(text).alias("_text"), *([lang] if language and language not in key else [])) \
-        .withColumn("_fold", folded(F.col("_text"))) \
-        .withColumn("_hits", regex_hits(F.col("_text"), F.col("_fold"), specs, lang)) \
-        .filter(F.size("_hits") > 0)
-    found = hits.select(*key, F.explode(locate_hits(
-        F.col("_text"), F.col("_hits"), attributes, with_groups)).alias("m"))
-    matches = found.select(*key, "m.*")
+    extra = [F.col(language).alias("_language")] if language else []
+    base = bind(texts.select(*key, *extra, F.col(text).alias("_raw")), "_text", F.col("_raw")) \
+        .withColumn("_fold", folded(F.col("_text")))
+    hits = regex_hits("_text", "_fold", specs, "_language" if language else None)
+    found = base.select(*key, F.explode(locate_hits(F.col("_text"), hits, specs, with_groups)).alias("m"))
+    matches = found.select(*key, "m.rule.*", "m.*").drop("rule")
     return matches if with_groups else matches.drop("groups")
 
 
@@ -72,7 +69,8 @@ def structural_scan(facts: DataFrame, rules: list[str | StructuralRule], key: li
     """One row per match of structural rules, given by name or as an expression over facts."""
     expressions = [STRUCTURAL_RULES[r][2] if isinstance(r, str) else r for r in rules]
     return facts.select(*key, F.explode(structural_matches(F.col("facts"), expressions)).alias("m")) \
-        .select(*key, "m.*")
+        .select(*key, F.col("m.rule.owner_id").alias("rule_id"), "m.rule.*", "m.detail", "m.line_number",
+                "m.column_number").drop("owner_id")
 
 
 def code_imports(facts: DataFrame, key: list[str]) -> DataFrame:
@@ -100,12 +98,21 @@ def function_quality(facts: DataFrame, key: list[str],
 
 
 # ------------------------------------------------------------------ the whole scan of a file
-_FINDING_FIELDS = ["rule_id", "title", "severity", "confidence", "owasp_category", "detail",
-                   "line_number", "column_number"]
+# The type of one finding inside a file result.
+FINDING_TYPE = ("struct<rule_id:string,title:string,severity:string,confidence:string,owasp_category:string,"
+                "detail:string,line_number:int,column_number:int,seq:int,matched_text:string,"
+                "code_snippet:string,highlighted_code:string>")
 
 
-def _finding(match: Column, matched_text: Column) -> Column:
-    return F.struct(*[match[f].alias(f) for f in _FINDING_FIELDS], matched_text.alias("matched_text"))
+def _finding(match: Column, detail: Column, seq: Column, matched_text: Column, code: Callable[[Column], Column],
+             marked: Callable[[Column, Column], Column]) -> Column:
+    rule = match["rule"]
+    return let(code(match["line_number"]), lambda snippet_text: F.struct(
+        rule["owner_id"].alias("rule_id"), rule["title"].alias("title"), rule["severity"].alias("severity"),
+        rule["confidence"].alias("confidence"), rule["owasp_category"].alias("owasp_category"),
+        detail.alias("detail"), match["line_number"].alias("line_number"),
+        match["column_number"].alias("column_number"), seq.alias("seq"), matched_text.alias("matched_text"),
+        snippet_text.alias("code_snippet"), marked(snippet_text, matched_text).alias("highlighted_code")))
 
 
 def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | None = None,
@@ -122,35 +129,41 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
                   if rule_id in enabled and S.reaches(severity, min_severity)] + list(custom_rules)
     other = [c for c in files.columns if c not in ("path", "language", text, "size")]
 
-    base = files.withColumn("_fold", folded(F.col(text)))
-    found = []
+    # the text may be a decoding expression; bound, it is decoded once
+    base = bind(files.select("path", "language", "size", *other, F.col(text).alias("_raw")), "_text", F.col("_raw"))
+    body = F.col("_text")
+    by_regex = by_structure = None
     if specs:
-        base = base.withColumn("_hits", regex_hits(F.col(text), F.col("_fold"), specs))
-        found.append(F.transform(
-            locate_hits(F.col(text), F.col("_hits"), S.RULE_ATTRIBUTES),
-            lambda m: _finding(m.withField("rule_id", m["owner_id"]), m["matched_text"])))
+        base = base.withColumn("_fold", folded(body))
+        by_regex = locate_hits(body, regex_hits("_text", "_fold", specs), specs)
     if structural:
-        base = with_facts(base, text)
-        found.append(F.coalesce(F.transform(
-            structural_matches(F.col("facts"), structural), lambda m: _finding(m, F.lit(""))), F.array()))
-    matches = F.concat(*found) if found else F.array()
-
-    def with_snippets(all_matches: Column) -> Column:
-        return let(split_lines(F.col(text)), lambda lines: F.transform(all_matches, lambda m: let(
-            snippet(lines, m["line_number"], context), lambda code: m.withField("code_snippet", code)
-            .withField("highlighted_code", highlight(code, m["matched_text"], escape)))))
-
-    readable = F.coalesce(F.length(text), F.lit(0)) > 0
-    findings = let(matches, lambda m: F.when(F.size(m) > 0, with_snippets(m)))
+        base = with_facts(base, "_text")
+        by_structure = F.when(F.col("facts.parsed"), structural_matches(F.col("facts"), structural))
+
+    def findings_of(lines: Column) -> list[Column]:
+        code = lambda line: snippet(lines, line, context)
+        marked = lambda part, matched: highlight(part, matched, escape)
+        groups = []
+        if by_regex is not None:
+            groups.append(F.transform(by_regex, lambda m, i: _finding(
+                m, m["rule"]["detail"], i, m["matched_text"], code, marked)))
+        if by_structure is not None:
+            groups.append(F.coalesce(F.transform(by_structure, lambda m: _finding(
+                m, m["detail"], m["seq"], F.lit(""), code, marked)), F.array().cast(f"array<{FINDING_TYPE}>")))
+        return groups
+
+    readable = F.coalesce(F.length(body), F.lit(0)) > 0
+    if by_regex is not None or by_structure is not None:
+        findings = let(split_lines(body), lambda lines: F.concat(*findings_of(lines)))
+    else:
+        findings = F.array().cast(f"array<{FINDING_TYPE}>")
     parsed = F.col("facts.parsed") if structural else F.lit(None).cast("boolean")
-    scanned = base.select(
+    return bind(base.select(
         F.col("path").alias("filename"), "language",
         F.when(~readable, F.lit(V.UNREADABLE_FILE_ERROR)).alias("error"),
         F.col("size").alias("file_size"),
-        F.when(readable, nonblank_lines(F.col(text))).otherwise(0).alias("lines_of_code"),
-        parsed.alias("parsed"), findings.alias("findings"), *other)
-    # files without a match keep an empty array, so sizes and explodes need no null case
-    return scanned.withColumn("findings", F.coalesce("findings", F.array()))
+        F.when(readable, nonblank_lines(body)).otherwise(0).alias("lines_of_code"),
+        parsed.alias("parsed"), *other, findings.alias("_findings")), "findings", F.col("_findings")).drop("_findings")
 
 
 def python_rule(files: DataFrame, check: Callable, columns: list[str] = ("path", "text")) -> DataFrame:

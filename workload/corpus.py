@@ -315,17 +315,12 @@ CASE {extensions} END
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_id, template_id, path, text, size)`` for every order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    key = F.col("o_orderkey").cast("string")
     number = F.col("o_orderkey") % len(TEMPLATES)
-
-    def text_of(template: Template):
-        parts = [F.lit(part) for part in template.text.split(K)]
-        return F.concat(*[p for pair in zip(parts, [key] * len(parts)) for p in pair][:-1])
-
-    text = F.when(number == 0, text_of(TEMPLATES[0]))
-    for i, template in enumerate(TEMPLATES[1:], 1):
-        text = text.when(number == i, text_of(template))
-    return orders.select(
+    bodies = F.array(*[F.lit(t.text) for t in TEMPLATES])
+    text = F.replace(F.get(bodies, number.cast("int")), F.lit(K), F.col("o_orderkey").cast("string"))
+    # order keys are a few bytes each but become whole files: spread them before the text exists
+    spread = orders.repartition(spark.sparkContext.defaultParallelism * 4)
+    return spread.select(
         F.col("o_orderkey").alias("file_id"), number.cast("int").alias("template_id"),
         F.expr(PATH_SQL).alias("path"), text.alias("text")) \
         .withColumn("size", F.octet_length("text").cast("long"))
@@ -349,14 +344,10 @@ def quote(text: str) -> str:
     return " || ".join(out)
 
 
-def _text_sql(template: Template) -> str:
-    return " || CAST(o_orderkey AS STRING) || ".join(quote(part) for part in template.text.split(K))
-
-
 CODE_FILES_CTE = f"""code_files AS (
 SELECT o_orderkey AS file_id, CAST(o_orderkey % {len(TEMPLATES)} AS INTEGER) AS template_id,
   {PATH_SQL} AS path,
-  CASE o_orderkey % {len(TEMPLATES)} {" ".join(f"WHEN {i} THEN {_text_sql(t)}" for i, t in enumerate(TEMPLATES))} END AS text
+  replace([{", ".join(quote(t.text) for t in TEMPLATES)}][o_orderkey % {len(TEMPLATES)} + 1], '{K}', CAST(o_orderkey AS STRING)) AS text
 FROM orders)"""
 
 
