@@ -9,6 +9,7 @@ assignments, imports and functions.  Every rule is a column expression over thes
 from __future__ import annotations
 
 import ast
+import gc
 import warnings
 from collections import deque
 
@@ -37,7 +38,22 @@ FACTS_ARROW_TYPE = pa.struct([
         ("complexity", pa.int32())]))),
 ])
 
-_DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.BoolOp, ast.comprehension)
+# Facts are turned into Arrow after this many texts, so few Python objects live at a time.
+CHUNK_ROWS = 256
+
+_DECISIONS = {ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.BoolOp, ast.comprehension}
+# Nodes without children or facts of their own; half of a tree, never visited.
+_LEAVES = {ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal} | {
+    kind for kind in vars(ast).values() if isinstance(kind, type)
+    and issubclass(kind, (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop))}
+
+
+def _children(node: ast.AST):
+    for name in node._fields:
+        value = getattr(node, name, None)
+        for child in value if type(value) is list else (value,):
+            if isinstance(child, ast.AST) and type(child) not in _LEAVES:
+                yield child
 
 
 def _text(value: str) -> str:
@@ -112,6 +128,10 @@ def _function(node: ast.FunctionDef) -> dict:
             "complexity": 1}
 
 
+def _at(node: ast.AST, seq: int) -> dict:
+    return {"line": node.lineno, "col": node.col_offset, "seq": seq}
+
+
 def source_facts(text: str) -> dict:
     """Facts of one source text; a text that does not parse has none."""
     facts = {"parsed": False, "calls": [], "concats": [], "true_ifs": [], "attr_assigns": [],
@@ -125,42 +145,51 @@ def source_facts(text: str) -> dict:
     queue, seq = deque([(tree, (), ())]), 0
     while queue:
         node, inside, handlers = queue.popleft()
-        seq += 1
-        if isinstance(node, ast.FunctionDef):
-            fact = _function(node)
-            facts["functions"].append(fact)
-            inside = inside + (fact,)
-        elif isinstance(node, _DECISIONS):
+        kind, seq = type(node), seq + 1
+        if kind in _DECISIONS:
             for fact in inside:
                 fact["complexity"] += 1
-        at = {"line": getattr(node, "lineno", 1), "col": getattr(node, "col_offset", 0), "seq": seq}
-        if isinstance(node, ast.Call):
-            facts["calls"].append(at | _names(node.func) | {
+        if kind is ast.Call:
+            facts["calls"].append(_at(node, seq) | _names(node.func) | {
                 "args": [_argument(a) for a in node.args],
-                "kwargs": [_keyword(k) for k in node.keywords], "handlers": list(handlers)})
-        elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+                "kwargs": [_keyword(k) for k in node.keywords], "handlers": handlers})
+        elif kind is ast.BinOp and type(node.op) is ast.Add:
             left, right = _string(node.left), _string(node.right)
             if left is not None or right is not None:
-                facts["concats"].append(at | {"left_str": left, "right_str": right})
-        elif isinstance(node, ast.If) and isinstance(node.test, ast.Constant) and node.test.value is True:
-            facts["true_ifs"].append(at)
-        elif isinstance(node, ast.Assign):
-            facts["attr_assigns"] += [at | {"attr": t.attr, "is_const": isinstance(node.value, ast.Constant)}
-                                      for t in node.targets if isinstance(t, ast.Attribute)]
-        elif isinstance(node, ast.Import):
+                facts["concats"].append(_at(node, seq) | {"left_str": left, "right_str": right})
+        elif kind is ast.If and isinstance(node.test, ast.Constant) and node.test.value is True:
+            facts["true_ifs"].append(_at(node, seq))
+        elif kind is ast.Assign:
+            constant = isinstance(node.value, ast.Constant)
+            facts["attr_assigns"] += [_at(node, seq) | {"attr": target.attr, "is_const": constant}
+                                      for target in node.targets if isinstance(target, ast.Attribute)]
+        elif kind is ast.FunctionDef:
+            facts["functions"].append(_function(node))
+            inside = inside + (facts["functions"][-1],)
+        elif kind is ast.Import:
             facts["imports"] += [alias.name for alias in node.names]
-        elif isinstance(node, ast.ImportFrom) and node.module:
+        elif kind is ast.ImportFrom and node.module:
             facts["imports"].append(node.module)
-        elif isinstance(node, ast.ExceptHandler) and node.name:
+        elif kind is ast.ExceptHandler and node.name:
             handlers = handlers + (node.name,)
-        queue.extend((child, inside, handlers) for child in ast.iter_child_nodes(node))
+        for child in _children(node):
+            queue.append((child, inside, handlers))
     return facts
 
 
 @F.arrow_udf(from_arrow_type(FACTS_ARROW_TYPE))
 def code_facts(texts: pa.Array) -> pa.Array:
     """Facts of a batch of Python sources; null text gives null facts."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return pa.array([None if t is None else source_facts(t) for t in texts.to_pylist()],
-                        type=FACTS_ARROW_TYPE)
+    # Trees and facts hold no cycles, so the cycle collector would only walk them in vain.
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            parts = [pa.array([None if t is None else source_facts(t)
+                               for t in texts.slice(start, CHUNK_ROWS).to_pylist()], type=FACTS_ARROW_TYPE)
+                     for start in range(0, len(texts), CHUNK_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=FACTS_ARROW_TYPE)
+    finally:
+        if collecting:
+            gc.enable()

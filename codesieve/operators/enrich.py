@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.catalog import tables
+from codesieve.functions.expressions import broadcast_if_small, let
+from codesieve.functions.text import highlight, snippet, split_lines
 
 FINDING_COLUMNS = [
     "filename", "rule_id", "title", "description", "detail", "severity", "confidence", "owasp_category",
@@ -19,9 +21,19 @@ RECORD_COLUMNS = [
     "primary_remediation", "alternative_remediation", "references", "tags", "pattern_id"]
 
 
-def flatten_findings(file_results: DataFrame) -> DataFrame:
-    """One row per finding; the file's text is no longer in the row, only the snippet."""
-    return file_results.select("filename", F.explode("findings").alias("f")).select("filename", "f.*")
+def flatten_findings(file_results: DataFrame, context: int = 2, escape: bool = False) -> DataFrame:
+    """One row per finding, with its snippet.
+
+    Snippets come with the finding; only where a file has too many on too long lines
+    (``long_text`` is set) they are cut here, one row at a time.
+    """
+    flat = file_results.select("filename", "long_text", F.explode("findings").alias("f")) \
+        .select("filename", "long_text", "f.*")
+    cut = F.when(F.col("long_text").isNotNull(), let(
+        split_lines(F.col("long_text")), lambda lines: snippet(lines, F.col("line_number"), context)))
+    code = F.coalesce(F.col("code_snippet"), cut)
+    marked = F.coalesce(F.col("highlighted_code"), highlight(cut, F.col("matched_text"), escape))
+    return flat.withColumns({"code_snippet": code, "highlighted_code": marked}).drop("long_text")
 
 
 def enrich(matches: DataFrame, patterns: DataFrame | None = None,
@@ -30,7 +42,8 @@ def enrich(matches: DataFrame, patterns: DataFrame | None = None,
 
     Mapped rules take description, weaknesses and guidance from their pattern; a mapping to a
     missing pattern falls back to the category of the rule; unmapped rules fall in ``GEN``.
-    The three joined tables are fixed-size catalogue tables.
+    The built-in catalogue tables have a fixed size; tables of the caller are broadcast only when
+    they turn out small.
     """
     spark = matches.sparkSession
     mapping = tables.rule_pattern_map(spark) if rule_patterns is None else rule_patterns
@@ -42,7 +55,9 @@ def enrich(matches: DataFrame, patterns: DataFrame | None = None,
 
     known = mapping.select("rule_id", F.col("pattern_id").alias("_mapped")) \
         .join(catalogue, F.col("_mapped") == F.col("_pattern"), "left")
-    joined = matches.join(F.broadcast(known), "rule_id", "left") \
+    built_in = patterns is None and rule_patterns is None
+    known = F.broadcast(known) if built_in else broadcast_if_small(known)
+    joined = matches.join(known, "rule_id", "left") \
         .withColumn("owasp_category", F.when(F.col("_mapped").isNull(), "GEN").otherwise(F.col("owasp_category"))) \
         .withColumn("_code_used", F.coalesce("_pattern_category", "owasp_category")) \
         .join(F.broadcast(names), F.col("_code_used") == F.col("_code"), "left")

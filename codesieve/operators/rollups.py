@@ -33,7 +33,7 @@ def severity_by_file(file_results: DataFrame) -> DataFrame:
 
 def file_report(file_results: DataFrame) -> DataFrame:
     """File results with their finding count, nested findings included."""
-    return file_results.withColumn("vulnerability_count", F.size("findings"))
+    return file_results.drop("long_text").withColumn("vulnerability_count", F.size("findings"))
 
 
 def files_with_findings(file_results: DataFrame) -> DataFrame:

@@ -23,6 +23,9 @@ from codesieve.functions.text import highlight, nonblank_lines, snippet, split_l
 
 StructuralRule = Callable[[Column], Column]
 
+# Snippets of a file are kept in its row while they have at most this many characters together.
+MAX_SNIPPET_CHARS = 64 * 1024 * 1024
+
 
 # ------------------------------------------------------------------ regex operators
 def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: str = "text",
@@ -102,17 +105,29 @@ def function_quality(facts: DataFrame, key: list[str],
 FINDING_TYPE = ("struct<rule_id:string,title:string,severity:string,confidence:string,owasp_category:string,"
                 "detail:string,line_number:int,column_number:int,seq:int,matched_text:string,"
                 "code_snippet:string,highlighted_code:string>")
+_RULE_TYPE = ("struct<owner_id:string,title:string,severity:string,confidence:string,owasp_category:string>")
+_NO_REGEX = ("struct<rule:struct<owner_id:string,confidence:string,detail:string,owasp_category:string,"
+             "severity:string,title:string>,pattern_no:int,match_no:int,line_number:int,column_number:int,"
+             "matched_text:string,pattern:string,groups:array<string>>")
+_NO_STRUCTURE = f"struct<rule:{_RULE_TYPE},detail:string,line_number:int,column_number:int,seq:int>"
 
 
-def _finding(match: Column, detail: Column, seq: Column, matched_text: Column, code: Callable[[Column], Column],
-             marked: Callable[[Column, Column], Column]) -> Column:
+def _finding(match: Column, detail: Column, seq: Column, matched_text: Column, code: Column,
+             escape: bool) -> Column:
     rule = match["rule"]
-    return let(code(match["line_number"]), lambda snippet_text: F.struct(
+    return let(code, lambda c: F.struct(
         rule["owner_id"].alias("rule_id"), rule["title"].alias("title"), rule["severity"].alias("severity"),
         rule["confidence"].alias("confidence"), rule["owasp_category"].alias("owasp_category"),
         detail.alias("detail"), match["line_number"].alias("line_number"),
         match["column_number"].alias("column_number"), seq.alias("seq"), matched_text.alias("matched_text"),
-        snippet_text.alias("code_snippet"), marked(snippet_text, matched_text).alias("highlighted_code")))
+        c.alias("code_snippet"), highlight(c, matched_text, escape).alias("highlighted_code")))
+
+
+def _snippets_fit(text: Column, lines: Column, count: Column, context: int) -> Column:
+    """True when the snippets of a file stay small: by its length, else by its longest line."""
+    window = 2 * context + 1
+    longest = F.array_max(F.transform(lines, F.length))
+    return (count * F.length(text) <= MAX_SNIPPET_CHARS) | (count * window * longest <= MAX_SNIPPET_CHARS)
 
 
 def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | None = None,
@@ -140,30 +155,39 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
         base = with_facts(base, "_text")
         by_structure = F.when(F.col("facts.parsed"), structural_matches(F.col("facts"), structural))
 
-    def findings_of(lines: Column) -> list[Column]:
-        code = lambda line: snippet(lines, line, context)
-        marked = lambda part, matched: highlight(part, matched, escape)
-        groups = []
-        if by_regex is not None:
-            groups.append(F.transform(by_regex, lambda m, i: _finding(
-                m, m["rule"]["detail"], i, m["matched_text"], code, marked)))
-        if by_structure is not None:
-            groups.append(F.coalesce(F.transform(by_structure, lambda m: _finding(
-                m, m["detail"], m["seq"], F.lit(""), code, marked)), F.array().cast(f"array<{FINDING_TYPE}>")))
-        return groups
-
+    empty = F.array().cast(f"array<{FINDING_TYPE}>")
+
+    def with_code(lines: Column, regex: Column, structure: Column) -> Column:
+        # Very many findings on very long lines would not fit a row; those snippets are cut when the
+        # findings are flattened, from the text kept in ``long_text``.
+        fits = _snippets_fit(body, lines, (F.size(regex) + F.size(structure)).cast("long"), context)
+        return let(fits, lambda ok: F.concat(
+            F.transform(regex, lambda m, i: _finding(
+                m, m["rule"]["detail"], i, m["matched_text"],
+                F.when(ok, snippet(lines, m["line_number"], context)), escape)),
+            F.transform(structure, lambda m: _finding(
+                m, m["detail"], m["seq"], F.lit(""),
+                F.when(ok, snippet(lines, m["line_number"], context)), escape))))
+
+    def all_findings(regex: Column, structure: Column) -> Column:
+        return let(split_lines(body), lambda lines: with_code(lines, regex, structure))
+
+    no_structure = F.array().cast(f"array<{_NO_STRUCTURE}>")
+    no_regex = F.array().cast(f"array<{_NO_REGEX}>")
     readable = F.coalesce(F.length(body), F.lit(0)) > 0
-    if by_regex is not None or by_structure is not None:
-        findings = let(split_lines(body), lambda lines: F.concat(*findings_of(lines)))
-    else:
-        findings = F.array().cast(f"array<{FINDING_TYPE}>")
+    findings = let(by_regex if by_regex is not None else no_regex, lambda r: let(
+        F.coalesce(by_structure, no_structure) if by_structure is not None else no_structure,
+        lambda t: F.when(F.size(r) + F.size(t) > 0, all_findings(r, t)).otherwise(empty)))
     parsed = F.col("facts.parsed") if structural else F.lit(None).cast("boolean")
-    return bind(base.select(
+    scanned = bind(base.select(
         F.col("path").alias("filename"), "language",
         F.when(~readable, F.lit(V.UNREADABLE_FILE_ERROR)).alias("error"),
         F.col("size").alias("file_size"),
         F.when(readable, nonblank_lines(body)).otherwise(0).alias("lines_of_code"),
-        parsed.alias("parsed"), *other, findings.alias("_findings")), "findings", F.col("_findings")).drop("_findings")
+        parsed.alias("parsed"), *other, body.alias("_text"), findings.alias("_findings")),
+        "findings", F.col("_findings"))
+    cut_later = F.exists("findings", lambda f: f["code_snippet"].isNull())
+    return scanned.withColumn("long_text", F.when(cut_later, F.col("_text"))).drop("_findings", "_text")
 
 
 def python_rule(files: DataFrame, check: Callable, columns: list[str] = ("path", "text")) -> DataFrame:
