@@ -65,7 +65,9 @@ def dependency_audit(files: DataFrame, path: str = "path", text: str = "text") -
 def with_facts(files: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
     """Add the facts of Python files; files of other languages are not sent to the parser."""
     python_text = F.when((F.col(language) == "python") & (F.length(text) > 0), F.col(text))
-    return files.withColumn("facts", code_facts(python_text))
+    parsed = files.withColumn("_facts", code_facts(python_text))
+    # bound, or a filter the optimizer derives from a later explode would run the parser twice
+    return bind(parsed, "facts", F.col("_facts")).drop("_facts")
 
 
 def structural_scan(facts: DataFrame, rules: list[str | StructuralRule], key: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """File trees as a Spark data source.
 
-``spark.read.format("source_tree").load(root)`` lists every regular file below a directory,
-including hidden and empty files, as ``(path, name, size)``.  Contents are read in a second step
+``spark.read.format("source_tree").load(root)`` lists the entries of one directory, hidden and empty
+files included.  ``list_tree`` opens the directories below it on the executors, level by level, so
+neither the driver nor one task ever holds the whole tree.  Contents are read in a last step
 (``read_contents``), after the cheap filters on path and size, so excluded files are never opened.
 """
 
@@ -14,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LISTING_SCHEMA = "path string, name string, size bigint"
+LISTING_SCHEMA = "path string, size bigint, is_directory boolean"
+# Levels opened one by one and spread over the cluster before whole subtrees are walked.
+SPREAD_LEVELS = 3
+ROWS_PER_BATCH = 10_000
 
 
 def _list_local(directory: str) -> tuple[list[str], list[tuple[str, int]]]:
@@ -53,52 +57,25 @@ def list_directory(directory: str) -> tuple[list[str], list[tuple[str, int]]]:
     return _list_remote(directory) if "://" in directory else _list_local(directory)
 
 
-def relative(path: str, root: str) -> str:
-    return path[len(root.rstrip("/")) + 1:] if path != root else os.path.basename(path)
-
-
-class Subtree(InputPartition):
-    """A directory to list (with everything below, or only its own files)."""
-
-    def __init__(self, directory: str, recursive: bool):
-        self.directory, self.recursive = directory, recursive
-
-
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
-        self.root = self.root.rstrip("/") or "/"
-        self.splits = int(options.get("splits", "256"))
-
-    def partitions(self) -> list[Subtree]:
-        """Directories to list in parallel: the tree is opened level by level until there are enough.
-
-        Only directory names reach the driver, and only of the upper levels.
-        """
-        if "://" not in self.root and os.path.isfile(self.root):
-            return [Subtree(self.root, False)]
-        level, opened = [self.root], []
-        while level and len(level) + len(opened) < self.splits:
-            opened += level
-            level = [child for directory in level for child in list_directory(directory)[0]]
-        return [Subtree(d, False) for d in opened] + [Subtree(d, True) for d in level]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        if "://" not in partition.directory and os.path.isfile(partition.directory):
-            yield (partition.directory, os.path.basename(partition.directory),
-                   os.path.getsize(partition.directory))
+        self.root = options["path"].rstrip("/") or "/"
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(self.root)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        root = partition.value
+        if "://" not in root and os.path.isfile(root):
+            yield root, os.path.getsize(root), False
             return
-        stack = [partition.directory]
-        while stack:
-            directories, files = list_directory(stack.pop())
-            for path, size in files:
-                yield path, path.rsplit("/", 1)[-1], size
-            if partition.recursive:
-                stack.extend(directories)
+        directories, files = list_directory(root)
+        yield from ((path, 0, True) for path in directories)
+        yield from ((path, size, False) for path, size in files)
 
 
 class TreeSource(DataSource):
-    """Data source ``source_tree``; option ``splits`` is the number of listing tasks to aim for."""
+    """Data source ``source_tree``: entries of one directory (or a single file)."""
 
     @classmethod
     def name(cls) -> str:
@@ -111,14 +88,57 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def list_tree(spark: SparkSession, root: str, splits: int = 256) -> DataFrame:
-    """Files below ``root``: full path, path relative to the root, name and size."""
+def _entries(directory: str, recursive: bool) -> Iterator[tuple]:
+    stack = [directory]
+    while stack:
+        directories, files = list_directory(stack.pop())
+        yield from ((path, size, False) for path, size in files)
+        if recursive:
+            stack.extend(directories)
+        else:
+            yield from ((path, 0, True) for path in directories)
+
+
+def _opener(recursive: bool):
+    """Replace directories by their entries; files pass through."""
+    def run(batches):
+        import itertools
+
+        import pandas as pd
+
+        def rows():
+            for batch in batches:
+                for path, size, is_directory in batch.itertuples(index=False):
+                    if is_directory:
+                        yield from _entries(path, recursive)
+                    else:
+                        yield path, size, False
+
+        for chunk in itertools.batched(rows(), ROWS_PER_BATCH):
+            yield pd.DataFrame(chunk, columns=["path", "size", "is_directory"])
+
+    return run
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None, spread_levels: int = SPREAD_LEVELS) -> DataFrame:
+    """Files below ``root``: full path, path relative to the root, name and size.
+
+    Only paths are shuffled; a subtree that holds most of the files is spread as well.
+    """
     spark.dataSource.register(TreeSource)
-    base = root.rstrip("/") or "/"
-    listing = spark.read.format("source_tree").option("splits", splits).load(root)
-    below = F.when(F.col("path") == base, F.col("name")) \
+    base, tasks = root.rstrip("/") or "/", tasks or _tasks(spark)
+    entries = spark.read.format("source_tree").load(root)
+    for level in range(spread_levels):
+        last = level == spread_levels - 1
+        entries = entries.repartition(tasks, "path").mapInPandas(_opener(last), LISTING_SCHEMA)
+    name = F.substring_index("path", "/", -1)
+    below = F.when(F.col("path") == base, name) \
         .otherwise(F.substring(F.col("path"), len(base.rstrip("/")) + 2, 1 << 30))
-    return listing.withColumn("full_path", F.col("path")).withColumn("path", below)
+    return entries.select(F.col("path").alias("full_path"), below.alias("path"), name.alias("name"), "size")
 
 
 def _read_files(batches):
@@ -167,9 +187,7 @@ def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFram
     the shuffle partitions and four tasks per core.
     """
     spark = listing.sparkSession
-    if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                         4 * spark.sparkContext.defaultParallelism)
+    partitions = partitions or _tasks(spark)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema.fields)
     return listing.repartition(partitions, "full_path") \
         .mapInArrow(_read_files, f"{schema}, content binary, read_error string")

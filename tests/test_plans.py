@@ -35,9 +35,9 @@ def root(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("splits", [1, 3, 256])
-def test_tree_lists_every_file(spark, root, splits):
-    listed = {r.path: r["size"] for r in list_tree(spark, root, splits).collect()}
+@pytest.mark.parametrize("tasks,levels", [(1, 1), (3, 2), (5, 6)])
+def test_tree_lists_every_file(spark, root, tasks, levels):
+    listed = {r.path: r["size"] for r in list_tree(spark, root, tasks, levels).collect()}
     assert listed == {name: len(data) for name, data in FILES.items()}
 
 
@@ -49,6 +49,12 @@ def test_tree_reads_contents(spark, root):
     assert row.content is None and "nope.py" in row.read_error
 
 
+def test_tree_by_uri(spark, root):
+    uri = "file://" + root
+    got = {r.path: bytes(r.content) for r in read_contents(list_tree(spark, uri + "/tests", 2), 2).collect()}
+    assert got == {"a/b.py": FILES["tests/a/b.py"]}
+
+
 def test_single_file_tree(spark, root):
     assert [(r.path, r["size"]) for r in list_tree(spark, root + "/a.py").collect()] == [("a.py", len(FILES["a.py"]))]
 
