@@ -7,6 +7,7 @@ natural order; no logic lives here.
 
 # --------------------------------------------------------------------------- fixed values
 # Top-10 categories plus the general bucket: (category_id, name)
+CATEGORY_EDITION = "2021"
 CATEGORIES = [
     ("A01", "Broken Access Control"),
     ("A02", "Cryptographic Failures"),

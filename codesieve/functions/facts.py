@@ -138,7 +138,7 @@ def source_facts(text: str) -> dict:
              "imports": [], "functions": []}
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except Exception:  # syntax errors, but also null bytes, too deep nesting or too large numbers
         return facts
     facts["parsed"] = True
     # Each entry carries the functions it lies in and the names of enclosing exception handlers.

@@ -139,3 +139,17 @@ def capability_statistics(rules: DataFrame, languages: DataFrame, options) -> Da
         .withColumn("enabled_analyzers", F.size("enabled_languages")) \
         .withColumn("min_severity", F.lit(options.min_severity)) \
         .withColumn("include_tests", F.lit(options.include_tests))
+
+
+def analyzer_info(rules: DataFrame, languages: DataFrame, options, language: str) -> DataFrame:
+    """``capability_statistics`` of one language; no row for a language without an analyzer."""
+    known = languages.filter(F.col("language") == language)
+    return capability_statistics(rules, known, options).filter("total_analyzers > 0")
+
+
+def catalogue_info(patterns: DataFrame) -> DataFrame:
+    """One row about the catalogue: edition of the category list, categories, patterns."""
+    codes = [c for c, _ in V.CATEGORIES]
+    return patterns.agg(
+        F.lit(V.CATEGORY_EDITION).alias("edition"), F.lit(len(codes) - 1).alias("total_categories"),
+        F.count("*").alias("available_patterns"), F.lit(",".join(codes)).alias("categories"))

@@ -192,21 +192,34 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     return scanned.withColumn("long_text", F.when(cut_later, F.col("_text"))).drop("_findings", "_text")
 
 
-def python_rule(files: DataFrame, check: Callable, columns: list[str] = ("path", "text")) -> DataFrame:
+_PYTHON_RULE_FIELDS = ["filename string", "rule_id string", "title string", "severity string", "confidence string",
+                       "owasp_category string", "detail string", "line_number int", "column_number int",
+                       "matched_text string", "error string"]
+
+
+def python_rule(files: DataFrame, check: Callable, path: str = "path", text: str = "text") -> DataFrame:
     """Matches of an arbitrary Python rule, ``check(path, text) -> iterable of match dicts``.
 
-    Only the columns the rule reads are sent to the workers, in Arrow batches.
+    Only the two columns the rule reads are sent to the workers, in Arrow batches.  A rule that
+    raises on a file gives one row with ``error`` set, and the other files are still checked.
     """
-    import pandas as pd
-
-    schema = ("filename string, rule_id string, title string, severity string, confidence string, "
-              "owasp_category string, detail string, line_number int, column_number int, matched_text string")
-    names = [f.split()[0] for f in schema.split(", ")]
+    def one_file(filename: str, source: str) -> list[dict]:
+        try:
+            return [{"filename": filename, "matched_text": "", "column_number": 0} | match
+                    for match in check(filename, source)]
+        except Exception as problem:
+            return [{"filename": filename, "error": str(problem)}]
 
     def run(batches):
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "int": pa.int32()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _PYTHON_RULE_FIELDS)])
         for batch in batches:
-            rows = [{"filename": path, "matched_text": "", "column_number": 0} | match
-                    for path, text in zip(batch[columns[0]], batch[columns[1]]) for match in check(path, text)]
-            yield pd.DataFrame(rows, columns=names)
+            columns = batch.to_pydict()
+            rows = [row for filename, source in zip(columns["path"], columns["text"])
+                    for row in one_file(filename, source)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select(*columns).mapInPandas(run, schema)
+    return files.select(F.col(path).alias("path"), F.col(text).alias("text")) \
+        .mapInArrow(run, ", ".join(_PYTHON_RULE_FIELDS))

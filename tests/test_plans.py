@@ -223,6 +223,31 @@ def test_statistics_and_self_check(spark):
     assert tuple(self_check(spark, broken, analyzers={"python": []}).collect()[0]) == (False, False, False)
 
 
+def test_info(spark):
+    info = rollups.catalogue_info(tables.patterns(spark)).collect()[0]
+    assert (info.edition, info.total_categories, info.available_patterns) == ("2021", 10, 13)
+    args = (tables.rules(spark), tables.languages(spark), ScanOptions.of())
+    assert rollups.analyzer_info(*args, "python").count() == 1 and rollups.analyzer_info(*args, "go").count() == 0
+
+
+def test_python_rule_errors_are_rows(spark):
+    def check(path, source):
+        if "bad" in source:
+            raise ValueError("cannot read this")
+        return [{"rule_id": "X", "line_number": 1}]
+
+    rows = {r.filename: r for r in scan.python_rule(source_table(spark, [("a", "x"), ("b", "bad")]), check, text="content").collect()}
+    assert (rows["a"].rule_id, rows["a"].error, rows["a"].column_number) == ("X", None, 0)
+    assert (rows["b"].rule_id, rows["b"].error, rows["b"].line_number) == (None, "cannot read this", None)
+
+
+def test_small_tables_are_spread_and_large_ones_are_not(spark):
+    from codesieve.sources.tables import spread_small
+    small = spark.range(100)
+    assert "Repartition" in spread_small(small)._jdf.queryExecution().toString()
+    assert "Repartition" not in spread_small(small, max_bytes_per_core=1)._jdf.queryExecution().toString()
+
+
 def test_profile(spark, root):
     got = {r.path: r for r in file_profile(read_contents(list_tree(spark, root), 2)).collect()}
     assert (got["latin.py"].lines, got["latin.py"].language, got["latin.py"].encoding) == (1, "python", None)

@@ -254,21 +254,24 @@ SELECT filename, rule_id, line_number, column_number, string_split(owasp_categor
 
     # ---------------------------------------------------------------- file content
     out["decoded_text"] = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
-    ascii_only = "NOT regexp_matches(text, '[^\\x00-\\x7f]')"
     latin_only = "NOT regexp_matches(text, '[^\\x00-\\x{ff}]')"
     size = (f"CASE WHEN doc_id % 4 = 1 THEN 2 * length(text) + 2 WHEN doc_id % 4 = 2 AND {latin_only} "
             "THEN length(text) ELSE strlen(text) END")
-    printable = (f"({ascii_only} OR (doc_id % 4 <> 2) OR NOT ({latin_only}) OR "
-                 "length(regexp_replace(substring(text, 1, 8192), '[^\\x20-\\x7e\\t\\n\\r]', '', 'g')) "
-                 "/ length(substring(text, 1, 8192)) > 0.75)")
-    # UTF-8 text longer than the sample may be cut inside a character and is then judged by its bytes
-    cut = ("(strlen(text) <= 8192 OR doc_id % 4 = 2 OR "
-           "(len(regexp_replace(text, '[^\\x20-\\x7e\\t\\n\\r]', '', 'g')) / strlen(text)) > 0.8)")
-    is_text = f"CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE doc_id % 4 <> 1 AND {printable} AND {cut} END"
+    # the first 8192 bytes in hex: a cut inside a character leaves a continuation byte behind the sample
+    sample = f"substring(hex(encode(text)), 1, {2 * V.TEXT_SAMPLE_BYTES})"
+    whole = f"substring(hex(encode(text)), {2 * V.TEXT_SAMPLE_BYTES + 1}, 1) NOT IN ('8', '9', 'A', 'B')"
+    printable = (f"4 * len(list_filter(regexp_extract_all({sample}, '..'), lambda b: (b >= '20' AND b <= '7E') "
+                 f"OR b IN ('09', '0A', '0D'))) > 3 * (length({sample}) // 2)")
+    latin = f"substring(text, 1, {V.TEXT_SAMPLE_BYTES})"
+    latin_text = (f"NOT regexp_matches({latin}, '[^\\x00-\\x7f]') OR "
+                  f"4 * length(regexp_replace({latin}, '[^\\x20-\\x7e\\t\\n\\r]', '', 'g')) > 3 * length({latin})")
+    by_content = (f"CASE WHEN text = '' THEN TRUE WHEN doc_id % 4 = 1 THEN FALSE "
+                  f"WHEN doc_id % 4 = 2 AND {latin_only} THEN {latin_text} ELSE {whole} OR {printable} END")
+    is_text = f"CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE {by_content} END"
     out["text_detection"] = (f"SELECT doc_id, {is_text} AS is_text, ({size}) <= 2000 AND ({is_text}) AS safe_2000 "
                              "FROM documents")
-    out["encoding_detection"] = (f"SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN {ascii_only} THEN 'ascii' ELSE 'utf-8' END "
-                                 "AS encoding FROM documents WHERE length(text) < 2000")
+    out["encoding_detection"] = f"""SELECT doc_id, CASE WHEN text = '' THEN NULL
+  WHEN NOT regexp_matches({sample}, '^([0-7].)*[89A-F]') THEN 'ascii' WHEN {whole} THEN 'utf-8' END AS encoding FROM documents"""
     is_ascii = ", ".join(str(i) for i, t in enumerate(TEMPLATES) if t.text.isascii() and t.text)
     out["file_profiles"] = with_(CODE_FILES_CTE, code_loc) + f"""
 SELECT path, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '\\.[^./]*$')) AS extension,

@@ -13,7 +13,7 @@ from codesieve.functions import content, paths, structural, text
 from codesieve.operators import enrich, executions, filters, rollups, scan
 from codesieve.options import ScanOptions
 from codesieve.plans.scan import scan_table
-from codesieve.sources.tables import file_profile, source_files
+from codesieve.sources.tables import file_profile, source_files, spread_small
 from workload.corpus import code_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +75,13 @@ def rule_scan_documents(spark, sf_dir):
 
 @query
 def rule_scan_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = spread_small(table(spark, sf_dir, "pages").select("page_id", "html"))
     return scan.rule_scan(pages, ["page_id"], text="html").select("page_id", "rule_id", *MATCH_COLUMNS)
 
 
 @query
 def rule_scan_conversations(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_small(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return scan.rule_scan(turns, ["conv_id", "turn"]).select("conv_id", "turn", "rule_id", *MATCH_COLUMNS)
 
 
@@ -306,8 +306,7 @@ def text_detection(spark, sf_dir):
 
 @query
 def encoding_detection(spark, sf_dir):
-    docs = documents(spark, sf_dir).filter(F.length("text") < 2000).select(
-        "doc_id", F.encode("text", "UTF-8").alias("content"))
+    docs = documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return docs.select("doc_id", content.detect_encoding(F.col("content")).alias("encoding"))
 
 
@@ -569,7 +568,8 @@ def python_rule(spark, sf_dir):
                  "owasp_category": "GEN", "detail": "long line", "line_number": n}
                 for n, line in enumerate(source.split("\n"), 1) if len(line) > 40]
 
-    return scan.python_rule(python_files(spark, sf_dir), long_lines).select("filename", "rule_id", "line_number")
+    return scan.python_rule(python_files(spark, sf_dir), long_lines).filter("error is null").select(
+        "filename", "rule_id", "line_number")
 
 
 @query
