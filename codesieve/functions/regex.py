@@ -98,7 +98,10 @@ class RegexSpec:
 
 def folded(text: Column) -> Column:
     """Lower-case text for literal tests; folds every character that matches an ASCII letter."""
-    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
+    special = F.lit(False)
+    for char in FOLD_FROM:  # rare, and translating is far slower than searching
+        special = special | text.contains(char)
+    return F.lower(F.when(special, F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text))
 
 
 def locate_matches(text: Column, pattern: Column, group_count: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ shuffled and never leaves the JVM except for the single Arrow transfer to the Py
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,12 @@ def with_facts(files: DataFrame, text: str = "text", language: str = "language")
     return bind(parsed, "facts", F.col("_facts")).drop("_facts")
 
 
+@lru_cache(maxsize=64)
+def _structural_column(application: str, rules: tuple[StructuralRule, ...]) -> Column:
+    """Matches in the column ``facts``; the expression is large, so each application builds it once."""
+    return structural_matches(F.col("facts"), list(rules))
+
+
 def structural_scan(facts: DataFrame, rules: list[str | StructuralRule], key: list[str]) -> DataFrame:
     """One row per match of structural rules, given by name or as an expression over facts."""
     expressions = [STRUCTURAL_RULES[r][2] if isinstance(r, str) else r for r in rules]
@@ -155,7 +162,8 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
         by_regex = locate_hits(body, regex_hits("_text", "_fold", specs), specs)
     if structural:
         base = with_facts(base, "_text")
-        by_structure = F.when(F.col("facts.parsed"), structural_matches(F.col("facts"), structural))
+        by_structure = F.when(F.col("facts.parsed"), _structural_column(
+            files.sparkSession.sparkContext.applicationId, tuple(structural)))
 
     empty = F.array().cast(f"array<{FINDING_TYPE}>")
 
