@@ -132,8 +132,8 @@ def list_tree(spark: SparkSession, root: str, tasks: int | None = None, spread_l
     spark.dataSource.register(TreeSource)
     base, tasks = root.rstrip("/") or "/", tasks or _tasks(spark)
     entries = spark.read.format("source_tree").load(root)
-    for level in range(spread_levels):
-        last = level == spread_levels - 1
+    for level in range(max(1, spread_levels)):
+        last = level >= spread_levels - 1
         entries = entries.repartition(tasks, "path").mapInPandas(_opener(last), LISTING_SCHEMA)
     name = F.substring_index("path", "/", -1)
     below = F.when(F.col("path") == base, name) \

@@ -1,4 +1,3 @@
-import ast
 import fnmatch
 import hashlib
 import random

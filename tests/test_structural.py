@@ -4,7 +4,6 @@ import ast
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from codesieve.functions.facts import source_facts
 from codesieve.functions.structural import STRUCTURAL_RULES

@@ -10,7 +10,7 @@ from __future__ import annotations
 from codesieve.catalog import fixed_values as V
 from codesieve.catalog import tables
 from codesieve.functions.paths import MEDIA_TYPES
-from workload.corpus import CODE_FILES_CTE, K, LANGUAGES, TEMPLATES, language_case, python_templates, quote
+from workload.corpus import CODE_FILES_CTE, K, TEMPLATES, language_case, python_templates, quote
 from workload.queries import MATCH_CAP, RULE_QUERIES, SIZE_LIMIT, STRUCTURAL_QUERIES
 
 SPACES = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
