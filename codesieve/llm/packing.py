@@ -1,7 +1,7 @@
 """Best-fit packing: documents cut into pieces, pieces placed in as few sequences as possible.
 
 Method: best-two-fit. A sequence is filled greedily with the largest piece that fits; then its smallest piece
-is replaced by two unpacked pieces that fit the widened gap more tightly, as long as that helps. What can be
+is replaced by two unpacked pieces that fit the widened gap more tightly, if there are such. What can be
 placed depends only on how many pieces of each length exist, so the plan is made on the histogram of lengths
 (at most ``size`` numbers, whatever the corpus) and a filled sequence is repeated as often as its lengths last.
 Each piece then finds its place by its rank among the pieces of its length; ranks come from counts per task and
@@ -69,7 +69,15 @@ def largest(mask: int, most: int) -> int:
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """Fillings (repeats, lengths in descending order) that use up all pieces of a histogram of lengths."""
+    """Fillings (repeats, lengths in descending order) that use up all pieces of a histogram of lengths.
+
+    Swaps can cost small pieces that later sequences need; the plan without them is taken if it is shorter.
+    """
+    plans = [_fill(counts, size, swap) for swap in (True, False)]
+    return min(plans, key=lambda plan: sum(repeats for repeats, _ in plan))
+
+
+def _fill(counts: dict[int, int], size: int, swap: bool) -> list[tuple[int, list[int]]]:
     left = {length: n for length, n in counts.items() if n}
     mask = sum(1 << length for length in left)
     plan = []
@@ -91,7 +99,7 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]
         while length := largest(free, gap):
             take(length)
             gap -= length
-        while gap:
+        if gap and swap:
             small = min(length for length, n in used.items() if n)
             wide, best = gap + small, (small, 0, 0)
             put_back(small)
@@ -104,12 +112,8 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]
                     if x + y == wide:
                         break
                 x = largest(free, x - 1)
-            if not best[1]:
-                take(small)
-                break
-            take(best[1])
-            take(best[2])
-            gap = wide - best[0]
+            for length in best[1:] if best[1] else (small,):
+                take(length)
         used = {length: n for length, n in used.items() if n}
         repeats = min(left[length] // n for length, n in used.items())
         plan.append((repeats, [length for length in sorted(used, reverse=True) for _ in range(used[length])]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import packing, records, simhash, tokens
+from codesieve.llm import chat, packing, records, simhash, tokens, url_filter
 from codesieve.llm.lineage import new_path
 
 #: Tokenizer files of the installed package: how each treats a space before a word.
@@ -34,6 +34,55 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: A conversation whose texts look like control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    formatted = chat.format_conversations(turns.unionByName(control))
+    read = formatted.select("conv_id", "formatted", chat.read_turns("formatted").alias("turns"),
+                            chat.read_loss_texts("formatted", "loss_spans").alias("loss"))
+    lines = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    loss = F.array_join("loss", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLE_6 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(replace(text, '\', '\b'))
+           + (length(text) - length(replace(text, '<turn:', ''))) // 6
+           + (length(text) - length(replace(text, '</turn>', ''))) // 7
+           + (length(text) - length(replace(text, '<part>', ''))) // 6 AS chars,
+         length(replace(role, '\', '\b')) + (length(role) - length(replace(replace(role, '<', ''), '>', ''))) AS role_chars,
+         coalesce(lag(role) OVER w <> role, true) AS opens
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars + CASE WHEN opens THEN 16 + role_chars ELSE 6 END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     name, spaces = WORD_BPE
     path = new_path(spark, "records")
@@ -45,7 +94,11 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_url_filter": op7_url_filter,
     "op10_token_records": op10_token_records,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": ORACLE_6,
+}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import string
+from array import array
 
 import numpy as np
 
@@ -12,6 +14,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs o
 #: What a tokenizer does with a space before a word: part of the token, or dropped.
 LEADING, DROPPED = "leading", "dropped"
 
+#: Letters (unchanged by NFC, of simple case), signs, and perhaps a line feed with letters and signs after it.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;<=>?@^_~-]{1,9})?(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;<=>?@^_~-]{1,9})?)?")
+#: Byte-level vocabularies write bytes that do not print as the letters from U+0100 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 _PUNCTUATION = frozenset(string.punctuation)
 _ENTRY_BYTES = 160
 _encoders: dict[tuple, "PieceEncoder"] = {}
@@ -23,29 +31,66 @@ class PieceEncoder:
     The tokenizers in use split a text by a pattern before merging, and no piece of that pattern reaches
     over a single space before a visible character. Cutting a text at such spaces and joining the ids of
     the pieces therefore gives the ids of the whole text; ``tests/llm`` compares both on random texts.
-    Strings of special tokens inside a text are ordinary text. The memo is bounded by ``memo_bytes``.
+    Strings of special tokens inside a text are ordinary text. The memo holds about ``memo_bytes``: when
+    half of that is full it becomes the old generation, from which pieces that occur again are taken over.
     """
 
-    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 96 << 20):
+    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 160 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.memo_bytes = spaces, memo_bytes
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes | None] = {}
-        self.held = 0
+        self.signs: dict[str, bytes] = {}
+        self.feed = self._word("\n") if spaces == LEADING else b""
+        self.memo, self.held = _Memo(self), 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that stand alone."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 16384):
-            found = self.tokenizer.encode_batch_fast(texts[i:i + 16384], add_special_tokens=False)
+        for i in range(0, len(texts), 4096):
+            found = self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)
             out += [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
         return out
 
-    def _keep(self, memo: dict, keys: list[str], values: list) -> None:
-        memo.update(zip(keys, values))
-        self.held += sum(map(len, keys)) + sum(len(v or b"") for v in values) + _ENTRY_BYTES * len(keys)
+    def _word(self, word: str) -> bytes:
+        """Ids of one unit of the split pattern, straight from the library's merge model."""
+        if not word.isascii() or word[0] <= " ":
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _spaced(self, word: str, found: dict[str, bytes]) -> bytes:
+        """Ids of a word after a space; the word becomes a piece of its own."""
+        if self.spaces == DROPPED:
+            word = word.lower()
+        ids = found.get(word) or self.memo.get(word)
+        if not ids:
+            ids = found[word] = self._word(" " + word if self.spaces == LEADING else word)
+        return ids
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        odd = []
+        for piece in pieces:
+            match = _SIMPLE.fullmatch(piece)
+            if not match:
+                odd.append(piece)
+                continue
+            word, sign, feed, second, last = match.groups()
+            ids = self._spaced(word, found)
+            for unit in (sign, last):
+                if unit and unit not in self.signs:
+                    self.signs[unit] = self._word(unit)
+            if sign:
+                ids = ids + self.signs[sign]
+            if feed:
+                ids += self.feed + (self._word(second) if self.spaces == LEADING else self._spaced(second, found))
+            if last:
+                ids += self.signs[last]
+            found[piece] = ids
+        lead = " " if self.spaces == LEADING else ""
+        found.update(zip(odd, self._encode([lead + x for x in odd])))
+        return found
 
     def _starts_piece(self, piece: str) -> bool:
         """Whether the space before ``piece`` is surely a boundary; else it stays with the text before it."""
@@ -65,29 +110,49 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if self.spaces is None:
             return self._encode([x or "" for x in texts])
-        if self.held > self.memo_bytes:
-            self.heads, self.tails, self.held = {}, {}, 0
-        split = [(x or "").split(" ") for x in texts]
-        heads = list({x[0] for x in split} - self.heads.keys())
-        self._keep(self.heads, heads, self._encode(heads))
-        missing: set[str] = set()
-        for x in split:
-            missing.update(x[1:])
-        tails = list(missing - self.tails.keys())
-        sure = [x for x in tails if self._starts_piece(x)]
-        self._keep(self.tails, sure, self._encode([" " + x for x in sure] if self.spaces == LEADING else sure))
-        unsure = [x for x in tails if not self._starts_piece(x)]
-        self._keep(self.tails, unsure, [None] * len(unsure))
+        if self.held > self.memo_bytes // 2:
+            self.memo.old = {}
+            self.memo, self.held, self.signs = _Memo(self, self.memo), 0, {}
+        memo, held = self.memo, []
+        for x in texts:
+            head, *tails = (x or "").split(" ")
+            held.append((head, tails, list(map(memo.__getitem__, tails))))
+        found = self._encode_pieces(list(memo.new))
+        for piece, cell in memo.new.items():
+            cell += found[piece]
+        memo.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + _ENTRY_BYTES * len(found)
+        memo.new = {}
+        heads = self._encode([x[0] for x in held])
         out = []
-        for x in split:
-            head, rest = x[0], x[1:]
+        for first, (head, tails, cells) in zip(heads, held):
             try:
-                out.append(self.heads[head] + b"".join(map(self.tails.__getitem__, rest)))
+                out.append(first + b"".join(cells))
             except TypeError:  # a piece without ids of its own
-                out.append(self._unusual(head, rest))
+                out.append(self._unusual(head, tails))
         return out
 
 
+class _Memo(dict):
+    """Ids by piece. A piece that is missing gets an empty cell, which is filled once the texts are split."""
+
+    def __init__(self, coder: PieceEncoder, old: dict[str, bytes | None] | None = None):
+        super().__init__()
+        self.coder, self.old, self.new = coder, old or {}, {}
+
+    def __missing__(self, piece: str) -> bytes | bytearray | None:
+        if piece in self.old:
+            value = self.old[piece]
+            self.coder.held += len(piece) + len(value or b"") + _ENTRY_BYTES
+        elif self.coder._starts_piece(piece):
+            value = self.new[piece] = bytearray()
+        else:
+            value = None
+            self.coder.held += len(piece) + _ENTRY_BYTES
+        self[piece] = value
+        return value
+
+
 def encoder(path: str, spaces: str | None) -> PieceEncoder:
     """One encoder per worker process, kept between tasks."""
     if (path, spaces) not in _encoders:
