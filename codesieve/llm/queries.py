@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import chat, packing, records, simhash, tokens, url_filter
+from codesieve.llm import chat, neighbours, packing, records, simhash, tokens, url_filter
 from codesieve.llm.lineage import new_path
 
 #: Tokenizer files of the installed package: how each treats a space before a word.
@@ -83,6 +83,10 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     name, spaces = WORD_BPE
     path = new_path(spark, "records")
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filter": op7_url_filter,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_token_records": op10_token_records,
 }
 
