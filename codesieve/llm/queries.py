@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import chat, neighbours, packing, records, simhash, tokens, url_filter
+from codesieve.llm import chat, licenses, neighbours, packing, records, simhash, tokens, url_filter
 from codesieve.llm.lineage import new_path
 
 #: Tokenizer files of the installed package: how each treats a space before a word.
@@ -87,6 +87,43 @@ def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).select(
+        "doc_id", "unit", "position", "license", F.round("score", 9).alias("score"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE_9 = r"""
+WITH templates(license, unit_text) AS (VALUES """ + ", ".join(
+    f"({_sql_text(k)}, {_sql_text(v)})" for k, v in licenses.TEMPLATES.items()) + r"""),
+parts AS (
+  SELECT doc_id, text, string_split_regex(text, '\n[ \t\r]*\n') AS paragraphs, string_split(text, chr(10)) AS lines FROM documents),
+units AS (
+  SELECT doc_id, 'text' AS unit, 0 AS position, text AS unit_text FROM parts
+  UNION ALL SELECT doc_id, 'paragraph', i - 1, paragraphs[i]
+  FROM (SELECT *, unnest(range(1, len(paragraphs) + 1)) AS i FROM parts WHERE len(paragraphs) > 1)
+  UNION ALL SELECT doc_id, 'line', i - 1, lines[i]
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM parts WHERE len(lines) > 1)),
+worded AS (
+  SELECT doc_id, unit, position, regexp_extract_all(
+    regexp_replace(lower(unit_text), '(?m)^\s*(copyright|\(c\)|©).*$', '', 'g'), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM units),
+shingled AS (
+  SELECT doc_id, unit, position, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS a FROM worded WHERE len(w) > 1),
+known AS (
+  SELECT license, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS t
+  FROM (SELECT license, regexp_extract_all(lower(unit_text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM templates)),
+scored AS (
+  SELECT doc_id, unit, position, license, 2.0 * len(list_intersect(a, t)) / (len(a) + len(t)) AS score
+  FROM shingled JOIN known ON len(a) BETWEEN 0.8 / 1.2 * len(t) - 1e-9 AND 1.2 / 0.8 * len(t) + 1e-9)
+SELECT doc_id, unit, position::BIGINT AS position, license, round(score::DOUBLE, 9) AS score FROM scored
+WHERE score >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, position ORDER BY score DESC, license) = 1
+"""
+
+
 def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     name, spaces = WORD_BPE
     path = new_path(spark, "records")
@@ -101,9 +138,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filter": op7_url_filter,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_license_scan": op9_license_scan,
     "op10_token_records": op10_token_records,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": ORACLE_6,
+    "op9_license_scan": ORACLE_9,
 }
