@@ -24,6 +24,11 @@ def _replace(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` refers to it inside another lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def escape(text: Column) -> Column:
     out = _replace(text, "\\", "\\b")
     for control in CONTROL:
@@ -78,10 +83,10 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     # running ends of the pieces, as one array of numbers
     ends = F.aggregate("pieces", F.array(F.lit(0).cast("long")),
                        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x["text"]))))
-    spans = F.filter(F.transform("pieces", lambda x, i: F.struct(
-        F.get("ends", i).alias("start"), F.octet_length(x["text"]).cast("long").alias("length"), x["loss"].alias("loss"))),
-        lambda x: x["loss"])
-    return written.select("conv_id", "pieces", ends.alias("ends")).select(
+    spans = _let(ends, lambda e: F.filter(F.transform("pieces", lambda x, i: F.struct(
+        F.get(e, i).alias("start"), F.octet_length(x["text"]).cast("long").alias("length"), x["loss"].alias("loss"))),
+        lambda x: x["loss"]))
+    return written.select(
         "conv_id", F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("formatted"),
         F.transform(spans, lambda x: x.dropFields("loss")).alias("loss_spans"))
 
@@ -103,6 +108,5 @@ def read_turns(formatted: str | Column) -> Column:
 
 def read_loss_texts(formatted: str, spans: str) -> Column:
     """The unescaped texts under the loss mask, in order."""
-    data = F.encode(F.col(formatted), "UTF-8")
-    return F.transform(spans, lambda s: unescape(F.decode(
-        F.substring(data, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8")))
+    return _let(F.encode(F.col(formatted), "UTF-8"), lambda data: F.transform(spans, lambda s: unescape(F.decode(
+        F.substring(data, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))))

@@ -35,7 +35,7 @@ class PieceEncoder:
     half of that is full it becomes the old generation, from which pieces that occur again are taken over.
     """
 
-    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 160 << 20):
+    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 128 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
