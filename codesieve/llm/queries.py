@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import chat, licenses, neighbours, packing, records, simhash, tokens, url_filter
+from codesieve.llm import chat, licenses, line_dedup, neighbours, packing, records, simhash, tokens, url_filter
 from codesieve.llm.lineage import new_path
 
 #: Tokenizer files of the installed package: how each treats a space before a word.
@@ -34,6 +34,10 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.delete_duplicate_lines(table(spark, folder, "documents")).select("doc_id", "removed_lines", "text")
+
+
 #: A conversation whose texts look like control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -135,6 +139,7 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filter": op7_url_filter,
     "op8_nearest_neighbours": op8_nearest_neighbours,
