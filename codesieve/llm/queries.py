@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import chat, licenses, line_dedup, neighbours, packing, records, simhash, tokens, url_filter
+from codesieve.llm import chat, decontamination, language, licenses, line_dedup, neighbours, packing, records, simhash, tokens, url_filter
 from codesieve.llm.lineage import new_path
 
 #: Tokenizer files of the installed package: how each treats a space before a word.
@@ -30,6 +30,50 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "item_id", "shared", "shingles", "containment")
+
+
+ORACLE_2 = r"""
+WITH item_words AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM benchmark)
+  WHERE len(w) > 0 GROUP BY w),
+item_grams AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS gram FROM item_words),
+sizes AS (SELECT item_id, count(*) AS shingles FROM item_grams GROUP BY item_id),
+doc_grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS gram
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w FROM documents) WHERE len(w) > 0)
+SELECT doc_id, item_id, count(*) AS shared, any_value(shingles) AS shingles, count(*) / any_value(shingles)::DOUBLE AS containment
+FROM doc_grams JOIN item_grams USING (gram) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(shingles)
+"""
+
+
+def documents_by_language(docs: DataFrame) -> DataFrame:
+    """Documents declare their language in ``lang``; their source takes the place of a host."""
+    return language.identify(docs, declared=F.col("lang"), host=F.col("source"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return documents_by_language(table(spark, folder, "documents")).select(
+        "row.doc_id", "language", F.round("posterior", 6).alias("posterior"), "text_language", F.col("row.lang").alias("declared"))
+
+
+def page_language(spark: SparkSession, folder: str) -> DataFrame:
+    """All kinds of evidence: markup, address suffix and host of web pages; the text model comes from documents."""
+    labelled = table(spark, folder, "documents").select("text", F.col("lang").alias("language"))
+    tags = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    pages = table(spark, folder, "pages").withColumn("plain", tags)
+    return language.identify(pages, labelled, "plain", language.declared_in("html"), language.host_of("url")).select(
+        "row.page_id", "language", F.round("posterior", 6).alias("posterior"), "text_language",
+        language.declared_in("row.html").alias("declared"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -138,6 +182,9 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
+    "page_language": page_language,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat_formatting": op6_chat_formatting,
@@ -148,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": ORACLE_2,
     "op6_chat_formatting": ORACLE_6,
     "op9_license_scan": ORACLE_9,
 }
