@@ -13,7 +13,7 @@ broadcast. Windows that many URLs share are few rows on the model side, so a ske
 
 Calibration: URLs of one hash fold of the labelled ones (a fifth) take no part in training; the threshold on the mean
 log-likelihood difference per character is the one with the largest balanced accuracy on that fold, found on a fixed
-grid. Without accepted or without rejected URLs on either side of the split the threshold is 0, and without any
+grid (of equal ones the middle of the widest stretch without URLs). Without accepted or without rejected URLs on either side of the split the threshold is 0, and without any
 labelled URL of a class all others are allowed.
 
 Cases: null URL or one without ``://``: empty host and path, no rule, and the models judge the text as it is (null:
@@ -112,13 +112,15 @@ def _threshold(scored: DataFrame) -> float:
     allow, block = sum(r.allow for r in rows), sum(r.block for r in rows)
     if not allow or not block:
         return 0.0
-    best, below_allow, below_block = (-1.0, 0.0, 0), 0, 0
-    for r in sorted(rows, key=lambda r: r.cell):
-        # threshold at the lower end of this cell: everything before it is blocked
+    rows.sort(key=lambda r: r.cell)
+    best, below_allow, below_block = (-1.0, 0, 0.0), 0, 0
+    for last, r in zip([None, *rows], rows):
+        # everything before this cell is blocked; of equally good places the middle of the widest empty stretch
         gain = (allow - below_allow) / allow + below_block / block
-        best = max(best, (gain, -abs(r.cell * GRID_STEP), r.cell))
+        empty = r.cell - last.cell - 1 if last else 0
+        best = max(best, (gain, empty, (r.cell - empty / 2) * GRID_STEP))
         below_allow, below_block = below_allow + r.allow, below_block + r.block
-    return best[2] * GRID_STEP
+    return best[2]
 
 
 def judge(pages: DataFrame, rules: dict[str, str], order: int = 5, id_column: str = "page_id",
