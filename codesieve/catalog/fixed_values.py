@@ -301,19 +301,14 @@ SLASH_COMMENT_LANGUAGES = ["javascript", "java", "c", "cpp", "csharp", "go"]
 # Scan defaults
 DEFAULT_OPTIONS = {
     "analysis": {"min_severity": "medium", "include_tests": False,
-                 "max_file_size_mb": 10, "timeout_per_file_seconds": 30},
+                 "max_file_size_mb": None},
     "exclusions": {
         "patterns": ["*.pyc", "__pycache__/*", ".git/*", ".svn/*", "node_modules/*",
                      "venv/*", "env/*", ".env/*", "dist/*", "build/*"],
         "test_patterns": ["test_*.py", "*_test.py", "tests/*", "spec/*"],
     },
-    "languages": {"python": {"enabled": True, "file_extensions": [".py"],
-                             "max_ast_depth": 100}},
+    "languages": {"python": {"enabled": True}},
 }
-MAX_MATCHES_PER_RULE = 1000
-TEXT_SAMPLE_BYTES = 8192
-MAX_TEXT_DETECTION_BYTES = 10 * 1024 * 1024
-MAX_SAFE_READ_BYTES = 50 * 1024 * 1024
 MIN_PRINTABLE_RATIO = 0.75
 MAX_RULE_ID_LENGTH = 50
 UNREADABLE_FILE_ERROR = "Could not read file content"

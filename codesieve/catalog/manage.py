@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codesieve.catalog import fixed_values as V
 from codesieve.functions.expressions import literals
@@ -59,6 +60,14 @@ def rule_type() -> Column:
         .when(F.col("semantic"), "semantic").otherwise("hybrid")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def compile_errors(expressions):
+    """Per rule: what is wrong with each expression, null if it compiles."""
+    from codesieve.catalog.specs import compile_error
+
+    return expressions.map(lambda xs: [compile_error(x) for x in xs] if xs is not None else [])
+
+
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Adds ``errors`` and ``warnings`` arrays and ``is_valid`` to each rule."""
     rule_id = F.col("rule_id")
@@ -80,6 +89,7 @@ def validate_rules(rules: DataFrame) -> DataFrame:
         F.when(outside("confidence", V.CONFIDENCES), "unknown confidence"),
         F.when((F.col("rule_type") == "regex") & (F.coalesce(F.size("regexes"), F.lit(0)) <= 0),
                "regex rule without expressions"),
+        F.get(F.array_compact(compile_errors("regexes")), 0),
     ]
     warnings = [F.when(odd_id, "rule id has characters other than letters, digits, - and _")]
     return rules.withColumn("errors", F.array_compact(F.array(*errors))) \

@@ -1,11 +1,13 @@
 """Rule tables turned into the expressions a scan evaluates.
 
 A scan needs its expressions as literals (compiled once per task, tested in one projection), so an
-enabled rule table is read to the driver when the plan is built.  Its size is checked.
+enabled rule table is read to the driver when the plan is built: as many rows as the plan has expressions.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from codesieve.catalog import fixed_values as V
 from codesieve.catalog import tables
 from codesieve.functions.regex import RegexSpec
 
-MAX_PLAN_RULES = 2000
 RULE_ATTRIBUTES = ["title", "severity", "confidence", "owasp_category", "detail"]
 
 # Words a match of an expression cannot do without; purely a shortcut, never a condition of its own.
@@ -69,10 +70,7 @@ def _needs(owner_id: str, index: int, pattern: str) -> tuple[tuple[str, ...], ..
 
 
 def _collect(df: DataFrame) -> list[dict]:
-    rows = df.limit(MAX_PLAN_RULES + 1).collect()
-    if len(rows) > MAX_PLAN_RULES:
-        raise ValueError(f"more than {MAX_PLAN_RULES} rules; scan them in several rule tables")
-    return [r.asDict(recursive=True) for r in rows]
+    return [r.asDict(recursive=True) for r in df.collect()]
 
 
 def rule_specs(rules: DataFrame | None = None, min_severity: str | None = None) -> list[RegexSpec]:
@@ -85,7 +83,7 @@ def rule_specs(rules: DataFrame | None = None, min_severity: str | None = None)
         RegexSpec(row["rule_id"], number, pattern, needs=_needs(row["rule_id"], number, pattern),
                   attributes={k: row.get(k if k != "detail" else "description") for k in RULE_ATTRIBUTES})
         for row in rows if reaches(row["severity"], min_severity)
-        for number, pattern in enumerate(row["regexes"])]
+        for number, pattern in enumerate(row["regexes"]) if compile_error(pattern) is None]
 
 
 def pattern_specs(patterns: DataFrame | None = None) -> list[RegexSpec]:
@@ -103,10 +101,19 @@ def dependency_specs() -> list[RegexSpec]:
             for number, pattern in enumerate(V.DEPENDENCY_REGEXES)]
 
 
-def enabled_rule_ids(rules: DataFrame | None) -> set[str]:
-    if rules is None:
-        return {r[0] for r in V.RULES}
-    return {r["rule_id"] for r in _collect(rules.filter("enabled").select("rule_id"))}
+def compile_error(pattern: str | None) -> str | None:
+    """What is wrong with an expression, None if it compiles."""
+    try:
+        re.compile(pattern or "")
+    except re.error as problem:
+        return f"expression {pattern!r} does not compile: {problem}"
+    return None
+
+
+def structural_rows(rules: DataFrame | None) -> dict[str, dict]:
+    """Enabled structural rules by id, with the values of the table."""
+    rows = tables.rule_rows() if rules is None else _collect(rules.filter(F.col("enabled") & (F.col("rule_type") == "ast")))
+    return {r["rule_id"]: r for r in rows if r["rule_type"] == "ast"}
 
 
 def severity_rank(severity: str | None) -> int:

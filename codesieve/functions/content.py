@@ -44,26 +44,24 @@ def decode_text(content: Column, encoding: str | None = None, max_size: int | No
 
 
 def detect_encoding(content: Column) -> Column:
-    """Encoding of the first 8 KiB by its mark and validity, null when undecided."""
-    sample = F.substring(content, 1, V.TEXT_SAMPLE_BYTES)
-    latin = F.decode(sample, "ISO-8859-1")
-    return F.when(F.length(sample) == 0, F.lit(None)) \
-        .when(F.hex(F.substring(sample, 1, 3)) == "EFBBBF", "UTF-8-SIG") \
-        .when(_utf16_mark(sample), "UTF-16") \
+    """Encoding of the whole content by its mark and validity, null when undecided."""
+    latin = F.decode(content, "ISO-8859-1")
+    return F.when(F.length(content) == 0, F.lit(None)) \
+        .when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", "UTF-8-SIG") \
+        .when(_utf16_mark(content), "UTF-16") \
         .when(~latin.rlike(r"[\x80-\xff]"), "ascii") \
-        .when(_valid_utf8(sample), "utf-8")
+        .when(_valid_utf8(content), "utf-8")
 
 
-def looks_like_text(content: Column, size: Column) -> Column:
-    """Content test: small enough, no NUL in the sample, valid UTF-8 or mostly printable."""
-    sample = F.substring(content, 1, V.TEXT_SAMPLE_BYTES)
-    latin = F.decode(sample, "ISO-8859-1")
+def looks_like_text(content: Column, size: Column, max_size: int | None = None) -> Column:
+    """Content test: no NUL, and valid UTF-8 or mostly printable; not above ``max_size`` if one is given."""
+    latin = F.decode(content, "ISO-8859-1")
     printable = F.length(F.regexp_replace(latin, r"[^\x20-\x7e\t\n\r]", ""))
-    return F.when(size > V.MAX_TEXT_DETECTION_BYTES, False) \
-        .when(F.length(sample) == 0, True) \
+    return F.when(size > max_size if max_size else F.lit(False), False) \
+        .when(F.length(content) == 0, True) \
         .when(latin.contains("\u0000"), False) \
-        .when(_valid_utf8(sample), True) \
-        .otherwise(printable / F.length(sample) > V.MIN_PRINTABLE_RATIO)
+        .when(_valid_utf8(content), True) \
+        .otherwise(printable / F.length(content) > V.MIN_PRINTABLE_RATIO)
 
 
 def is_text(path: Column, content: Column, size: Column) -> Column:
@@ -74,6 +72,7 @@ def is_text(path: Column, content: Column, size: Column) -> Column:
         .otherwise(looks_like_text(content, size))
 
 
-def is_safe_to_read(path: Column, content: Column, size: Column,
-                    max_size: int = V.MAX_SAFE_READ_BYTES) -> Column:
-    return (size <= max_size) & is_text(path, content, size)
+def is_safe_to_read(path: Column, content: Column, size: Column, max_size: int | None = None) -> Column:
+    """Text, and not above ``max_size`` if one is given."""
+    text = is_text(path, content, size)
+    return (size <= max_size) & text if max_size else text

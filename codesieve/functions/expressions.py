@@ -57,7 +57,3 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark a table for broadcast only if it is known to have few rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -25,23 +25,31 @@ FOLD_BLOCK = 256
 
 MATCH_TYPE = "struct<line:int,col:int,text:string,groups:array<string>>"
 
-_TOKEN = re.compile(r"\\.|\[\^?\]?|\(\?P<|\(\?P=(\w+)\)|.", re.S)
+_TOKEN = re.compile(r"\\.|\[\^?\]?|\(\?#[^)]*\)|\(\?P<(\w+)>|\(\?P=(\w+)\)|.", re.S)
 _CLASSES = {r"\s": SPACE_CLASS, r"\w": WORD_CLASS, r"\d": r"\p{Nd}"}
+# Marks the places of matches; of the two, the one that a text does not hold is used.
+MARKS = ("\uffff\ufdd0\ufffe", "\ufffe\ufdd1\uffff\ufdd2")
 
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     """Spell a Python expression so that Java finds the same matches.
 
-    Only spelling differs between the dialects: Unicode classes, case folding, what ``.``
-    excludes, and braces that are not quantifiers.
+    Only spelling differs between the dialects: Unicode classes, case folding, what ``.`` excludes, line
+    starts, group names, comments, and braces that are not quantifiers.  One difference stays: after an empty match
+    Python looks for a longer match at the same place, Java moves on (lazy expressions such as ``b*?(?=b)``).
     """
     inline = re.match(r"\(\?([aiLmsux]+)\)", pattern)
     flags = set(inline.group(1)) if inline else set()
     body = pattern[inline.end():] if inline else pattern
-    out, in_class, pos = [], False, 0
+    out, in_class, pos, names = [], False, 0, {}
     while pos < len(body):
-        token = _TOKEN.match(body, pos).group(0)
-        if in_class:
+        found = _TOKEN.match(body, pos)
+        token = found.group(0)
+        if in_class and token in (r"\S", r"\W", r"\D"):
+            piece = f"[^{_CLASSES[token.lower()]}]"
+        elif in_class and token.startswith("(?"):
+            token = piece = "("  # literal in a class
+        elif in_class:
             # inside a class a "[" is literal here but opens a nested class in Java
             piece = _CLASSES.get(token) or {"]": "]", "[": r"\[", "&": r"\&"}.get(token, token)
             if token.startswith("[") and len(token) > 1:
@@ -57,12 +65,16 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
             piece, in_class = token, True
             if token.endswith("]"):  # a "]" right after the opening bracket is literal
                 piece = token[:-1] + r"\]"
-        elif token == "(?P<":
-            piece = "(?<"
-        elif token.startswith("(?P="):
-            piece = rf"\k<{token[4:-1]}>"
+        elif token.startswith("(?#"):
+            piece = ""
+        elif found.group(1):  # Java names are letters and digits
+            piece = f"(?<{names.setdefault(found.group(1), f'g{len(names)}')}>"
+        elif found.group(2):
+            piece = rf"\k<{names[found.group(2)]}>"
         elif token == r"\Z":
             piece = r"\z"
+        elif token == "^":  # Java leaves out the place behind a line feed that ends the text
+            piece = r"(?:\A|(?<=\n))"
         elif token == "{" and not re.match(r"\{\d*,?\d*\}", body[pos:]):
             piece = r"\{"
         else:
@@ -95,6 +107,48 @@ class RegexSpec:
     def group_count(self) -> int:
         return re.compile(self.pattern).groups
 
+    @property
+    def group_names(self) -> list[str | None]:
+        """Name of each group, None where it has none."""
+        names = {number: name for name, number in re.compile(self.pattern).groupindex.items()}
+        return [names.get(k + 1) for k in range(self.group_count)]
+
+    @property
+    def nullable_groups(self) -> list[bool]:
+        """Whether each group can match the empty text; where it cannot, an empty value is a group that took no part."""
+        return [bool(_matches_empty(source)) for source in _group_sources(self.pattern)]
+
+
+def _group_sources(pattern: str) -> list[str]:
+    """The inner text of each capturing group, in order of their opening brackets."""
+    sources, open_groups, in_class, pos = {}, [], False, 0
+    while pos < len(pattern):
+        token = _TOKEN.match(pattern, pos).group(0)
+        if in_class:
+            in_class = "]" not in token or token.startswith("\\")
+        elif token.startswith("["):
+            in_class = True
+        elif token.startswith("(?#") or token.startswith("(?P="):
+            pass
+        elif token.startswith("(?P<") or token == "(":
+            capturing = token != "(" or pattern[pos + 1:pos + 2] != "?"
+            open_groups.append((len(sources), pos + len(token)) if capturing else None)
+            if capturing:
+                sources[len(sources)] = ""
+        elif token == ")" and open_groups:
+            group = open_groups.pop()
+            if group:
+                sources[group[0]] = pattern[group[1]:pos]
+        pos += len(token)
+    return [sources[k] for k in range(len(sources))]
+
+
+def _matches_empty(source: str) -> bool:
+    try:
+        return re.fullmatch(source, "") is not None
+    except re.error:  # refers to other groups
+        return False
+
 
 def folded(text: Column) -> Column:
     """Lower-case text for literal tests; folds every character that matches an ASCII letter."""
@@ -104,11 +158,22 @@ def folded(text: Column) -> Column:
     return F.lower(F.when(special, F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text))
 
 
-def locate_matches(text: Column, pattern: Column, group_count: Column | None = None) -> Column:
+def _pieces(text: Column, pattern: Column) -> Column:
+    """What lies between the matches of an expression, empty matches included: marks put in their places, then split.
+
+    (A split by the expression itself drops empty matches.)
+    """
+    mark = F.when(text.contains(MARKS[0]), MARKS[1]).otherwise(MARKS[0])
+    return let(mark, lambda m: F.split(F.regexp_replace(text, pattern, m), m, -1))
+
+
+def locate_matches(text: Column, pattern: Column, group_count: Column | None = None,
+                   nullable: Column | None = None) -> Column:
     """Array of all matches of one expression in one text, in order.
 
-    The text is the concatenation of split pieces and matches, so the position of a match
-    follows from the newlines and lengths of what precedes it.  Positions are folded in blocks.
+    The text is the concatenation of the pieces between matches and the matches, so the position of a match
+    follows from the newlines and lengths of what precedes it.  Positions are folded in blocks.  A group that took
+    no part is null; a group that can match nothing gives an empty text.
     """
     newline = F.lit("\n")
 
@@ -120,7 +185,7 @@ def locate_matches(text: Column, pattern: Column, group_count: Column | None = N
 
     def located(matches: Column) -> Column:
         before = F.slice(F.concat(F.array(F.lit("")), matches), F.lit(1), F.size(matches))
-        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        pieces = F.slice(_pieces(text, pattern), F.lit(1), F.size(matches))
         steps = F.zip_with(before, pieces, lambda m, p: step(F.concat(m, p)))
         if group_count is None:
             groups = F.transform(matches, lambda m: F.lit(None).cast("array<string>"))
@@ -129,7 +194,7 @@ def locate_matches(text: Column, pattern: Column, group_count: Column | None = N
                 F.sequence(F.lit(1), group_count), lambda g: F.regexp_extract_all(text, pattern, g)))
             groups = let(by_group, lambda all_groups: F.transform(
                 matches, lambda _, i: F.coalesce(
-                    F.transform(all_groups, lambda g: F.nullif(F.get(g, i), F.lit(""))),
+                    F.transform(all_groups, lambda g, k: F.when((F.get(g, i) != "") | F.get(nullable, k), F.get(g, i))),
                     F.array().cast("array<string>"))))
         return F.zip_with(F.zip_with(steps, matches, lambda s, m: F.struct(
             s["nl"].alias("nl"), s["tail"].alias("tail"), m.alias("text"))), groups,
@@ -180,6 +245,12 @@ def regex_hits(text: str, fold: str, specs: list[RegexSpec], language: str | Non
     return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
+def _named(names: Column, groups: Column) -> Column:
+    """The named groups of a match as a map."""
+    pairs = F.filter(F.arrays_zip(names.alias("name"), groups.alias("value")), lambda p: p["name"].isNotNull())
+    return F.map_from_entries(pairs)
+
+
 def locate_hits(text: Column, hits: Column, specs: list[RegexSpec], with_groups: bool = False) -> Column:
     """All matches of the expressions numbered in ``hits``, as one flat array.
 
@@ -188,14 +259,15 @@ def locate_hits(text: Column, hits: Column, specs: list[RegexSpec], with_groups:
     names = sorted({k for s in specs for k in s.attributes})
     known = F.expr(sql_literal([{
         "pattern_no": s.pattern_no, "java": s.java, "pattern": s.pattern,
-        "group_count": s.group_count,
+        "group_count": s.group_count, "nullable": s.nullable_groups or [False], "names": s.group_names or [None],
         "rule": {"owner_id": s.owner_id} | {n: s.attributes.get(n) for n in names}} for s in specs]))
 
     def one(spec: Column) -> Column:
-        found = locate_matches(text, spec["java"], spec["group_count"] if with_groups else None)
+        found = locate_matches(text, spec["java"], spec["group_count"] if with_groups else None, spec["nullable"])
         return F.transform(found, lambda m, i: F.struct(
             spec["rule"].alias("rule"), spec["pattern_no"].alias("pattern_no"), (i + 1).alias("match_no"),
             m["line"].alias("line_number"), m["col"].alias("column_number"), m["text"].alias("matched_text"),
-            spec["pattern"].alias("pattern"), m["groups"].alias("groups")))
+            spec["pattern"].alias("pattern"), m["groups"].alias("groups"),
+            *([_named(spec["names"], m["groups"]).alias("named_groups")] if with_groups else [])))
 
     return F.flatten(F.transform(hits, lambda number: let(F.get(known, number), one)))

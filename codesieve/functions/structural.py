@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from codesieve.catalog import fixed_values as V
 from codesieve.functions.expressions import contains_any, let, literals, sql_literal
 
-_RULES = {r[0]: r for r in V.RULES}
+#: Built-in values by rule id: id, title, severity, confidence, category, kind.
+STRUCTURAL_VALUES = {r[0]: r for r in V.RULES}
+_RULES = STRUCTURAL_VALUES
 
 
 def match(rule_id: str, title: str, severity: str, confidence: str, owasp_category: str,

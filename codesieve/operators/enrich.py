@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.catalog import tables
-from codesieve.functions.expressions import broadcast_if_small, let
+from codesieve.functions.expressions import let
 from codesieve.functions.text import highlight, snippet, split_lines
 
 FINDING_COLUMNS = [
@@ -21,19 +21,36 @@ RECORD_COLUMNS = [
     "primary_remediation", "alternative_remediation", "references", "tags", "pattern_id"]
 
 
+# Findings whose snippets are cut together; bounds what one row holds, and changes no result.
+SNIPPET_BLOCK = 16
+
+
+def with_snippets(findings: Column, text: Column, context: int = 2, escape: bool = False) -> Column:
+    """Findings of one file with ``code_snippet`` and ``highlighted_code`` cut from its text."""
+    def one(f: Column, lines: Column) -> Column:
+        return let(snippet(lines, f["line_number"], context), lambda code: f.withField("code_snippet", code)
+                   .withField("highlighted_code", highlight(code, f["matched_text"], escape)))
+
+    return let(split_lines(text), lambda lines: F.transform(findings, lambda f: one(f, lines)))
+
+
 def flatten_findings(file_results: DataFrame, context: int = 2, escape: bool = False) -> DataFrame:
     """One row per finding, with its snippet.
 
-    Snippets come with the finding; only where a file has too many on too long lines
-    (``long_text`` is set) they are cut here, one row at a time.
+    File results hold positions and the text; snippets are cut here, for a block of findings at a time, so
+    neither very many findings nor very long lines make a large row.
     """
-    flat = file_results.select("filename", "long_text", F.explode("findings").alias("f")) \
-        .select("filename", "long_text", "f.*")
-    cut = F.when(F.col("long_text").isNotNull(), let(
-        split_lines(F.col("long_text")), lambda lines: snippet(lines, F.col("line_number"), context)))
-    code = F.coalesce(F.col("code_snippet"), cut)
-    marked = F.coalesce(F.col("highlighted_code"), highlight(cut, F.col("matched_text"), escape))
-    return flat.withColumns({"code_snippet": code, "highlighted_code": marked}).drop("long_text")
+    blocks = F.transform(F.sequence(F.lit(1), F.size("findings"), F.lit(SNIPPET_BLOCK)),
+                         lambda i: F.slice("findings", i, F.lit(SNIPPET_BLOCK)))
+    blocks = F.when(F.size("findings") > 0, blocks)
+    found = file_results.select("filename", "text", F.explode(blocks).alias("block"))
+    cut = with_snippets(F.col("block"), F.col("text"), context, escape)
+    return found.select("filename", F.explode(cut).alias("f")).select("filename", "f.*")
+
+
+def flat_positions(file_results: DataFrame) -> DataFrame:
+    """One row per finding without its snippet; all that figures need."""
+    return file_results.select("filename", F.explode("findings").alias("f")).select("filename", "f.*")
 
 
 def enrich(matches: DataFrame, patterns: DataFrame | None = None,
@@ -42,8 +59,7 @@ def enrich(matches: DataFrame, patterns: DataFrame | None = None,
 
     Mapped rules take description, weaknesses and guidance from their pattern; a mapping to a
     missing pattern falls back to the category of the rule; unmapped rules fall in ``GEN``.
-    The built-in catalogue tables have a fixed size; tables of the caller are broadcast only when
-    they turn out small.
+    The built-in catalogue tables have a fixed size; for tables of the caller Spark chooses the join.
     """
     spark = matches.sparkSession
     mapping = tables.rule_pattern_map(spark) if rule_patterns is None else rule_patterns
@@ -56,7 +72,7 @@ def enrich(matches: DataFrame, patterns: DataFrame | None = None,
     known = mapping.select("rule_id", F.col("pattern_id").alias("_mapped")) \
         .join(catalogue, F.col("_mapped") == F.col("_pattern"), "left")
     built_in = patterns is None and rule_patterns is None
-    known = F.broadcast(known) if built_in else broadcast_if_small(known)
+    known = F.broadcast(known) if built_in else known
     joined = matches.join(known, "rule_id", "left") \
         .withColumn("owasp_category", F.when(F.col("_mapped").isNull(), "GEN").otherwise(F.col("owasp_category"))) \
         .withColumn("_code_used", F.coalesce("_pattern_category", "owasp_category")) \

@@ -10,47 +10,48 @@ from codesieve.catalog import specs as S
 from codesieve.functions.expressions import let, literals
 
 
-def cap_matches(matches: Column, limit: int = V.MAX_MATCHES_PER_RULE) -> Column:
+def cap_matches(matches: Column, limit: int) -> Column:
     """First ``limit`` matches of one rule in one file, in match order (the limit is the feature)."""
     in_order = F.array_sort(matches, lambda a, b: a["seq"] - b["seq"])
     return F.when(F.size(matches) > limit, F.slice(in_order, F.lit(1), F.lit(limit))).otherwise(matches)
 
 
-def rule_executions(file_results: DataFrame, rules: DataFrame, max_matches: int = V.MAX_MATCHES_PER_RULE,
+def rule_executions(file_results: DataFrame, rules: DataFrame, max_matches: int | None = None,
                     include_disabled: bool = True) -> DataFrame:
     """Log of every rule on every file.
 
     The rule list is a plan literal and the matches are in the file's row, so neither a join with
-    the rules nor a window over the matches is needed.
+    the rules nor a window over the matches is needed.  ``match_count`` is the true count; ``matches`` are cut, with a
+    warning, only if ``max_matches`` is given.  A rule with an expression that does not compile has status error.
     """
     chosen = rules if include_disabled else rules.filter("enabled")
-    rows = S._collect(chosen.select("rule_id", "rule_type", "enabled").orderBy("rule_id"))
+    rows = S._collect(chosen.select("rule_id", "rule_type", "enabled", "regexes").orderBy("rule_id"))
+    broken = [next(filter(None, map(S.compile_error, r["regexes"] or [])), None) for r in rows]
     grid = F.array(*[F.struct(
         F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["rule_type"]).alias("rule_type"),
-        F.lit(r["enabled"]).alias("enabled")) for r in rows])
+        F.lit(r["enabled"]).alias("enabled"), F.lit(b).cast("string").alias("broken")) for r, b in zip(rows, broken)])
     error, parsed = F.col("error"), F.coalesce(F.col("parsed"), F.lit(True))
 
     def one(rule: Column) -> Column:
-        status = F.when(~rule["enabled"], "skipped").when(error.isNotNull(), "error") \
+        status = F.when(~rule["enabled"], "skipped").when(error.isNotNull() | rule["broken"].isNotNull(), "error") \
             .when((rule["rule_type"] == "ast") & ~parsed, "failed").otherwise("success")
 
         def result(found: Column) -> Column:
-            over = F.size(found) > max_matches
+            over = F.size(found) > max_matches if max_matches else F.lit(False)
             return F.struct(
                 rule["rule_id"].alias("rule_id"), status.alias("status"),
-                F.least(F.size(found), F.lit(max_matches)).alias("match_count"),
-                cap_matches(found, max_matches).alias("matches"),
-                F.when(status == "error", error)
+                F.size(found).alias("match_count"),
+                (cap_matches(found, max_matches) if max_matches else found).alias("matches"),
+                F.when(status == "error", F.coalesce(error, rule["broken"]))
                 .when(status == "failed", "source does not parse").alias("error_message"),
                 F.when(over, F.array(F.format_string(
-                    "rule %s has too many matches, limited to %d", rule["rule_id"], F.lit(max_matches))))
+                    "rule %s has too many matches, limited to %d", rule["rule_id"], F.lit(max_matches or 0))))
                 .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
         mine = F.filter("findings", lambda f: rule["enabled"] & (f["rule_id"] == rule["rule_id"]))
         return let(mine, result)
 
-    return file_results.select("filename", F.explode(F.transform(grid, one)).alias("e")).select("filename", "e.*") \
-        .withColumn("execution_time", F.lit(None).cast("double"))
+    return file_results.select("filename", F.explode(F.transform(grid, one)).alias("e")).select("filename", "e.*")
 
 
 def execution_summary(executions: DataFrame) -> DataFrame:
@@ -60,9 +61,6 @@ def execution_summary(executions: DataFrame) -> DataFrame:
         total.alias("total_rules_executed"),
         F.count_if(F.col("status") == "success").alias("successful_rules"),
         F.coalesce(F.sum(F.col("match_count").cast("long")), F.lit(0)).alias("total_matches_found"),
-        F.coalesce(F.sum("execution_time"), F.lit(0.0)).alias("total_execution_time"),
-        F.coalesce(F.try_divide(F.coalesce(F.sum("execution_time"), F.lit(0.0)), total), F.lit(0.0))
-        .alias("average_execution_time"),
         *[F.count_if(F.col("status") == s).alias(f"status_{s}") for s in V.EXECUTION_STATUSES],
         with_matches.alias("rules_with_matches"),
         F.coalesce(F.try_divide(with_matches, total), F.lit(0.0)).alias("match_rate"))

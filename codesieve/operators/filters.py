@@ -43,7 +43,9 @@ def analyzable_files(files: DataFrame, options: ScanOptions, analyzers: dict[str
                      language: str | None = None) -> DataFrame:
     """All file filters of a scan, cheapest first."""
     globs = options.exclusion_globs
-    kept = with_analyzer(limit_size(files, options.max_file_bytes), analyzers)
+    if options.max_file_bytes is not None:
+        files = limit_size(files, options.max_file_bytes)
+    kept = with_analyzer(files, analyzers).filter(~F.col("language").isin(*options.disabled_languages))
     if language is not None:
         kept = only_language(kept, language, analyzers)
     return prune_directories(exclude_paths(kept, globs), globs)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codesieve.catalog import fixed_values as V
 from codesieve.catalog import tables
 from codesieve.functions.text import category_code, category_title
+from codesieve.operators.enrich import with_snippets
 
 SEVERITY_NAMES = [s[0] for s in V.SEVERITIES]
 
@@ -32,8 +33,10 @@ def severity_by_file(file_results: DataFrame) -> DataFrame:
 
 
 def file_report(file_results: DataFrame) -> DataFrame:
-    """File results with their finding count, nested findings included."""
-    return file_results.drop("long_text").withColumn("vulnerability_count", F.size("findings"))
+    """File results with their finding count, nested findings with their snippets included."""
+    return file_results.withColumn("findings", F.when(F.size("findings") > 0, with_snippets(F.col("findings"), F.col("text")))
+                                   .otherwise(with_snippets(F.col("findings"), F.lit("")))) \
+        .withColumn("vulnerability_count", F.size("findings")).drop("text")
 
 
 def files_with_findings(file_results: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ shuffled and never leaves the JVM except for the single Arrow transfer to the Py
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +18,11 @@ from codesieve.functions.expressions import bind, let
 from codesieve.functions.facts import code_facts
 from codesieve.functions.paths import base_name
 from codesieve.functions.regex import RegexSpec, folded, locate_hits, regex_hits
-from codesieve.functions.structural import STRUCTURAL_RULES, structural_matches
-from codesieve.functions.text import highlight, nonblank_lines, snippet, split_lines
+from codesieve.functions.structural import STRUCTURAL_RULES, STRUCTURAL_VALUES, structural_matches
+from codesieve.functions.text import nonblank_lines, severity_score
 
 StructuralRule = Callable[[Column], Column]
 
-# Snippets of a file are kept in its row while they have at most this many characters together.
-MAX_SNIPPET_CHARS = 64 * 1024 * 1024
-
 
 # ------------------------------------------------------------------ regex operators
 def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: str = "text",
@@ -38,7 +34,7 @@ def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: s
     hits = regex_hits("_text", "_fold", specs, "_language" if language else None)
     found = base.select(*key, F.explode(locate_hits(F.col("_text"), hits, specs, with_groups)).alias("m"))
     matches = found.select(*key, "m.rule.*", "m.*").drop("rule")
-    return matches if with_groups else matches.drop("groups")
+    return matches if with_groups else matches.drop("groups")  # named_groups come with_groups alone
 
 
 def rule_scan(texts: DataFrame, key: list[str], rule_ids: list[str] | None = None, **kwargs) -> DataFrame:
@@ -71,12 +67,6 @@ def with_facts(files: DataFrame, text: str = "text", language: str = "language")
     return bind(parsed, "facts", F.col("_facts")).drop("_facts")
 
 
-@lru_cache(maxsize=64)
-def _structural_column(application: str, rules: tuple[StructuralRule, ...]) -> Column:
-    """Matches in the column ``facts``; the expression is large, so each application builds it once."""
-    return structural_matches(F.col("facts"), list(rules))
-
-
 def structural_scan(facts: DataFrame, rules: list[str | StructuralRule], key: list[str]) -> DataFrame:
     """One row per match of structural rules, given by name or as an expression over facts."""
     expressions = [STRUCTURAL_RULES[r][2] if isinstance(r, str) else r for r in rules]
@@ -112,8 +102,7 @@ def function_quality(facts: DataFrame, key: list[str],
 # ------------------------------------------------------------------ the whole scan of a file
 # The type of one finding inside a file result.
 FINDING_TYPE = ("struct<rule_id:string,title:string,severity:string,confidence:string,owasp_category:string,"
-                "detail:string,line_number:int,column_number:int,seq:int,matched_text:string,"
-                "code_snippet:string,highlighted_code:string>")
+                "detail:string,line_number:int,column_number:int,seq:int,matched_text:string>")
 _RULE_TYPE = ("struct<owner_id:string,title:string,severity:string,confidence:string,owasp_category:string>")
 _NO_REGEX = ("struct<rule:struct<owner_id:string,confidence:string,detail:string,owasp_category:string,"
              "severity:string,title:string>,pattern_no:int,match_no:int,line_number:int,column_number:int,"
@@ -121,36 +110,61 @@ _NO_REGEX = ("struct<rule:struct<owner_id:string,confidence:string,detail:string
 _NO_STRUCTURE = f"struct<rule:{_RULE_TYPE},detail:string,line_number:int,column_number:int,seq:int>"
 
 
-def _finding(match: Column, detail: Column, seq: Column, matched_text: Column, code: Column,
-             escape: bool) -> Column:
+def _finding(match: Column, detail: Column, seq: Column, matched_text: Column) -> Column:
     rule = match["rule"]
-    return let(code, lambda c: F.struct(
+    return F.struct(
         rule["owner_id"].alias("rule_id"), rule["title"].alias("title"), rule["severity"].alias("severity"),
         rule["confidence"].alias("confidence"), rule["owasp_category"].alias("owasp_category"),
         detail.alias("detail"), match["line_number"].alias("line_number"),
-        match["column_number"].alias("column_number"), seq.alias("seq"), matched_text.alias("matched_text"),
-        c.alias("code_snippet"), highlight(c, matched_text, escape).alias("highlighted_code")))
+        match["column_number"].alias("column_number"), seq.alias("seq"), matched_text.alias("matched_text"))
+
+
+def _retuned(rule: StructuralRule, row: dict) -> StructuralRule:
+    """A built-in rule with the values of its table row, where these differ from the built-in ones."""
+    built_in = dict(zip(("rule_id", "title", "severity", "confidence", "owasp_category"), STRUCTURAL_VALUES[row["rule_id"]]))
+    changed = {k: row[k] for k in ("title", "severity", "confidence", "owasp_category") if row[k] != built_in[k]}
+
+    def matches(facts: Column) -> Column:
+        def one(m: Column) -> Column:
+            values = m["rule"]
+            for name, value in changed.items():
+                values = values.withField(name, F.lit(value).cast("string"))
+            return m.withField("rule", values)
 
+        return F.transform(rule(facts), one)
 
-def _snippets_fit(text: Column, lines: Column, count: Column, context: int) -> Column:
-    """True when the snippets of a file stay small: by its length, else by its longest line."""
-    window = 2 * context + 1
-    longest = F.array_max(F.transform(lines, F.length))
-    return (count * F.length(text) <= MAX_SNIPPET_CHARS) | (count * window * longest <= MAX_SNIPPET_CHARS)
+    return matches if changed else rule
+
+
+def _structural_rules(rules: DataFrame | None, min_severity: str) -> list[StructuralRule]:
+    """Built-in checks whose rule the table has as an enabled rule of its own kind, with the table's values."""
+    rows = S.structural_rows(rules)
+    out = []
+    for rule_id, severity, rule in STRUCTURAL_RULES.values():
+        row = rows.get(rule_id)
+        if row is not None:
+            retuned = row["severity"] != STRUCTURAL_VALUES[rule_id][2]
+            if S.reaches(row["severity"] if retuned else severity, min_severity):
+                out.append(_retuned(rule, row))
+    return out
+
+
+def _at_least(rule: StructuralRule, min_severity: str) -> StructuralRule:
+    """A custom rule without its matches below a severity."""
+    floor = S.severity_rank(min_severity)
+    return lambda facts: F.filter(rule(facts), lambda m: severity_score(m["rule"]["severity"]) >= floor)
 
 
 def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | None = None,
-               custom_rules: list[StructuralRule] = (), text: str = "text",
-               context: int = 2, escape: bool = False) -> DataFrame:
-    """One row per file with all its findings.
+               custom_rules: list[StructuralRule] = (), text: str = "text") -> DataFrame:
+    """One row per file with the positions of all its findings and its text.
 
     ``files`` has path, language, text and size.  Rules below ``min_severity`` or switched off are
-    left out of the plan, so they cost nothing.
+    left out of the plan, so they cost nothing.  Snippets are cut where findings are flattened.
     """
-    enabled = S.enabled_rule_ids(rules)
     specs = S.rule_specs(rules, min_severity)
-    structural = [rule for rule_id, severity, rule in STRUCTURAL_RULES.values()
-                  if rule_id in enabled and S.reaches(severity, min_severity)] + list(custom_rules)
+    structural = _structural_rules(rules, min_severity)
+    custom = [_at_least(rule, min_severity) for rule in custom_rules]
     other = [c for c in files.columns if c not in ("path", "language", text, "size")]
 
     # the text may be a decoding expression; bound, it is decoded once
@@ -160,27 +174,16 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     if specs:
         base = base.withColumn("_fold", folded(body))
         by_regex = locate_hits(body, regex_hits("_text", "_fold", specs), specs)
-    if structural:
+    if structural or custom:
         base = with_facts(base, "_text")
-        by_structure = F.when(F.col("facts.parsed"), _structural_column(
-            files.sparkSession.sparkContext.applicationId, tuple(structural)))
+        by_structure = F.when(F.col("facts.parsed"), structural_matches(F.col("facts"), structural + custom))
 
     empty = F.array().cast(f"array<{FINDING_TYPE}>")
 
-    def with_code(lines: Column, regex: Column, structure: Column) -> Column:
-        # Very many findings on very long lines would not fit a row; those snippets are cut when the
-        # findings are flattened, from the text kept in ``long_text``.
-        fits = _snippets_fit(body, lines, (F.size(regex) + F.size(structure)).cast("long"), context)
-        return let(fits, lambda ok: F.concat(
-            F.transform(regex, lambda m, i: _finding(
-                m, m["rule"]["detail"], i, m["matched_text"],
-                F.when(ok, snippet(lines, m["line_number"], context)), escape)),
-            F.transform(structure, lambda m: _finding(
-                m, m["detail"], m["seq"], F.lit(""),
-                F.when(ok, snippet(lines, m["line_number"], context)), escape))))
-
     def all_findings(regex: Column, structure: Column) -> Column:
-        return let(split_lines(body), lambda lines: with_code(lines, regex, structure))
+        return F.concat(
+            F.transform(regex, lambda m, i: _finding(m, m["rule"]["detail"], i, m["matched_text"])),
+            F.transform(structure, lambda m: _finding(m, m["detail"], m["seq"], F.lit(""))))
 
     no_structure = F.array().cast(f"array<{_NO_STRUCTURE}>")
     no_regex = F.array().cast(f"array<{_NO_REGEX}>")
@@ -188,16 +191,14 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     findings = let(by_regex if by_regex is not None else no_regex, lambda r: let(
         F.coalesce(by_structure, no_structure) if by_structure is not None else no_structure,
         lambda t: F.when(F.size(r) + F.size(t) > 0, all_findings(r, t)).otherwise(empty)))
-    parsed = F.col("facts.parsed") if structural else F.lit(None).cast("boolean")
-    scanned = bind(base.select(
+    parsed = F.col("facts.parsed") if structural or custom else F.lit(None).cast("boolean")
+    return bind(base.select(
         F.col("path").alias("filename"), "language",
         F.when(~readable, F.lit(V.UNREADABLE_FILE_ERROR)).alias("error"),
         F.col("size").alias("file_size"),
         F.when(readable, nonblank_lines(body)).otherwise(0).alias("lines_of_code"),
-        parsed.alias("parsed"), *other, body.alias("_text"), findings.alias("_findings")),
-        "findings", F.col("_findings"))
-    cut_later = F.exists("findings", lambda f: f["code_snippet"].isNull())
-    return scanned.withColumn("long_text", F.when(cut_later, F.col("_text"))).drop("_findings", "_text")
+        parsed.alias("parsed"), *other, body.alias("text"), findings.alias("_findings")),
+        "findings", F.col("_findings")).drop("_findings")
 
 
 _PYTHON_RULE_FIELDS = ["filename string", "rule_id string", "title string", "severity string", "confidence string",
@@ -205,7 +206,8 @@ _PYTHON_RULE_FIELDS = ["filename string", "rule_id string", "title string", "sev
                        "matched_text string", "error string"]
 
 
-def python_rule(files: DataFrame, check: Callable, path: str = "path", text: str = "text") -> DataFrame:
+def python_rule(files: DataFrame, check: Callable, path: str = "path", text: str = "text",
+                rule_id: str | None = None) -> DataFrame:
     """Matches of an arbitrary Python rule, ``check(path, text) -> iterable of match dicts``.
 
     Only the two columns the rule reads are sent to the workers, in Arrow batches.  A rule that
@@ -213,10 +215,10 @@ def python_rule(files: DataFrame, check: Callable, path: str = "path", text: str
     """
     def one_file(filename: str, source: str) -> list[dict]:
         try:
-            return [{"filename": filename, "matched_text": "", "column_number": 0} | match
+            return [{"filename": filename, "rule_id": rule_id, "matched_text": "", "column_number": 0} | match
                     for match in check(filename, source)]
         except Exception as problem:
-            return [{"filename": filename, "error": str(problem)}]
+            return [{"filename": filename, "rule_id": rule_id, "error": str(problem)}]
 
     def run(batches):
         import pyarrow as pa

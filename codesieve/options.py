@@ -39,10 +39,9 @@ class ScanOptions:
         names = [s[0] for s in V.SEVERITIES]
         if analysis["min_severity"] not in names:
             found.append(f"min_severity must be one of {names}, not {analysis['min_severity']!r}")
-        for name in ("max_file_size_mb", "timeout_per_file_seconds"):
-            value = analysis[name]
-            if isinstance(value, bool) or not isinstance(value, (int, float)) or value <= 0:
-                found.append(f"{name} must be a positive number, not {value!r}")
+        value = analysis["max_file_size_mb"]
+        if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or value <= 0):
+            found.append(f"max_file_size_mb must be a positive number or None, not {value!r}")
         return found
 
     def with_exclusions(self, *globs: str) -> ScanOptions:
@@ -59,14 +58,20 @@ class ScanOptions:
         return self.values["analysis"]["include_tests"]
 
     @property
-    def max_file_bytes(self) -> float:
-        return self.values["analysis"]["max_file_size_mb"] * 1024 * 1024
+    def max_file_bytes(self) -> float | None:
+        """Size limit, None (the default) for no limit."""
+        limit = self.values["analysis"]["max_file_size_mb"]
+        return None if limit is None else limit * 1024 * 1024
 
     @property
     def exclusion_globs(self) -> list[str]:
         exclusions = self.values["exclusions"]
         return exclusions["patterns"] + ([] if self.include_tests else exclusions["test_patterns"])
 
+    @property
+    def disabled_languages(self) -> list[str]:
+        return sorted(k for k, v in self.values["languages"].items() if not v.get("enabled", False))
+
     @property
     def enabled_languages(self) -> list[str]:
         return sorted(k for k, v in self.values["languages"].items() if v.get("enabled", False))

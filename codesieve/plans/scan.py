@@ -35,11 +35,12 @@ class Scan:
     def report(self) -> dict[str, DataFrame]:
         """Tables of the scan report."""
         findings = self.findings
+        figures = enrich.enrich(enrich.flat_positions(self.file_results))  # without snippets
         return {
             "summary": rollups.severity_totals(self.file_results),
-            "breakdown": rollups.breakdown(findings),
-            "categories": rollups.category_groups(findings),
-            "top_cwes": rollups.top_cwes(findings),
+            "breakdown": rollups.breakdown(figures),
+            "categories": rollups.category_groups(figures),
+            "top_cwes": rollups.top_cwes(figures),
             "findings": rollups.findings_by_category(findings),
             "files": rollups.file_report(self.file_results),
         }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -27,16 +26,11 @@ def write_report(report: dict[str, DataFrame], path: str, file_format: str = "js
 
 
 def shared_folder(spark) -> str:
-    """Folder for intermediate tables that all executors see: the cluster's checkpoint folder.
-
-    Only a local session (tests) without one falls back to a temporary folder.
-    """
+    """Folder for intermediate tables that all executors see: the cluster's checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="codesieve-")
+    if not folder:
+        raise ValueError("give a path, or set spark.checkpoint.dir to a folder shared by all executors")
+    return folder
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.catalog import fixed_values as V
 from codesieve.functions import content as C
 from codesieve.functions import paths, text
 
@@ -22,18 +21,6 @@ def source_files(table: DataFrame, path: str | Column = "path", content: str | C
     return named.select("path", size, F.col("content").alias("text"))
 
 
-def spread_small(table: DataFrame, max_bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
-    """Spread a small table over all cores before work that is heavy on CPU.
-
-    A small file (one row group) would be scanned by one task.  A table with more than
-    ``max_bytes_per_core`` of estimated input for each core already has enough tasks and is returned
-    as it is, so large tables are never shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(4 * cores) if estimate < max_bytes_per_core * cores else table
-
-
 def file_profile(files: DataFrame) -> DataFrame:
     """Profile of raw files ``(path, content[, read_error])``: type, language, lines, hash."""
     raw, path = F.col("content"), F.col("path")
@@ -56,7 +43,7 @@ def file_profile(files: DataFrame) -> DataFrame:
         paths.media_type(path).alias("mime_type"), "error")
 
 
-def safe_files(files: DataFrame, max_size: int = V.MAX_SAFE_READ_BYTES) -> DataFrame:
-    """Files that are small enough and text."""
+def safe_files(files: DataFrame, max_size: int | None = None) -> DataFrame:
+    """Text files, not above ``max_size`` if one is given."""
     size = F.length("content").cast("long")
     return files.filter(C.is_safe_to_read(F.col("path"), F.col("content"), size, max_size))

@@ -9,6 +9,7 @@ from codesieve.catalog import manage, tables
 from codesieve.operators import enrich, executions, filters, rollups, scan
 from codesieve.plans.scan import scan_run, self_check
 from codesieve.sources import sinks
+from codesieve.functions.structural import match
 from codesieve.sources.tables import file_profile, safe_files
 from codesieve.sources.tree import list_tree, read_contents
 from codesieve.streaming.files import scan_arriving_files
@@ -63,7 +64,9 @@ def test_tree_scan(spark, root):
     result = scan_tree(spark, root, partitions=4)
     files = {r.filename: r for r in result.file_results.collect()}
     assert set(files) == {"a.py", "A.PY", "b.pyw", "__init__.py", "_p.py", ".hid/c.py", "_priv/d.py", "empty.py",
-                          "src/tests/ok.py", "latin.py", "bom.py", "bad.py", "old.py", "deep/er/est/e.py"}
+                          "src/tests/ok.py", "latin.py", "bom.py", "bad.py", "old.py", "deep/er/est/e.py", "big.py"}
+    limited = scan_tree(spark, root, ScanOptions.of(max_file_size_mb=10), partitions=4)
+    assert set(files) - {r.filename for r in limited.file_results.collect()} == {"big.py"}
     assert files["empty.py"].error == V.UNREADABLE_FILE_ERROR and files["empty.py"].lines_of_code == 0
     assert files["bad.py"].parsed is False and files["bad.py"].error is None
     found = sorted((r.filename, r.rule_id, r.line_number) for r in result.findings.collect())
@@ -81,7 +84,7 @@ def test_options():
     assert "t/*" in ScanOptions.of({"exclusions": {"test_patterns": ["t/*"]}}).exclusion_globs
     assert ScanOptions.of().with_exclusions("q/*").exclusion_globs.count("q/*") == 1
     assert ScanOptions.of().exclusion_globs.count("q/*") == 0
-    for bad in ({"min_severity": "fatal"}, {"max_file_size_mb": 0}, {"timeout_per_file_seconds": "x"}):
+    for bad in ({"min_severity": "fatal"}, {"max_file_size_mb": 0}, {"max_file_size_mb": "x"}):
         with pytest.raises(ValueError):
             ScanOptions.of(**bad)
     with pytest.raises(ValueError):
@@ -111,16 +114,49 @@ def test_enrichment(spark):
     assert (unmapped.owasp_category, unmapped.owasp_category_name) == ("GEN", "GEN: General Security Issues")
 
 
-def test_long_lines_keep_their_snippets(spark, monkeypatch):
-    """Snippets too large for the file's row are cut when findings are flattened, with the same result."""
+def test_many_findings_on_long_lines_have_their_snippets(spark):
     source = "x = 1\n" + "eval(a); DEBUG = True; " * 50 + "\ny = 2\n"
-    files = source_table(spark, [("a.py", source), ("b.py", "eval(x)\n")])
-    want = sorted(map(str, enrich.findings(scan_table(files).file_results).collect()))
-    monkeypatch.setattr(scan, "MAX_SNIPPET_CHARS", 1000)
+    files = source_table(spark, [("a.py", source), ("b.py", "eval(x)\n"), ("c.py", "y = 1\n"), ("d.py", "")])
     results = scan_table(files).file_results
-    kept = {r.filename: r.long_text for r in results.collect()}
-    assert kept == {"a.py": source, "b.py": None}
-    assert sorted(map(str, enrich.findings(results).collect())) == want and len(want) == 151
+    flat = {(r.filename, r.rule_id, r.column_number): r.code_snippet for r in enrich.flatten_findings(results).collect()}
+    assert enrich.flatten_findings(results).count() == 151 and all(s and ("eval(" in s or "DEBUG" in s) for s in flat.values())
+    report = {r.filename: r for r in rollups.file_report(results).collect()}
+    assert {k: r.vulnerability_count for k, r in report.items()} == {"a.py": 150, "b.py": 1, "c.py": 0, "d.py": 0}
+    assert {(n, f.rule_id, f.column_number): f.code_snippet for n, r in report.items() for f in r.findings} == flat
+    assert all(f.highlighted_code for r in report.values() for f in r.findings)
+
+
+def test_the_rule_table_decides_structural_rules(spark):
+    files = source_table(spark, [("a.py", "import hashlib\nhashlib.md5(x)\neval(y)\nx = 1\n")])
+    one = lambda rules, severity="low", **more: sorted(
+        (f.rule_id, f.title, f.severity, f.line_number) for r in scan_table(
+            files, ScanOptions.of(min_severity=severity), rules=rules, **more).file_results.collect() for f in r.findings)
+    rules = tables.rules(spark)
+    regex = rules.filter("rule_id = 'PY004'").withColumns({"title": F.lit("x"), "rule_type": F.lit("regex"), "regexes": F.array(F.lit("eval"))})
+    assert [f for f in one(manage.upsert_rules(rules, regex)) if f[0] == "PY004"] == [("PY004", "x", "high", 3)]
+    renamed = rules.filter("rule_id = 'PY005'").withColumns({"title": F.lit("renamed"), "severity": F.lit("low")})
+    assert ("PY005", "renamed", "low", 3) in one(manage.upsert_rules(rules, renamed))
+    assert not [f for f in one(manage.upsert_rules(rules, renamed), "medium") if f[0] == "PY005"]
+    mine = lambda facts: F.transform(facts["calls"], lambda c: match("MINE", "mine", "low", "high", "A01", c, F.lit("d")))
+    assert [f for f in one(rules, custom_rules=[mine]) if f[0] == "MINE"] and not [
+        f for f in one(rules, "critical", custom_rules=[mine]) if f[0] == "MINE"]
+
+
+def test_broken_expressions_are_errors_of_their_rule(spark):
+    rules = tables.rules(spark).filter("rule_id in ('PY006', 'PY009')").withColumn(
+        "regexes", F.when(F.col("rule_id") == "PY009", F.array(F.lit("(abc"))).otherwise(F.col("regexes")))
+    checked = {r.rule_id: r for r in manage.validate_rules(rules).collect()}
+    assert checked["PY006"].is_valid and not checked["PY009"].is_valid and "does not compile" in checked["PY009"].errors[0]
+    files = source_table(spark, [("a.py", "DEBUG = True\n")])
+    log = {r.rule_id: r for r in executions.rule_executions(
+        scan_table(files, ScanOptions.of(min_severity="low"), rules=rules).file_results, rules).collect()}
+    assert (log["PY006"].status, log["PY009"].status) == ("success", "error") and "compile" in log["PY009"].error_message
+
+
+def test_languages_can_be_switched_off(spark):
+    files = source_table(spark, [("a.py", "DEBUG = True\n")])
+    off = ScanOptions.of({"languages": {"python": {"enabled": False}}})
+    assert scan_table(files, off).file_results.count() == 0 and scan_table(files).file_results.count() == 1
 
 
 def test_union_and_invariants(spark):
@@ -160,13 +196,15 @@ def test_execution_log(spark):
     assert got["a.py", "PY001"].status == "skipped" and got["bad.py", "PY002"].status == "failed"
     assert got["bad.py", "PY006"].status == "success" and got["e.py", "PY006"].status == "error"
     debug = got["a.py", "PY006"]
-    assert (debug.match_count, len(debug.matches), len(debug.warnings)) == (3, 3, 1)
+    assert (debug.match_count, len(debug.matches), len(debug.warnings)) == (8, 3, 1)
+    every = {(r.filename, r.rule_id): r for r in executions.rule_executions(results, rules).collect()}["a.py", "PY006"]
+    assert (every.match_count, len(every.matches), len(every.warnings)) == (8, 8, 0)
     assert [m.line_number for m in debug.matches] == [1, 2, 3]
     summary = executions.execution_summary(log).collect()[0]
     assert (summary.total_rules_executed, summary.status_skipped, summary.rules_with_matches) == (45, 3, 1)
-    assert summary.total_matches_found == 3 and abs(summary.match_rate - 1 / 45) < 1e-9
+    assert summary.total_matches_found == 8 and abs(summary.match_rate - 1 / 45) < 1e-9
     none = executions.execution_summary(log.filter("false")).collect()[0]
-    assert (none.total_rules_executed, none.match_rate, none.average_execution_time) == (0, 0.0, 0.0)
+    assert (none.total_rules_executed, none.match_rate) == (0, 0.0)
 
 
 def test_manage_rules(spark):
@@ -236,16 +274,10 @@ def test_python_rule_errors_are_rows(spark):
             raise ValueError("cannot read this")
         return [{"rule_id": "X", "line_number": 1}]
 
-    rows = {r.filename: r for r in scan.python_rule(source_table(spark, [("a", "x"), ("b", "bad")]), check, text="content").collect()}
+    files = source_table(spark, [("a", "x"), ("b", "bad")])
+    rows = {r.filename: r for r in scan.python_rule(files, check, text="content", rule_id="Y").collect()}
     assert (rows["a"].rule_id, rows["a"].error, rows["a"].column_number) == ("X", None, 0)
-    assert (rows["b"].rule_id, rows["b"].error, rows["b"].line_number) == (None, "cannot read this", None)
-
-
-def test_small_tables_are_spread_and_large_ones_are_not(spark):
-    from codesieve.sources.tables import spread_small
-    small = spark.range(100)
-    assert "Repartition" in spread_small(small)._jdf.queryExecution().toString()
-    assert "Repartition" not in spread_small(small, max_bytes_per_core=1)._jdf.queryExecution().toString()
+    assert (rows["b"].rule_id, rows["b"].error, rows["b"].line_number) == ("Y", "cannot read this", None)
 
 
 def test_profile(spark, root):
@@ -267,7 +299,7 @@ def test_sinks_and_report(spark, tmp_path):
     summary = spark.read.json(str(tmp_path / "report" / "summary")).collect()[0]
     assert (summary.total_vulnerabilities, summary.total_files) == (3, 2)
     assert scan_run(result, "corpus").collect()[0].target_path == "corpus"
-    assert sinks.materialize(files).count() == 2
+    assert sinks.materialize(files, str(tmp_path / "shared")).count() == 2
 
 
 def test_arriving_files(spark, tmp_path):

@@ -95,12 +95,21 @@ def test_translation_is_valid_java_spelling(text):
 def test_translation_spelling():
     assert java_pattern(r"(?i)a{2}\s*{").startswith("(?dmiu)a{2}[")
     assert java_pattern(r"(?i)a{2}\s*{").endswith(r"\{")
-    assert java_pattern(r"(?P<x>[[a])(?P=x)\Z") == r"(?dm)(?<x>[\[a])\k<x>\z"
+    assert java_pattern(r"(?P<x>[[a])(?P=x)\Z") == r"(?dm)(?<g0>[\[a])\k<g0>\z"
 
 
 def test_custom_patterns_equal_python(spark):
     specs = [RegexSpec("C", n, p) for n, p in enumerate(
-        [r"^\w+\s*=", r"[^\W\d]+$", r"(?P<q>['\"]).*?(?P=q)", r"a|b{1,2}", r"[]x]", r"\bé", r"x.y"])]
-    texts = ["a = 1\n bb'=\n", "x y x\ny x y", "q = \"it's\" + 'a'", "bbb]", "é é\nré", "١ = x_1"]
-    specs = [s for s in specs if s.pattern not in (r"\bé", r"[^\W\d]+$")]
+        [r"^\w+\s*=", r"[^\W\d]+$", r"a*", "^", "$", r"x|", r"(?P<my_name>a)b*(?P=my_name)?", r"(?#note)a[(?#]?", r"[\S]b", r"[\W_]+", r"(?P<q>['\"]).*?(?P=q)", r"a|b{1,2}", r"[]x]", r"\bé", r"x.y"])]
+    texts = ["a = 1\n bb'=\n", "x y x\ny x y", "q = \"it's\" + 'a'", "bbb]", "é é\nré", "١ = x_1", "baab\nxaa\n", "", "\n\n", "a\uffff\ufdd0\ufffeb(a#"]
     assert spark_matches(spark, texts, specs) == [python_matches(t, specs) for t in texts]
+
+
+def test_groups_that_match_nothing_and_named_groups(spark):
+    specs = [RegexSpec("G", n, p) for n, p in enumerate([r"(a*)b", r"(x)?(?P<tail_part>b+)(c|)", r"((?:q)|(b))"])]
+    texts = ["b", "aab xbb", "qb"]
+    assert spark_matches(spark, texts, specs) == [python_matches(t, specs) for t in texts]
+    df = spark.createDataFrame([(1, "aab xbb")], "id int, text string")
+    rows = regex_scan(df, specs[1:2], ["id"], with_groups=True).collect()
+    assert [r.named_groups for r in rows] == [{"tail_part": "b"}, {"tail_part": "bb"}]
+    assert "named_groups" not in regex_scan(df, specs, ["id"]).columns

@@ -103,6 +103,13 @@ BASE = (CODE_FILES_CTE, PY_FILES, EXPECTED, RULE_DIM, PATTERN_DIM, REGEX_MATCHES
 SEVERITY_SCORE = "CASE {} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 1 END"
 
 
+def secret_source(table: str, keys: str, key: str, text: str) -> str:
+    """Whole texts with a secret put into every third one, before or behind it by its key."""
+    secret = f"chr(10) || 'password = ''hunter' || {key} || 'xx''' || chr(10)"
+    return (f"(SELECT {keys}, CASE WHEN {key} % 3 <> 0 THEN {text} WHEN {key} % 2 = 0 THEN {secret} || {text} "
+            f"ELSE {text} || {secret} END AS {text} FROM {table})")
+
+
 def lines_of(text: str) -> str:
     pieces = f"string_split_regex({text}, {sql(LINE_ENDS)})"
     return (f"(CASE WHEN {pieces}[-1] = '' THEN list_slice({pieces}, 1, len({pieces}) - 1) ELSE {pieces} END)")
@@ -141,8 +148,8 @@ def build() -> dict[str, str]:
 
     # ---------------------------------------------------------------- regex scans
     out["secret_scan_documents"] = f"SELECT doc_id, {columns} FROM ({all_matches('documents', 'doc_id', secret)})"
-    for name, source, keys, text in (("documents", "documents", "doc_id", "text"), ("pages", "pages", "page_id", "html"),
-                                     ("conversations", "conversations", "conv_id, turn", "text")):
+    for name, source, keys, text in (("documents", "documents", "doc_id", "text"), ("pages", secret_source("pages", "page_id", "page_id", "html"), "page_id", "html"),
+                                     ("conversations", secret_source("conversations", "conv_id, turn", "conv_id", "text"), "conv_id, turn", "text")):
         out[f"rule_scan_{name}"] = (f"SELECT {keys}, owner_id AS rule_id, {columns} FROM "
                                     f"({all_matches(source, keys, RULE_SPECS, text)})")
     csharp = [(i, n, p) for i, row in PATTERNS.items() if "csharp" in row["languages"]
@@ -257,21 +264,16 @@ SELECT filename, rule_id, line_number, column_number, string_split(owasp_categor
     latin_only = "NOT regexp_matches(text, '[^\\x00-\\x{ff}]')"
     size = (f"CASE WHEN doc_id % 4 = 1 THEN 2 * length(text) + 2 WHEN doc_id % 4 = 2 AND {latin_only} "
             "THEN length(text) ELSE strlen(text) END")
-    # the first 8192 bytes in hex: a cut inside a character leaves a continuation byte behind the sample
-    sample = f"substring(hex(encode(text)), 1, {2 * V.TEXT_SAMPLE_BYTES})"
-    whole = f"substring(hex(encode(text)), {2 * V.TEXT_SAMPLE_BYTES + 1}, 1) NOT IN ('8', '9', 'A', 'B')"
-    printable = (f"4 * len(list_filter(regexp_extract_all({sample}, '..'), lambda b: (b >= '20' AND b <= '7E') "
-                 f"OR b IN ('09', '0A', '0D'))) > 3 * (length({sample}) // 2)")
-    latin = f"substring(text, 1, {V.TEXT_SAMPLE_BYTES})"
+    latin = "text"
     latin_text = (f"NOT regexp_matches({latin}, '[^\\x00-\\x7f]') OR "
                   f"4 * length(regexp_replace({latin}, '[^\\x20-\\x7e\\t\\n\\r]', '', 'g')) > 3 * length({latin})")
     by_content = (f"CASE WHEN text = '' THEN TRUE WHEN doc_id % 4 = 1 THEN FALSE "
-                  f"WHEN doc_id % 4 = 2 AND {latin_only} THEN {latin_text} ELSE {whole} OR {printable} END")
+                  f"WHEN doc_id % 4 = 2 AND {latin_only} THEN {latin_text} ELSE TRUE END")
     is_text = f"CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE {by_content} END"
     out["text_detection"] = (f"SELECT doc_id, {is_text} AS is_text, ({size}) <= 2000 AND ({is_text}) AS safe_2000 "
                              "FROM documents")
     out["encoding_detection"] = f"""SELECT doc_id, CASE WHEN text = '' THEN NULL
-  WHEN NOT regexp_matches({sample}, '^([0-7].)*[89A-F]') THEN 'ascii' WHEN {whole} THEN 'utf-8' END AS encoding FROM documents"""
+  WHEN NOT regexp_matches(text, '[^\\x00-\\x7f]') THEN 'ascii' ELSE 'utf-8' END AS encoding FROM documents"""
     is_ascii = ", ".join(str(i) for i, t in enumerate(TEMPLATES) if t.text.isascii() and t.text)
     out["file_profiles"] = with_(CODE_FILES_CTE, code_loc) + f"""
 SELECT path, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '\\.[^./]*$')) AS extension,
@@ -370,8 +372,7 @@ SELECT filename, rule_id, status, match_count, CASE status WHEN 'error' THEN '{V
   WHEN 'failed' THEN 'source does not parse' END AS error_message, CAST(0 AS BIGINT) AS warning_count FROM log"""
     out["exec_log_summary"] = log + """
 SELECT count(*) AS total_rules_executed, count(*) FILTER (status = 'success') AS successful_rules,
-  CAST(sum(match_count) AS BIGINT) AS total_matches_found, CAST(0 AS DOUBLE) AS total_execution_time,
-  CAST(0 AS DOUBLE) AS average_execution_time, count(*) FILTER (status = 'success') AS status_success,
+  CAST(sum(match_count) AS BIGINT) AS total_matches_found, count(*) FILTER (status = 'success') AS status_success,
   count(*) FILTER (status = 'failed') AS status_failed, count(*) FILTER (status = 'skipped') AS status_skipped,
   count(*) FILTER (status = 'timeout') AS status_timeout, count(*) FILTER (status = 'error') AS status_error,
   count(*) FILTER (match_count > 0) AS rules_with_matches,
@@ -392,6 +393,38 @@ FROM ranked WHERE rn = least(n, {MATCH_CAP})
 UNION ALL SELECT filename, rule_id, s.n, max(e.line_number), FALSE FROM structural s JOIN enriched e USING (filename, rule_id)
 GROUP BY ALL"""
 
+    out["anchor_scan"] = """
+SELECT doc_id, CAST(n AS INTEGER) AS pattern_no, CAST(i AS INTEGER) AS match_no, CAST(i AS INTEGER) AS line_number,
+  CAST(CASE n WHEN 0 THEN 0 ELSE length(ls[i]) END AS INTEGER) AS column_number, '' AS matched_text
+FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+CROSS JOIN (VALUES (0), (1)) v(n)"""
+    out["named_groups"] = """
+SELECT doc_id, CAST(i AS INTEGER) AS match_no, a[i] AS first_word, b[i] AS second
+FROM (SELECT doc_id, a, b, unnest(range(1, len(a) + 1)) AS i FROM (
+  SELECT doc_id, regexp_extract_all(text, '([A-Za-z]+) ([a-z]+)[.]', 1) AS a,
+    regexp_extract_all(text, '([A-Za-z]+) ([a-z]+)[.]', 2) AS b FROM documents))"""
+    out["match_counts"] = with_(*BASE) + "SELECT filename, rule_id, count(*) AS match_count FROM enriched GROUP BY ALL"
+    imports = all_matches("py_files", "path", [("PY004", 0, "import ")])
+    out["replaced_rule_scan"] = with_(CODE_FILES_CTE, PY_FILES) + f"""
+SELECT path AS filename, 'import statement' AS title, line_number, column_number FROM ({imports})"""
+    out["retuned_rule_scan"] = base + """
+SELECT filename, rule_id, CASE WHEN rule_id = 'PY005' THEN 'renamed' ELSE title END AS title,
+  CASE WHEN rule_id = 'PY005' THEN 'medium' ELSE severity END AS severity, line_number, column_number
+FROM enriched WHERE rule_id IN ('PY002', 'PY005')"""
+    commented = """(SELECT 'd' || doc_id || '.py' AS filename,
+      '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) || 'DEBUG = True' || chr(10) AS text FROM documents)"""
+    debug = all_matches(commented, "filename, text", [("PY006", n, p) for n, p in enumerate(V.RULE_REGEXES["PY006"])])
+    mark = f"'{V.HIGHLIGHT_OPEN}' || matched_text || '{V.HIGHLIGHT_CLOSE}'"
+    out["file_results_nested"] = f"""
+SELECT filename, owner_id AS rule_id, line_number, md5(snippet) AS snippet_md5,
+  md5(replace(snippet, matched_text, {mark})) AS highlighted_md5
+FROM (SELECT *, array_to_string({window_of(lines_of('text'), 'line_number', 2, 2)}, chr(10)) AS snippet FROM ({debug}))"""
+    out["broken_rule_log"] = base + f"""
+SELECT path AS filename, r.rule_id, CASE WHEN r.rule_id = 'PY009' OR text = '' THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN r.rule_id = 'PY009' THEN 0 ELSE count(e.filename) END AS match_count
+FROM py_files CROSS JOIN (VALUES ('PY006'), ('PY009')) r(rule_id) LEFT JOIN enriched e ON e.filename = path AND e.rule_id = r.rule_id
+GROUP BY path, r.rule_id, text"""
+
     # ---------------------------------------------------------------- rules as data
     out["rule_activity"] = base + """
 SELECT r.rule_id, r.title, r.severity, r.owasp_category, r.confidence, TRUE AS enabled, count(e.filename) AS finding_count

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from codesieve.catalog import fixed_values as V
 from codesieve.catalog import manage, tables
+from codesieve.functions.regex import RegexSpec
 from codesieve.functions import content, paths, structural, text
 from codesieve.operators import enrich, executions, filters, rollups, scan
 from codesieve.options import ScanOptions
 from codesieve.plans.scan import scan_table
-from codesieve.sources.tables import file_profile, source_files, spread_small
+from codesieve.sources.tables import file_profile, source_files
 from workload.corpus import code_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def with_secret(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Whole texts with a secret put into every third one, before or behind it by its key."""
+    secret = F.concat(F.lit("\npassword = 'hunter"), F.col(key).cast("string"), F.lit("xx'\n"))
+    return texts.withColumn(text, F.when(F.col(key) % 3 != 0, F.col(text))
+                            .when(F.col(key) % 2 == 0, F.concat(secret, text)).otherwise(F.concat(text, secret)))
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +62,11 @@ def found(spark: SparkSession, sf_dir: str, min_severity: str = "low") -> DataFr
     return enrich.findings(scanned(spark, sf_dir, min_severity))
 
 
+def positions(spark: SparkSession, sf_dir: str, min_severity: str = "low") -> DataFrame:
+    """Enriched findings without snippets, for figures."""
+    return enrich.enrich(enrich.flat_positions(scanned(spark, sf_dir, min_severity)))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.with_facts(python_files(spark, sf_dir)).select("path", "facts")
 
@@ -73,15 +86,32 @@ def rule_scan_documents(spark, sf_dir):
     return scan.rule_scan(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "rule_id", *MATCH_COLUMNS)
 
 
+@query
+def anchor_scan(spark, sf_dir):
+    """Expressions that match nothing but places: starts and ends of lines."""
+    specs = [RegexSpec("ANCHOR", 0, "^"), RegexSpec("ANCHOR", 1, "$")]
+    return scan.regex_scan(documents(spark, sf_dir), specs, ["doc_id"]).select("doc_id", *MATCH_COLUMNS)
+
+
+NAMED = "(?P<first_word>[A-Za-z]+) (?P<second>[a-z]+)[.]"
+
+
+@query
+def named_groups(spark, sf_dir):
+    found = scan.regex_scan(documents(spark, sf_dir), [RegexSpec("NAMED", 0, NAMED)], ["doc_id"], with_groups=True)
+    return found.select("doc_id", "match_no", F.col("named_groups")["first_word"].alias("first_word"),
+                        F.col("named_groups")["second"].alias("second"))
+
+
 @query
 def rule_scan_pages(spark, sf_dir):
-    pages = spread_small(table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = with_secret(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
     return scan.rule_scan(pages, ["page_id"], text="html").select("page_id", "rule_id", *MATCH_COLUMNS)
 
 
 @query
 def rule_scan_conversations(spark, sf_dir):
-    turns = spread_small(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    turns = with_secret(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "text")
     return scan.rule_scan(turns, ["conv_id", "turn"]).select("conv_id", "turn", "rule_id", *MATCH_COLUMNS)
 
 
@@ -430,27 +460,27 @@ def severity_total(spark, sf_dir):
 
 @query
 def category_counts(spark, sf_dir):
-    return rollups.category_counts(found(spark, sf_dir))
+    return rollups.category_counts(positions(spark, sf_dir))
 
 
 @query
 def cwe_counts(spark, sf_dir):
-    return rollups.cwe_counts(found(spark, sf_dir))
+    return rollups.cwe_counts(positions(spark, sf_dir))
 
 
 @query
 def cwe_top5(spark, sf_dir):
-    return rollups.top_cwes(found(spark, sf_dir))
+    return rollups.top_cwes(positions(spark, sf_dir))
 
 
 @query
 def exec_breakdown(spark, sf_dir):
-    return rollups.breakdown(found(spark, sf_dir))
+    return rollups.breakdown(positions(spark, sf_dir))
 
 
 @query
 def category_groups(spark, sf_dir):
-    return rollups.category_groups(found(spark, sf_dir))
+    return rollups.category_groups(positions(spark, sf_dir))
 
 
 @query
@@ -480,6 +510,54 @@ def exec_log_summary(spark, sf_dir):
         .withColumn("match_rate", F.round("match_rate", 6))
 
 
+@query
+def match_counts(spark, sf_dir):
+    """Matches per rule and file, without a limit."""
+    log = executions.rule_executions(scanned(spark, sf_dir), tables.rules(spark))
+    return log.filter("match_count > 0").select(
+        "filename", "rule_id", F.size("matches").cast("long").alias("match_count"))
+
+
+@query
+def replaced_rule_scan(spark, sf_dir):
+    """PY004 replaced by a regular expression: its built-in check no longer runs."""
+    rules = manage.upsert_rules(tables.rules(spark), tables.rules(spark).filter("rule_id = 'PY004'").withColumns({
+        "title": F.lit("import statement"), "rule_type": F.lit("regex"), "regexes": F.array(F.lit("import "))}))
+    return scanned(spark, sf_dir, rules=rules).select("filename", F.explode("findings").alias("f")) \
+        .filter("f.rule_id = 'PY004'").select("filename", "f.title", "f.line_number", "f.column_number")
+
+
+@query
+def retuned_rule_scan(spark, sf_dir):
+    """PY005 renamed and lowered, PY002 kept: the table decides title, severity and threshold."""
+    rules = tables.rules(spark).filter("rule_id in ('PY002', 'PY005')") \
+        .withColumn("title", F.when(F.col("rule_id") == "PY005", "renamed").otherwise(F.col("title"))) \
+        .withColumn("severity", F.when(F.col("rule_id") == "PY005", "medium").otherwise(F.col("severity")))
+    return scanned(spark, sf_dir, "medium", rules=rules).select("filename", F.explode("findings").alias("f")) \
+        .select("filename", "f.rule_id", "f.title", "f.severity", "f.line_number", "f.column_number")
+
+
+@query
+def file_results_nested(spark, sf_dir):
+    """Nested findings of file reports with their snippets, over the whole documents as Python comments and calls."""
+    text = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")), F.lit("\nDEBUG = True\n"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".py")).alias("path"), text.alias("text"))
+    rules = tables.rules(spark).filter("rule_id = 'PY006'")
+    report = rollups.file_report(scan_table(files, content="text", rules=rules).file_results)
+    return report.select("filename", F.explode("findings").alias("f")).select(
+        "filename", "f.rule_id", "f.line_number", F.md5("f.code_snippet").alias("snippet_md5"),
+        F.md5("f.highlighted_code").alias("highlighted_md5"))
+
+
+@query
+def broken_rule_log(spark, sf_dir):
+    """A rule whose expression does not compile is logged as an error; the others run."""
+    rules = tables.rules(spark).filter("rule_id in ('PY006', 'PY009')").withColumn(
+        "regexes", F.when(F.col("rule_id") == "PY009", F.array(F.lit("(abc"))).otherwise(F.col("regexes")))
+    log = executions.rule_executions(scanned(spark, sf_dir, rules=rules), rules)
+    return log.select("filename", "rule_id", "status", F.col("match_count").cast("long").alias("match_count"))
+
+
 @query
 def exec_status(spark, sf_dir):
     return executions.status_breakdown(executions.rule_executions(scanned(spark, sf_dir), tables.rules(spark)))
@@ -501,7 +579,7 @@ def match_cap(spark, sf_dir):
     """Matches per rule and file limited to ten, with the warning flag."""
     log = executions.rule_executions(scanned(spark, sf_dir), tables.rules(spark), MATCH_CAP)
     return log.filter("match_count > 0").select(
-        "filename", "rule_id", F.col("match_count").cast("long").alias("match_count"),
+        "filename", "rule_id", F.size("matches").cast("long").alias("match_count"),
         F.element_at("matches", -1)["line_number"].alias("last_line"),
         (F.size("warnings") > 0).alias("limited"))
 
@@ -510,7 +588,7 @@ def match_cap(spark, sf_dir):
 @query
 def rule_activity(spark, sf_dir):
     """Every rule with its metadata and finding count, rules without findings included."""
-    counts = found(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"))
+    counts = positions(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"))
     return manage.rule_metadata(tables.rules(spark)).join(counts, "rule_id", "left").select(
         "rule_id", "title", "severity", "owasp_category", "confidence", "enabled",
         F.coalesce("n", F.lit(0)).alias("finding_count"))
@@ -594,7 +672,7 @@ def patterns_per_language(spark, sf_dir):
 def pattern_search(spark, sf_dir):
     """Findings of the patterns whose tags mention injection."""
     hits = manage.search_patterns(tables.patterns(spark), "injection", "tags").select("pattern_id", "name")
-    return found(spark, sf_dir).join(F.broadcast(hits), "pattern_id").groupBy("pattern_id", "name") \
+    return positions(spark, sf_dir).join(F.broadcast(hits), "pattern_id").groupBy("pattern_id", "name") \
         .agg(F.count("*").alias("finding_count"))
 
 
