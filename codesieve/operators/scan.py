@@ -160,15 +160,17 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     """One row per file with the positions of all its findings and its text.
 
     ``files`` has path, language, text and size.  Rules below ``min_severity`` or switched off are
-    left out of the plan, so they cost nothing.  Snippets are cut where findings are flattened.
+    left out of the plan, so they cost nothing.  ``read_error``, if there, is why a text is missing.  Snippets are cut where findings are flattened.
     """
     specs = S.rule_specs(rules, min_severity)
     structural = _structural_rules(rules, min_severity)
     custom = [_at_least(rule, min_severity) for rule in custom_rules]
-    other = [c for c in files.columns if c not in ("path", "language", text, "size")]
+    why = "read_error" if "read_error" in files.columns else None
+    other = [c for c in files.columns if c not in ("path", "language", text, "size", why)]
 
     # the text may be a decoding expression; bound, it is decoded once
-    base = bind(files.select("path", "language", "size", *other, F.col(text).alias("_raw")), "_text", F.col("_raw"))
+    base = bind(files.select("path", "language", "size", *other, F.col(text).alias("_raw"), (
+        F.col(why) if why else F.lit(None).cast("string")).alias("_why")), "_text", F.col("_raw"))
     body = F.col("_text")
     by_regex = by_structure = None
     if specs:
@@ -194,7 +196,7 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     parsed = F.col("facts.parsed") if structural or custom else F.lit(None).cast("boolean")
     return bind(base.select(
         F.col("path").alias("filename"), "language",
-        F.when(~readable, F.lit(V.UNREADABLE_FILE_ERROR)).alias("error"),
+        F.when(~readable, F.coalesce("_why", F.lit(V.UNREADABLE_FILE_ERROR))).alias("error"),
         F.col("size").alias("file_size"),
         F.when(readable, nonblank_lines(body)).otherwise(0).alias("lines_of_code"),
         parsed.alias("parsed"), *other, body.alias("text"), findings.alias("_findings")),

@@ -64,7 +64,8 @@ def scan_tree(spark: SparkSession, root: str, options: ScanOptions | None = None
     """Scan a directory tree; excluded files are never read."""
     options = options or ScanOptions.of()
     listed = filters.analyzable_files(list_tree(spark, root), options, analyzers, language)
-    read = read_contents(listed, partitions).select("path", "language", "size", decode_text(F.col("content")).alias("text"))
+    read = read_contents(listed, partitions).select(
+        "path", "language", "size", decode_text(F.col("content")).alias("text"), F.coalesce("error", "read_error").alias("read_error"))
     return Scan(scan_files(read, options.min_severity, rules, custom_rules), options)
 
 

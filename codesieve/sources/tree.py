@@ -15,45 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LISTING_SCHEMA = "path string, size bigint, is_directory boolean"
-# Levels opened one by one and spread over the cluster before whole subtrees are walked.
-SPREAD_LEVELS = 3
+LISTING_SCHEMA = "path string, size bigint, is_directory boolean, error string"
 ROWS_PER_BATCH = 10_000
+#: Contents that one task reads.
+BYTES_PER_TASK = 128 * 1024 * 1024
 
 
-def _list_local(directory: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Sub-directories (links are not followed) and files (path, size) of a local directory."""
-    directories, files = [], []
+def _list_local(directory: str) -> Iterator[tuple]:
+    """Entries of a local directory; links to directories are not followed, what cannot be read is an error row."""
     try:
         with os.scandir(directory) as entries:
             for entry in entries:
                 try:
                     if entry.is_dir(follow_symlinks=False):
-                        directories.append(entry.path)
+                        yield entry.path, 0, True, None
                     elif entry.is_file():
-                        files.append((entry.path, entry.stat().st_size))
-                except OSError:
-                    continue  # vanished or unreadable between listing and stat
-    except OSError:
-        pass  # an unreadable directory hides its subtree and stops nothing else
-    return directories, files
+                        yield entry.path, entry.stat().st_size, False, None
+                except OSError as problem:
+                    yield entry.path, None, False, str(problem)
+    except OSError as problem:
+        yield directory, None, False, str(problem)
 
 
-def _list_remote(directory: str) -> tuple[list[str], list[tuple[str, int]]]:
+def _list_remote(directory: str) -> Iterator[tuple]:
     from pyarrow import fs
 
-    filesystem, path = fs.FileSystem.from_uri(directory)
-    scheme = directory[:len(directory) - len(path)]
-    directories, files = [], []
-    for info in filesystem.get_file_info(fs.FileSelector(path, recursive=False)):
-        if info.type == fs.FileType.Directory:
-            directories.append(scheme + info.path)
-        elif info.type == fs.FileType.File:
-            files.append((scheme + info.path, info.size))
-    return directories, files
-
-
-def list_directory(directory: str) -> tuple[list[str], list[tuple[str, int]]]:
+    try:
+        filesystem, path = fs.FileSystem.from_uri(directory)
+        scheme = directory[:len(directory) - len(path)]
+        for info in filesystem.get_file_info(fs.FileSelector(path, recursive=False)):
+            if info.type in (fs.FileType.Directory, fs.FileType.File):
+                is_directory = info.type == fs.FileType.Directory
+                yield scheme + info.path, 0 if is_directory else info.size, is_directory, None
+    except OSError as problem:
+        yield directory, None, False, str(problem)
+
+
+def list_directory(directory: str) -> Iterator[tuple]:
+    """Path, size, whether it is a directory, and error of each entry."""
     return _list_remote(directory) if "://" in directory else _list_local(directory)
 
 
@@ -67,11 +66,9 @@ class TreeReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         root = partition.value
         if "://" not in root and os.path.isfile(root):
-            yield root, os.path.getsize(root), False
-            return
-        directories, files = list_directory(root)
-        yield from ((path, 0, True) for path in directories)
-        yield from ((path, size, False) for path, size in files)
+            yield root, os.path.getsize(root), False, None
+        else:
+            yield from list_directory(root)
 
 
 class TreeSource(DataSource):
@@ -88,57 +85,39 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def _entries(directory: str, recursive: bool) -> Iterator[tuple]:
-    stack = [directory]
-    while stack:
-        directories, files = list_directory(stack.pop())
-        yield from ((path, size, False) for path, size in files)
-        if recursive:
-            stack.extend(directories)
-        else:
-            yield from ((path, 0, True) for path in directories)
-
-
-def _opener(recursive: bool):
-    """Replace directories by their entries; files pass through."""
-    def run(batches):
-        import itertools
-
-        import pandas as pd
-
-        def rows():
-            for batch in batches:
-                for path, size, is_directory in batch.itertuples(index=False):
-                    if is_directory:
-                        yield from _entries(path, recursive)
-                    else:
-                        yield path, size, False
+def _open_directories(batches):
+    """The entries of each directory."""
+    import itertools
 
-        for chunk in itertools.batched(rows(), ROWS_PER_BATCH):
-            yield pd.DataFrame(chunk, columns=["path", "size", "is_directory"])
+    import pandas as pd
 
-    return run
+    rows = (row for batch in batches for path in batch["path"] for row in list_directory(path))
+    for chunk in itertools.batched(rows, ROWS_PER_BATCH):
+        yield pd.DataFrame(chunk, columns=["path", "size", "is_directory", "error"]).astype({"size": "Int64"})
 
 
 def _tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def list_tree(spark: SparkSession, root: str, tasks: int | None = None, spread_levels: int = SPREAD_LEVELS) -> DataFrame:
-    """Files below ``root``: full path, path relative to the root, name and size.
+def list_tree(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+    """Files below ``root``: full path, path relative to the root, name, size and error (why it could not be listed).
 
-    Only paths are shuffled; a subtree that holds most of the files is spread as well.
+    Directories are opened level by level and spread over all tasks on each, until none is left, so no task walks a
+    subtree.  Only paths are shuffled; each level is listed once and kept.
     """
     spark.dataSource.register(TreeSource)
     base, tasks = root.rstrip("/") or "/", tasks or _tasks(spark)
-    entries = spark.read.format("source_tree").load(root)
-    for level in range(max(1, spread_levels)):
-        last = level >= spread_levels - 1
-        entries = entries.repartition(tasks, "path").mapInPandas(_opener(last), LISTING_SCHEMA)
+    level = spark.read.format("source_tree").load(root).persist()
+    entries = level
+    while not (directories := level.filter("is_directory")).isEmpty():
+        level = directories.select("path").repartition(tasks, "path").mapInPandas(_open_directories, LISTING_SCHEMA).persist()
+        entries = entries.unionByName(level)
+    entries = entries.filter("not is_directory")
     name = F.substring_index("path", "/", -1)
     below = F.when(F.col("path") == base, name) \
         .otherwise(F.substring(F.col("path"), len(base.rstrip("/")) + 2, 1 << 30))
-    return entries.select(F.col("path").alias("full_path"), below.alias("path"), name.alias("name"), "size")
+    return entries.select(F.col("path").alias("full_path"), below.alias("path"), name.alias("name"), "size", "error")
 
 
 def _read_files(batches):
@@ -183,11 +162,12 @@ def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFram
     """Add ``content`` and ``read_error`` to a (filtered) listing.
 
     The listing is spread over ``partitions`` tasks first, because one subtree may hold most files.
-    Only paths are shuffled.  Aim for about 128 MB of content per task; the default is the larger of
-    the shuffle partitions and four tasks per core.
+    Only paths are shuffled.  The default is so many tasks that each reads about 128 MB, and at least the larger
+    of the shuffle partitions and four tasks per core.
     """
-    spark = listing.sparkSession
-    partitions = partitions or _tasks(spark)
+    if partitions is None:
+        total = listing.agg(F.sum("size")).first()[0] or 0
+        partitions = max(_tasks(listing.sparkSession), -(-total // BYTES_PER_TASK))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listing.schema.fields)
     return listing.repartition(partitions, "full_path") \
         .mapInArrow(_read_files, f"{schema}, content binary, read_error string")

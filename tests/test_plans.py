@@ -36,9 +36,9 @@ def root(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("tasks,levels", [(1, 1), (3, 2), (5, 6)])
-def test_tree_lists_every_file(spark, root, tasks, levels):
-    listed = {r.path: r["size"] for r in list_tree(spark, root, tasks, levels).collect()}
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_tree_lists_every_file(spark, root, tasks):
+    listed = {r.path: r["size"] for r in list_tree(spark, root, tasks).collect()}
     assert listed == {name: len(data) for name, data in FILES.items()}
 
 
@@ -77,6 +77,26 @@ def test_tree_scan(spark, root):
         ("old.py", "PY003", 2), ("deep/er/est/e.py", "PY005", 1)])
 
 
+def test_deep_trees_unreadable_entries_and_their_errors(spark, tmp_path):
+    folder = tmp_path / "deep"
+    branch = folder.joinpath(*[f"level{k}" for k in range(10)])
+    branch.mkdir(parents=True)
+    for k in range(5):
+        (branch / f"f{k}.py").write_text("eval(x)\n")
+    (folder / "gone.py").symlink_to(folder / "nowhere.py")
+    os.symlink(folder, branch / "loop")
+    listed = {r.path: r for r in list_tree(spark, str(folder), tasks=3).collect()}
+    below = "/".join(f"level{k}" for k in range(10))
+    assert set(listed) == {f"{below}/f{k}.py" for k in range(5)} and all(r.error is None for r in listed.values())
+    missing = list_tree(spark, str(folder / "not there")).collect()
+    assert len(missing) == 1 and "No such file" in missing[0].error
+    lost = list_tree(spark, str(folder)).withColumns({
+        "full_path": F.concat("full_path", F.lit("x")), "language": F.lit("python")})
+    read = read_contents(lost).select("path", "language", "size", F.col("content").cast("string").alias("text"), "read_error")
+    errors = {r.error for r in scan.scan_files(read).collect()}
+    assert len(errors) == 5 and all("No such file" in e for e in errors)
+
+
 def test_options():
     options = ScanOptions.of({"exclusions": {"test_patterns": ["t/*"]}}, min_severity="high", include_tests=True)
     assert (options.min_severity, options.exclusion_globs) == ("high", V.DEFAULT_OPTIONS["exclusions"]["patterns"])
