@@ -23,13 +23,8 @@ CATEGORIES = [
 ]
 
 # --------------------------------------------------------------------------- fixed values
-# Severities: (severity, score, response_time, business_impact)
-SEVERITIES = [
-    ("critical", 4, "24 hours", "High"),
-    ("high", 3, "72 hours", "Medium-High"),
-    ("medium", 2, "1 week", "Medium"),
-    ("low", 1, "1 month", "Low"),
-]
+# Severities: (severity, score)
+SEVERITIES = [("critical", 4), ("high", 3), ("medium", 2), ("low", 1)]
 CONFIDENCES = ["low", "medium", "high"]
 UNKNOWN_SEVERITY_SCORE = 1
 EXECUTION_STATUSES = ["success", "failed", "skipped", "timeout", "error"]
@@ -257,13 +252,7 @@ RENDER_WORD = "render"
 UNESCAPED_KEYWORD_WORD = "safe"
 DISCLOSING_CALLS = ["print", "return", "render"]
 SENSITIVE_WORDS = ["password", "token", "secret", "key", "auth"]
-RISKY_IMPORTS = [
-    ("subprocess", "Command execution capabilities"),
-    ("os", "System operations access"),
-    ("pickle", "Insecure deserialization risk"),
-    ("eval", "Dynamic code execution"),
-    ("exec", "Dynamic code execution"),
-]
+RISKY_IMPORTS = ["subprocess", "os", "pickle", "eval", "exec"]
 MAX_FUNCTION_COMPLEXITY = 15
 
 # --------------------------------------------------------------------------- fixed values
@@ -314,33 +303,3 @@ MAX_RULE_ID_LENGTH = 50
 UNREADABLE_FILE_ERROR = "Could not read file content"
 HIGHLIGHT_OPEN = '<mark class="vulnerability-highlight">'
 HIGHLIGHT_CLOSE = "</mark>"
-
-# --------------------------------------------------------------------------- fixed values
-# Reference links per pattern: (category page, CWE number, cheat sheet)
-TOP10_PAGES = {
-    "A01": "A01_2021-Broken_Access_Control",
-    "A02": "A02_2021-Cryptographic_Failures",
-    "A03": "A03_2021-Injection",
-    "A04": "A04_2021-Insecure_Design",
-    "A05": "A05_2021-Security_Misconfiguration",
-    "A06": "A06_2021-Vulnerable_and_Outdated_Components",
-    "A07": "A07_2021-Identification_and_Authentication_Failures",
-    "A08": "A08_2021-Software_and_Data_Integrity_Failures",
-    "A09": "A09_2021-Security_Logging_and_Monitoring_Failures",
-    "A10": "A10_2021-Server-Side_Request_Forgery_%28SSRF%29",
-}
-PATTERN_LINKS = {
-    "A01_001": (22, "Insecure_Direct_Object_Reference_Prevention_Cheat_Sheet"),
-    "A01_002": (862, "Authorization_Cheat_Sheet"),
-    "A02_001": (798, "Secrets_Management_Cheat_Sheet"),
-    "A02_002": (327, "Cryptographic_Storage_Cheat_Sheet"),
-    "A03_001": (89, "SQL_Injection_Prevention_Cheat_Sheet"),
-    "A03_002": (78, "OS_Command_Injection_Defense_Cheat_Sheet"),
-    "A04_001": (770, "Denial_of_Service_Cheat_Sheet"),
-    "A05_001": (489, "Error_Handling_Cheat_Sheet"),
-    "A06_001": (1104, "Vulnerable_Dependency_Management_Cheat_Sheet"),
-    "A07_001": (287, "Authentication_Cheat_Sheet"),
-    "A08_001": (502, "Deserialization_Cheat_Sheet"),
-    "A09_001": (532, "Logging_Cheat_Sheet"),
-    "A10_001": (918, "Server_Side_Request_Forgery_Prevention_Cheat_Sheet"),
-}

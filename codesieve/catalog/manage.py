@@ -135,12 +135,20 @@ def supported_categories(rules: DataFrame) -> DataFrame:
 
 
 def rule_statistics(rules: DataFrame) -> DataFrame:
-    """One row: totals by state and kind, with the sorted categories and rule ids."""
+    """One row: totals by state and kind, with the sorted categories and the number of different rule ids.
+
+    The ids themselves are rows (``rule_ids``): a table of rules has no bound.
+    """
     kinds = [F.count_if(F.col("rule_type") == t).alias(f"{t}_rules") for t in V.RULE_TYPES]
     return rules.agg(
         F.count("*").alias("total_rules"), F.count_if("enabled").alias("enabled_rules"), *kinds,
         F.sort_array(F.collect_set("owasp_category")).alias("categories"),
-        F.sort_array(F.collect_set("rule_id")).alias("rule_ids"))
+        F.count_distinct("rule_id").alias("distinct_ids"))
+
+
+def rule_ids(rules: DataFrame) -> DataFrame:
+    """The different rule ids, sorted."""
+    return rules.select("rule_id").distinct().orderBy("rule_id")
 
 
 def rules_by_type(rules: DataFrame) -> DataFrame:

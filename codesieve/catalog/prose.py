@@ -1,13 +1,13 @@
 """Our own wording for the catalogue: descriptions, guidance and worked examples.
 
 Every example is a line of code that at least one expression of its own pattern finds
-(checked by ``tests/test_catalog.py``).
+(checked by ``tests/test_plans.py``).
 """
 
 CATEGORY_NOTES = {
     # category_id: (description, risk factors, impact)
     "A01": ("A user can act outside the permissions they were given.",
-            ["missing permission check", "privilege escalation", "guessable object ids"],
+            ["missing permission check", "rights gained that were never given", "guessable object ids"],
             "High: data of other users can be read or changed"),
     "A02": ("Cryptography is missing, outdated or badly keyed, so protected data leaks.",
             ["broken algorithms", "keys in source code", "poor key handling"],
@@ -96,12 +96,12 @@ PATTERN_NOTES = {
         "A debug or development switch is on; error pages then show code, paths and settings.",
         "Take the switch from the environment and default it to off.",
         "Check the setting in the release procedure and in a start-up test.",
-        ["DEBUG = True", "app.debug = True", "app.run(debug=True)"]),
+        ["DEBUG = True", "app.debug=True  # left on", "app.run(debug=True)"]),
     "A06_001": (
         "A pinned version belongs to a line that no longer gets security fixes.",
         "Scan dependencies in the build and upgrade to a maintained line.",
         "Keep a list of versions and check it against advisories at fixed intervals.",
-        ["Django==1.11.29", "Flask==0.12.4", "requests==2.5.3"]),
+        ["django==1.8.2", "flask==0.10.1", "requests==2.4.0"]),
     "A07_001": (
         "Authentication compares against a constant or relies on a value anyone can set.",
         "Use a maintained authentication framework with password hashing and a second factor.",
@@ -143,3 +143,18 @@ RULE_NOTES = {
     "PY014": "Exception details are shown to the user",
     "PY015": "A secret is printed",
 }
+
+# severity: (time to react, effect on the owner)
+SEVERITY_TIMES = {
+    "critical": ("at once, within a day", "systems or data are lost"),
+    "high": ("in the next few days", "systems or data are at risk"),
+    "medium": ("in the current iteration", "defences are thinner than meant"),
+    "low": ("when the code is next touched", "little by itself"),
+}
+IMPORT_REASONS = {
+    "subprocess": "can start other programs",
+    "os": "reaches files, processes and the environment",
+    "pickle": "loading data can run code",
+    "eval": "runs text as an expression",
+    "exec": "runs text as statements",
+}

@@ -40,11 +40,9 @@ def rule_rows() -> list[dict]:
             for rule_id, title, severity, confidence, category, _ in V.RULES]
 
 
-def references(pattern_id: str) -> list[str]:
-    cwe, sheet = V.PATTERN_LINKS[pattern_id]
-    return [f"https://owasp.org/Top10/{V.TOP10_PAGES[pattern_id[:3]]}/",
-            f"https://cwe.mitre.org/data/definitions/{cwe}.html",
-            f"https://cheatsheetseries.owasp.org/cheatsheets/{sheet}.html"]
+def references(cwe_ids: list[int]) -> list[str]:
+    """The public page of each weakness of a pattern."""
+    return [f"https://cwe.mitre.org/data/definitions/{cwe}.html" for cwe in cwe_ids]
 
 
 def pattern_rows() -> list[dict]:
@@ -56,7 +54,7 @@ def pattern_rows() -> list[dict]:
             "severity": severity, "confidence": confidence, "owasp_category": pattern_id[:3],
             "cwe_ids": cwes, "regex_patterns": V.PATTERN_REGEXES[pattern_id], "examples": examples,
             "primary_remediation": primary, "alternative_remediation": alternative,
-            "references": references(pattern_id), "languages": languages, "tags": tags})
+            "references": references(cwes), "languages": languages, "tags": tags})
     return rows
 
 
@@ -86,7 +84,8 @@ def severities(spark: SparkSession) -> DataFrame:
               ("response_time", pa.string()), ("business_impact", pa.string())]
     return local_table(spark, fields, [
         {"severity": s, "score": score, "description": prose.SEVERITY_NOTES[s],
-         "response_time": time, "business_impact": impact} for s, score, time, impact in V.SEVERITIES])
+         "response_time": prose.SEVERITY_TIMES[s][0], "business_impact": prose.SEVERITY_TIMES[s][1]}
+        for s, score in V.SEVERITIES])
 
 
 def languages(spark: SparkSession, analyzers: dict[str, list[str]] | None = None) -> DataFrame:
@@ -103,7 +102,7 @@ def extension_map(spark: SparkSession) -> DataFrame:
 
 def risky_imports(spark: SparkSession) -> DataFrame:
     return local_table(spark, [("module", pa.string()), ("reason", pa.string())],
-                       [{"module": m, "reason": r} for m, r in V.RISKY_IMPORTS])
+                       [{"module": m, "reason": prose.IMPORT_REASONS[m]} for m in V.RISKY_IMPORTS])
 
 
 def rule_listing(spark: SparkSession) -> DataFrame:

@@ -8,7 +8,7 @@ written by hand as well.
 from __future__ import annotations
 
 from codesieve.catalog import fixed_values as V
-from codesieve.catalog import tables
+from codesieve.catalog import prose, tables
 from codesieve.functions.paths import MEDIA_TYPES
 from workload.corpus import CODE_FILES_CTE, K, TEMPLATES, language_case, python_templates, quote
 from workload.queries import MATCH_CAP, RULE_QUERIES, SIZE_LIMIT, STRUCTURAL_QUERIES
@@ -205,7 +205,7 @@ FROM py_files JOIN expected USING (template_id) WHERE rule_id = '{ids[rules[0]]}
 SELECT path, CASE WHEN template_id NOT IN ({ids(empty)}) THEN template_id NOT IN ({ids(broken)}) END AS parsed FROM py_files"""
     modules = values("modules", "template_id, module", [(i, m) for i, t in enumerate(TEMPLATES) for m in t.imports])
     out["imports"] = with_(CODE_FILES_CTE, modules) + "SELECT path, module FROM code_files JOIN modules USING (template_id)"
-    risky = values("risky", "module, reason", list(V.RISKY_IMPORTS))
+    risky = values("risky", "module, reason", list(prose.IMPORT_REASONS.items()))
     out["risky_imports"] = with_(CODE_FILES_CTE, modules, risky) + (
         "SELECT path, module, reason FROM code_files JOIN modules USING (template_id) JOIN risky USING (module)")
     function_rows = values("fn", "template_id, raw_name, line_number, args, decorators, has_docstring, complexity",

@@ -715,7 +715,7 @@ def derived_rule_statistics(spark, sf_dir):
     rules = candidate_rules(spark, sf_dir).withColumn("rule_type", manage.rule_type())
     return manage.rule_statistics(rules).select(
         "total_rules", "enabled_rules", *[f"{t}_rules" for t in V.RULE_TYPES], joined("categories"),
-        F.size("rule_ids").cast("long").alias("distinct_ids"))
+        "distinct_ids")
 
 
 @query
