@@ -120,8 +120,9 @@ def duplicate_lines(docs: DataFrame, rare: int = 8, min_words: int = 3, id_colum
     """id, text_hash, numbers: the numbers (from 0) of the lines to delete, per document that has any."""
     key = F.struct(*KEY)
     held = written(_lines(docs, id_column, text_column, min_words), "lines")
-    spread = held.groupBy("line").agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last")) \
-        .where("first <> last")
+    # written, so that the join below can broadcast it or split the rows of a hot line
+    spread = written(held.groupBy("line").agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+                     .where("first <> last"), "repeated-lines")
     shared = written(held.join(spread, "line").withColumn("is_first", key == F.col("first")).drop("last"), "shared")
     common = shared.where(f"rows > {int(rare)} and not is_first").select(*KEY, F.explode("numbers").alias("number"))
     seldom = shared.where(f"rows <= {int(rare)}")
