@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.llm.lineage import slices
+
 FOUND = "doc_id long, unit string, position long, license string, score double"
 
 _COPYRIGHT = re.compile(r"^\s*(copyright|\(c\)|©).*$", re.MULTILINE)
@@ -148,7 +150,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for kind, position, unit in units(text or ""):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.lineage import written
+from codesieve.llm.lineage import slices, written
 
 KEY = ["id", "text_hash"]
 
@@ -83,7 +83,7 @@ def _lines(docs: DataFrame, id_column: str, text_column: str, min_words: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes, lines, places, numbers = [], [], [], [], []
             for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
                 place, at = 0, {}
@@ -133,7 +133,7 @@ def duplicate_lines(docs: DataFrame, rare: int = 8, min_words: int = 3, id_colum
         "before", F.col("places").alias("after"), "numbers")).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes, numbers = [], [], []
             for doc, text_hash, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 by_first: dict[tuple, list] = {}

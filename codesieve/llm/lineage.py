@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to few rows each: what Python holds of long texts at a time stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.llm.components import components
-from codesieve.llm.lineage import written
+from codesieve.llm.lineage import slices, written
 
 CHUNK = 1 << 15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
     """doc_id, text_hash and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             # bytes.lower folds A-Z alone, bytes.split cuts at ASCII white space alone
             values = [fingerprint((t or "").encode().lower().split(), shingle) for t in batch.column(1).to_pylist()]
             signed = np.array(values, np.uint64).view(np.int64)
