@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import chat, decontamination, language, licenses, line_dedup, neighbours, packing, records, simhash, tokens, url_filter
+from codesieve.llm import (
+    chat, decontamination, language, licenses, line_dedup, merkle, neighbours, ngram_join, packing, prefix_trie, records, simhash, tokens,
+    url_filter)
 from codesieve.llm.lineage import new_path
 
 #: Tokenizer files of the installed package: how each treats a space before a word.
@@ -180,6 +182,128 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that share their first turns with the one at the last full hundred."""
+    number = F.col("conv_id")
+    turns, members = prefix_trie.shared_openings(
+        prefix_trie.turn_rows(table(spark, folder, "conversations")), base=number - number % 100,
+        opening=F.crc32(number.cast("string")) % 6, most=5)
+    return prefix_trie.trie(turns, members).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def _sql_crc32(text: str) -> str:
+    """CRC-32 of a text of ASCII characters."""
+    bits = "lambda c, k: xor(c >> 1, 3988292384::BIGINT * (c & 1))"
+    return (f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), "
+            f"lambda r, x: list_reduce([xor(r, x)] || range(8), {bits})), 4294967295::BIGINT)")
+
+
+ORACLE_11 = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(role || chr(10) || text ORDER BY nth) AS said, list(length(text) ORDER BY nth) AS sizes FROM turns GROUP BY conv_id),
+hashed AS (SELECT *, {_sql_crc32("conv_id::VARCHAR")} % 6 AS h FROM own),
+rebuilt AS (
+  SELECT x.conv_id, coalesce(list_slice(b.said, 1, x.h), []) || x.said[x.h + 1:] AS said,
+         coalesce(list_slice(b.sizes, 1, x.h), []) || x.sizes[x.h + 1:] AS sizes
+  FROM hashed x LEFT JOIN own b ON b.conv_id = x.conv_id - x.conv_id % 100),
+starts AS (SELECT *, unnest(range(len(said) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT list_slice(said, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(any_value(sizes[depth]), 0) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(said) = depth), '')) AS ends_sha256
+  FROM starts GROUP BY 1, depth),
+kids AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)),
+above AS (
+  SELECT list_slice(path, 1, d) AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM counted) GROUP BY ALL)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, a.n_leaves, a.saved_tokens, c.ends_sha256
+FROM counted c JOIN above a USING (path) LEFT JOIN counted p ON c.depth > 0 AND p.path = list_slice(c.path, 1, c.depth - 1)
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+
+    def leaf(text):
+        return merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(F.translate("text", upper, lower)))
+    return merkle.manifest(docs, leaf(F.col("text")), tampered=tampered).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _oracle_12(levels: int = 4, source_levels: int = 3) -> str:
+    """Runs of 16 by window functions, for sources of up to 16^levels rows and 16^source_levels sources."""
+    def field(x: str) -> str:
+        return f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""rows AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_sql_crc32("doc_id::VARCHAR")} % 5 = 0
+  THEN {leaf(folded)} ELSE {leaf("text")} END AS held FROM documents)""",
+             """l0 AS (SELECT doc_id, source, leaf, leaf AS own, held, '' AS proof,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY source) AS n FROM rows)"""]
+    last = "l0"
+
+    def climb(tree: str, levels: int, name: str, keep: str) -> None:
+        nonlocal last
+        for k in range(1, levels + 1):
+            part = f"PARTITION BY {tree} i // 16"
+            parts.append(f"""{name}n{k} AS (SELECT DISTINCT {tree} i, n, own FROM {last})""")
+            parts.append(f"""{name}r{k} AS (SELECT *,
+  coalesce(string_agg(own, '') OVER ({part} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(own, '') OVER ({part} ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}n{k})""")
+            on = "x.source IS NOT DISTINCT FROM y.source AND x.i = y.i" if tree else "x.i = y.i"
+            parts.append(f"""{name}{k} AS (SELECT {keep}, CASE WHEN x.n > 1 THEN sha256(l || x.own || r) ELSE x.own END AS own,
+  CASE WHEN x.n > 1 THEN sha256(l || held || r) ELSE held END AS held, CASE WHEN x.n > 1 THEN proof || l || r ELSE proof END AS proof,
+  x.i // 16 AS i, CASE WHEN x.n > 1 THEN (x.n + 15) // 16 ELSE 1 END AS n FROM {last} x JOIN {name}r{k} y ON {on})""")
+            last = f"{name}{k}"
+
+    climb("source,", levels, "l", "x.doc_id, x.source, x.leaf")
+    parts.append(f"""tops AS (SELECT source, any_value(own) AS subroot FROM {last} GROUP BY source)""")
+    parts.append("""numbered AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tops)""")
+    parts.append(f"""s0 AS (SELECT x.doc_id, x.leaf, y.subroot, y.subroot AS own, held, proof, y.i, y.n
+  FROM {last} x JOIN numbered y ON x.source IS NOT DISTINCT FROM y.source)""")
+    last = "s0"
+    climb("", source_levels, "s", "x.doc_id, x.leaf, x.subroot")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, own AS root, sha256(proof) AS proof_sha256, held AS folded_root, held = own AS verified FROM {last}"""
+
+
+def op13_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_sets(table(spark, folder, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_13 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) END AS g FROM worded),
+sized AS (SELECT doc_id, len(g) AS n, g FROM sets),
+grams AS (SELECT doc_id, n, unnest(g) AS gram FROM sized),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  WHERE 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_id)) AS component_id FROM sized s LEFT JOIN least_of l ON l.a = s.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
@@ -192,10 +316,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_license_scan": op9_license_scan,
     "op10_token_records": op10_token_records,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": ORACLE_2,
     "op6_chat_formatting": ORACLE_6,
     "op9_license_scan": ORACLE_9,
+    "op11_prefix_trie": ORACLE_11,
+    "op12_merkle_manifest": _oracle_12(),
+    "op13_ngram_jaccard": ORACLE_13,
 }
