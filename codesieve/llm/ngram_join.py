@@ -137,7 +137,7 @@ def sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
     rows = docs.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add_up, "chunk int, counts binary")
     levels = np.zeros((1 << cells) // width * width, np.uint8).reshape(-1, width)
     # as many bytes as there are counters
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         levels[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return levels.ravel()
 
@@ -188,13 +188,15 @@ def columns(grams: np.ndarray, levels: np.ndarray, cells: int) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """sum_a, sum_b, n_shingles and grams (the whole set) of the documents whose sums are in ``wanted``, and of a few
-    others: the sums are looked up in a bit map of fixed size."""
-    bits = 23
-    cell = F.shiftrightunsigned("sum_b", 64 - bits)
+    """node and grams (the whole set) of the sets in ``wanted`` (node, sum_a, sum_b, n_shingles). Their sums are looked up
+    in a bit map of fixed size before a set leaves Python; what passes by chance falls to the join."""
+    bits = 26
+    key = ["sum_a", "sum_b", "n_shingles"]
+    place = F.shiftrightunsigned("sum_b", 64 - bits)
+    # at most 2^20 words
+    marks = wanted.select(F.shiftrightunsigned(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit")) \
+        .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
     words = np.zeros(1 << (bits - 6), np.int64)
-    marks = wanted.groupBy(F.shiftrightunsigned(cell, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sum_b, {64 - bits}) & 63 AS INT))")).alias("bits")).toPandas()
     words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
     broadcast = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
@@ -205,8 +207,8 @@ def full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 own = grams.of(text)
                 other = int(_mixed(own).sum(dtype=np.uint64))
-                place = other >> 64 - bits
-                if int(words[place >> 6]) >> (place & 63) & 1:
+                at = other >> 64 - bits
+                if int(words[at >> 6]) >> (at & 63) & 1:
                     rows.append((int(own.sum(dtype=np.uint64)), other, len(own), own.view(np.int64)))
             if rows:
                 a, b, sizes, sets = zip(*rows)
@@ -215,7 +217,8 @@ def full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                      pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
                     names=["sum_a", "sum_b", "n_shingles", "grams"])
 
-    return docs.select("text").mapInArrow(run, "sum_a long, sum_b long, n_shingles long, grams array<long>")
+    found = docs.select("text").mapInArrow(run, "sum_a long, sum_b long, n_shingles long, grams array<long>")
+    return written(found.dropDuplicates(key).join(wanted, key).select("node", "grams"), "whole")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,20 +231,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b")
 
 
-def _product(pairs: DataFrame, percent: int) -> DataFrame:
-    """Accumulated overlaps of pairs (a, b, their sizes n_a, n_b and last columns), one row per common column -> pairs whose
-    overlap can still reach what their sizes ask for."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(x).alias(x) for x in ("n_a", "n_b", "last_a", "last_b")))
+def ceiling(value, by: int):
+    return F.floor((value + (by - 1)) / by)
 
-    def ceiling(value, by: int):
-        return F.floor((value + (by - 1)) / by)
 
+def _possible(percent: int):
+    """Whether the overlap of a pair can still reach what its sizes (n_a, n_b) ask for, given ``common`` (columns of the
+    first block that it shares, or a bound of that) and the last columns of their first blocks (last_a, last_b)."""
     def rest(size: str):
         return ceiling(F.col(size) * percent, 100) - 1
 
-    # all columns up to the smaller last one have been multiplied, so that set alone bounds what is to come
+    # all columns up to the smaller last one belong to the block, so that set alone bounds what is to come
     bound = F.col("common") + F.when(F.col("last_a") < F.col("last_b"), rest("n_a")).otherwise(rest("n_b"))
-    return counted.where(bound >= ceiling((F.col("n_a") + F.col("n_b")) * percent, 100 + percent)).select("a", "b")
+    return bound >= ceiling((F.col("n_a") + F.col("n_b")) * percent, 100 + percent)
 
 
 def _sized(percent: int):
@@ -261,18 +263,28 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
                    .withColumn("node", F.monotonically_increasing_id()), "sets")
     cell = written(sets.where(F.size("first") > 0).select(
         "node", F.col("n_shingles").alias("n"), F.element_at("first", -1).alias("last"), F.explode("first").alias("column")), "cells")
-    heads = cell.groupBy("column").agg(F.min(F.struct("n", "node", "last")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    shared = written(cell.join(heads.select("column", "head"), "column"), "shared")
-    nodes = shared.select("node").distinct()
-    wanted = sets.select("node", *key).join(nodes, "node")
-    whole = written(full_sets(docs, n, wanted.select("sum_b")).dropDuplicates(key).join(wanted, key).select("node", "grams"), "whole")
-
-    stars = shared.where("node <> head.node").select(
-        F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b")) \
-        .where(_sized(percent)).select("a", "b").distinct()
+    several = cell.groupBy("column").agg(F.count("*").alias("members")).where("members > 1").select("column")
+    shared = written(cell.join(several, "column"), "shared")
+    times = written(shared.groupBy("node").agg(F.count("*").alias("times")), "times")
+    # the member with the fewest columns of its own is the likeliest to be in the middle of its copies
+    middle = F.struct((F.col("n") - ceiling(F.col("n") * percent, 100) - F.col("times")).alias("own"), "n", "node", "last")
+    counted = shared.join(times, "node")
+    heads = counted.groupBy("column").agg(F.min(middle).alias("head"))
+    named = sets.select("node", *key)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    stars = shared.join(heads, "column").where("node <> head.node").select(
+        F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"),
+        F.col("head.last").alias("last_a"), F.col("last").alias("last_b")).where(_sized(percent)).distinct()
+    stars = stars.join(times.select(F.col("node").alias("a"), F.col("times").alias("times_a")), "a") \
+        .join(times.select(F.col("node").alias("b"), F.col("times").alias("times_b")), "b").withColumn("common", F.least("times_a", "times_b"))
+    stars = written(stars.where(_possible(percent)).select("a", "b"), "stars")
+    whole = full_sets(docs, n, named.join(ends(stars), "node"))
     links = written(_linked(stars, whole, percent), "links")
     labels = written(components(links), "labels")
-    labelled = written(shared.drop("head").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    labelled = written(shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     most = labelled.groupBy("column", "component").agg(F.count("*").alias("times")).groupBy("column").agg(
         F.max_by("component", F.struct("times", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
     mixed = written(labelled.join(most.select("column", "most"), "column"), "mixed")
@@ -283,10 +295,13 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
                 *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(f"{x}_a") for x in ("n", "last")),
                 *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(f"{x}_b") for x in ("n", "last")))
-    across = written(_linked(_product(pairs, percent), whole, percent), "links")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(x).alias(x) for x in ("n_a", "n_b", "last_a", "last_b")))
+    left = written(counted.where(_possible(percent)).select("a", "b"), "left")
+    more = full_sets(docs, n, named.join(ends(left).join(whole.select("node"), "node", "left_anti"), "node"))
+    across = written(_linked(left, whole.unionByName(more), percent), "links")
     classes = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
-    named = sets.select(*key, "node", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = named.join(smallest, "component").select(*key, "node", "component", "component_id")
+    labelled = sets.select(*key, "node", "first_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = labelled.join(smallest, "component").select(*key, "node", "component", "component_id")
     return rows.join(found, key, "left").select(
         "doc_id", "n_shingles", "node", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
