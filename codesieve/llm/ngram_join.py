@@ -33,30 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm.components import components
 from codesieve.llm.lineage import slices, written
 
-#: Texts longer than this are split into words piece by piece; a memo of words is emptied beyond so many.
-PIECE_BYTES, MEMO_WORDS = 1 << 20, 1 << 18
+#: Texts longer than this are split into words piece by piece.
+PIECE_BYTES = 1 << 20
 #: Counters per row in which sketches travel.
 CHUNK = 1 << 12
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
-    """Hash of each word, XXH64."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = self[word] = xxh64_intdigest(word)
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _B
     x = (x ^ (x >> np.uint64(29))) * _A
@@ -67,7 +57,9 @@ class Grams:
     """The distinct n-grams of texts, as sorted unsigned hashes."""
 
     def __init__(self, n: int):
-        self.n, self.memo = n, _Words()
+        from xxhash import xxh64_digest
+
+        self.n, self.hash = n, xxh64_digest
 
     def _words(self, data: bytes) -> np.ndarray:
         parts, low = [], 0
@@ -76,11 +68,8 @@ class Grams:
             if high < len(data):
                 cut = _SPACE.search(data, high)
                 high = cut.start() if cut else len(data)
-            words = data[low:high].split()
-            parts.append(np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words)))
+            parts.append(np.frombuffer(b"".join(map(self.hash, data[low:high].split())), np.uint64))
             low = high
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
     def of(self, text: str | None) -> np.ndarray:
@@ -92,7 +81,8 @@ class Grams:
         grams = np.full(len(words) - size + 1, size, np.uint64)
         for k in range(size):
             grams = _mixed(grams * _A + words[k:len(words) - size + 1 + k])
-        return np.unique(grams)
+        grams.sort()
+        return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -188,11 +178,11 @@ def columns(grams: np.ndarray, levels: np.ndarray, cells: int) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """node and grams (the whole set) of the sets in ``wanted`` (node, sum_a, sum_b, n_shingles). Their sums are looked up
-    in a bit map of fixed size before a set leaves Python; what passes by chance falls to the join."""
+    """node and grams (the whole set) of the sets in ``wanted`` (node, first_id, sum_a, sum_b, n_shingles), read from
+    document first_id. The ids are looked up in a bit map of fixed size; what passes it by chance falls to the join."""
     bits = 26
     key = ["sum_a", "sum_b", "n_shingles"]
-    place = F.shiftrightunsigned("sum_b", 64 - bits)
+    place = F.shiftrightunsigned(F.xxhash64("first_id"), 64 - bits)
     # at most 2^20 words
     marks = wanted.select(F.shiftrightunsigned(place, 6).alias("word"), place.bitwiseAND(63).cast("int").alias("bit")) \
         .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
@@ -202,22 +192,19 @@ def full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words = Grams(n), broadcast.value
-        for batch in slices(batches, 128):
-            rows = []
-            for text in batch.column(0).to_pylist():
-                own = grams.of(text)
-                other = int(_mixed(own).sum(dtype=np.uint64))
-                at = other >> 64 - bits
-                if int(words[at >> 6]) >> (at & 63) & 1:
-                    rows.append((int(own.sum(dtype=np.uint64)), other, len(own), own.view(np.int64)))
-            if rows:
-                a, b, sizes, sets = zip(*rows)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            marked = words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+            for part in slices([batch.filter(pa.array(marked))], 128):
+                sets = [grams.of(text) for text in part.column(1).to_pylist()]
+                a = [int(x.sum(dtype=np.uint64)) for x in sets]
+                b = [int(_mixed(x).sum(dtype=np.uint64)) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)),
-                     pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                     pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
                     names=["sum_a", "sum_b", "n_shingles", "grams"])
 
-    found = docs.select("text").mapInArrow(run, "sum_a long, sum_b long, n_shingles long, grams array<long>")
+    found = docs.select(F.xxhash64("doc_id"), "text").mapInArrow(run, "sum_a long, sum_b long, n_shingles long, grams array<long>")
     return written(found.dropDuplicates(key).join(wanted, key).select("node", "grams"), "whole")
 
 
@@ -235,14 +222,14 @@ def ceiling(value, by: int):
     return F.floor((value + (by - 1)) / by)
 
 
-def _possible(percent: int):
-    """Whether the overlap of a pair can still reach what its sizes (n_a, n_b) ask for, given ``common`` (columns of the
-    first block that it shares, or a bound of that) and the last columns of their first blocks (last_a, last_b)."""
+def _possible(percent: int, common: Column):
+    """Whether the overlap of a pair can still reach what its sizes (n_a, n_b) ask for, given how many columns of the first
+    block it has in common (or a bound of that) and the last columns of their first blocks (last_a, last_b)."""
     def rest(size: str):
         return ceiling(F.col(size) * percent, 100) - 1
 
     # all columns up to the smaller last one belong to the block, so that set alone bounds what is to come
-    bound = F.col("common") + F.when(F.col("last_a") < F.col("last_b"), rest("n_a")).otherwise(rest("n_b"))
+    bound = common + F.when(F.col("last_a") < F.col("last_b"), rest("n_a")).otherwise(rest("n_b"))
     return bound >= ceiling((F.col("n_a") + F.col("n_b")) * percent, 100 + percent)
 
 
@@ -270,7 +257,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
     middle = F.struct((F.col("n") - ceiling(F.col("n") * percent, 100) - F.col("times")).alias("own"), "n", "node", "last")
     counted = shared.join(times, "node")
     heads = counted.groupBy("column").agg(F.min(middle).alias("head"))
-    named = sets.select("node", *key)
+    named = sets.select("node", "first_id", *key)
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -279,8 +266,8 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
         F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"),
         F.col("head.last").alias("last_a"), F.col("last").alias("last_b")).where(_sized(percent)).distinct()
     stars = stars.join(times.select(F.col("node").alias("a"), F.col("times").alias("times_a")), "a") \
-        .join(times.select(F.col("node").alias("b"), F.col("times").alias("times_b")), "b").withColumn("common", F.least("times_a", "times_b"))
-    stars = written(stars.where(_possible(percent)).select("a", "b"), "stars")
+        .join(times.select(F.col("node").alias("b"), F.col("times").alias("times_b")), "b")
+    stars = written(stars.where(_possible(percent, F.least("times_a", "times_b"))).select("a", "b"), "stars")
     whole = full_sets(docs, n, named.join(ends(stars), "node"))
     links = written(_linked(stars, whole, percent), "links")
     labels = written(components(links), "labels")
@@ -288,15 +275,19 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
     most = labelled.groupBy("column", "component").agg(F.count("*").alias("times")).groupBy("column").agg(
         F.max_by("component", F.struct("times", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
     mixed = written(labelled.join(most.select("column", "most"), "column"), "mixed")
-    ones = mixed.where("component <> most").select("column", *(F.col(x).alias(f"{x}_a") for x in ("node", "n", "last", "component")))
-    twos = mixed.select("column", "most", *(F.col(x).alias(f"{x}_b") for x in ("node", "n", "last", "component")))
+    # no pair has more columns in common than either has left, which keeps most pairs from being made at all
+    mixed = written(mixed.join(mixed.groupBy("node").agg(F.count("*").alias("times")), "node"), "mixed")
+    values = ("node", "n", "last", "component", "times")
+    ones = mixed.where("component <> most").select("column", *(F.col(x).alias(f"{x}_a") for x in values))
+    twos = mixed.select("column", "most", *(F.col(x).alias(f"{x}_b") for x in values))
     pairs = ones.join(twos, "column").where((F.col("component_a") != F.col("component_b")) & _sized(percent)
+                                            & _possible(percent, F.least("times_a", "times_b"))
                                             & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))) \
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
                 *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(f"{x}_a") for x in ("n", "last")),
                 *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(f"{x}_b") for x in ("n", "last")))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(x).alias(x) for x in ("n_a", "n_b", "last_a", "last_b")))
-    left = written(counted.where(_possible(percent)).select("a", "b"), "left")
+    left = written(counted.where(_possible(percent, F.col("common"))).select("a", "b"), "left")
     more = full_sets(docs, n, named.join(ends(left).join(whole.select("node"), "node", "left_anti"), "node"))
     across = written(_linked(left, whole.unionByName(more), percent), "links")
     classes = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
