@@ -95,7 +95,6 @@ def test_a_large_group_without_a_centre_makes_no_pairs_of_its_members(spark):
 def test_long_texts_are_read_in_pieces(monkeypatch):
     whole = ngram_join.Grams(3).of(LONG)
     monkeypatch.setattr(ngram_join, "PIECE_BYTES", 50)
-    monkeypatch.setattr(ngram_join, "MEMO_WORDS", 10)
     assert np.array_equal(whole, ngram_join.Grams(3).of(LONG)) and len(whole) == len(shingles(LONG))
 
 
