@@ -113,14 +113,15 @@ def sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
             add()
         rows = found.reshape(-1, width)
         used = np.flatnonzero(rows.any(axis=1))
-        yield from _chunk_rows(used, rows[used])
+        # a byte per counter where that is enough
+        yield from _chunk_rows(used, [x.astype(np.uint8) if x.max() < 256 else x for x in rows[used]])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total.setdefault(chunk, np.zeros(width, np.uint64))
-                total[chunk] += np.frombuffer(counts, np.uint32)
+                total[chunk] += np.frombuffer(counts, np.uint8 if len(counts) == width else np.uint32)
         levels = [np.frexp(x.astype(np.float64))[1].astype(np.uint8) for x in total.values()]
         yield from _chunk_rows(np.array(list(total)), levels)
 
@@ -233,6 +234,22 @@ def _possible(percent: int, common: Column):
     return bound >= ceiling((F.col("n_a") + F.col("n_b")) * percent, 100 + percent)
 
 
+#: Words of the marks of a set: a bit per column, by hash.
+MARKS = ("mark_0", "mark_1", "mark_2", "mark_3")
+
+
+def _marks(column: str) -> list[Column]:
+    place = F.pmod(F.xxhash64(column), F.lit(64 * len(MARKS))).cast("int")
+    return [F.coalesce(F.bit_or(F.when(F.floor(place / 64) == k, F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) AS INT))"))),
+                       F.lit(0).cast("long")).alias(name) for k, name in enumerate(MARKS)]
+
+
+def _most_common(one: str, other: str) -> Column:
+    """A bound of the columns that a pair has in common: those of the one, less its marks that the other lacks."""
+    lacking = [F.bit_count(F.col(f"{x}_{one}").bitwiseAND(F.bitwise_not(F.col(f"{x}_{other}")))) for x in MARKS]
+    return F.col(f"times_{one}") - sum(lacking[1:], lacking[0])
+
+
 def _sized(percent: int):
     """Whether the sizes of a pair allow the threshold at all."""
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
@@ -248,26 +265,28 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
     # equal sets have equal columns
     sets = written(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.first("first").alias("first"))
                    .withColumn("node", F.monotonically_increasing_id()), "sets")
-    cell = written(sets.where(F.size("first") > 0).select(
-        "node", F.col("n_shingles").alias("n"), F.element_at("first", -1).alias("last"), F.explode("first").alias("column")), "cells")
+    cell = sets.where(F.size("first") > 0).select("node", F.explode("first").alias("column"))
     several = cell.groupBy("column").agg(F.count("*").alias("members")).where("members > 1").select("column")
     shared = written(cell.join(several, "column"), "shared")
-    times = written(shared.groupBy("node").agg(F.count("*").alias("times")), "times")
+    times = shared.groupBy("node").agg(F.count("*").alias("times"))
+    sizes = written(sets.select("node", F.col("n_shingles").alias("n"), F.array_max("first").alias("last")).join(times, "node"), "sizes")
     # the member with the fewest columns of its own is the likeliest to be in the middle of its copies
-    middle = F.struct((F.col("n") - ceiling(F.col("n") * percent, 100) - F.col("times")).alias("own"), "n", "node", "last")
-    counted = shared.join(times, "node")
-    heads = counted.groupBy("column").agg(F.min(middle).alias("head"))
+    middle = F.struct((F.col("n") - ceiling(F.col("n") * percent, 100) - F.col("times")).alias("own"), "node")
+    heads = shared.join(sizes, "node").groupBy("column").agg(F.min(middle).alias("head"))
     named = sets.select("node", "first_id", *key)
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    stars = shared.join(heads, "column").where("node <> head.node").select(
-        F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"),
-        F.col("head.last").alias("last_a"), F.col("last").alias("last_b")).where(_sized(percent)).distinct()
-    stars = stars.join(times.select(F.col("node").alias("a"), F.col("times").alias("times_a")), "a") \
-        .join(times.select(F.col("node").alias("b"), F.col("times").alias("times_b")), "b")
-    stars = written(stars.where(_possible(percent, F.least("times_a", "times_b"))).select("a", "b"), "stars")
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with sizes, last columns and numbers of shared columns of both."""
+        for side in ("a", "b"):
+            pairs = pairs.join(sizes.select(F.col("node").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "last", "times"))), side)
+        return pairs
+
+    stars = sized(shared.join(heads, "column").where("node <> head.node").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+                  .distinct())
+    stars = written(stars.where(_sized(percent) & _possible(percent, F.least("times_a", "times_b"))).select("a", "b"), "stars")
     whole = full_sets(docs, n, named.join(ends(stars), "node"))
     links = written(_linked(stars, whole, percent), "links")
     labels = written(components(links), "labels")
@@ -275,13 +294,15 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
     most = labelled.groupBy("column", "component").agg(F.count("*").alias("times")).groupBy("column").agg(
         F.max_by("component", F.struct("times", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
     mixed = written(labelled.join(most.select("column", "most"), "column"), "mixed")
-    # no pair has more columns in common than either has left, which keeps most pairs from being made at all
-    mixed = written(mixed.join(mixed.groupBy("node").agg(F.count("*").alias("times")), "node"), "mixed")
-    values = ("node", "n", "last", "component", "times")
-    ones = mixed.where("component <> most").select("column", *(F.col(x).alias(f"{x}_a") for x in values))
-    twos = mixed.select("column", "most", *(F.col(x).alias(f"{x}_b") for x in values))
+    marked = written(mixed.groupBy("node").agg(F.count("*").alias("times"), *_marks("column"))
+                     .join(sizes.drop("times"), "node"), "marked")
+    values = ("n", "last", "times", *MARKS)
+    rows_of = mixed.join(marked, "node")
+    ones = rows_of.where("component <> most").select("column", *(F.col(x).alias(f"{x}_a") for x in ("node", "component", *values)))
+    twos = rows_of.select("column", "most", *(F.col(x).alias(f"{x}_b") for x in ("node", "component", *values)))
+    # most pairs are never made: their marks tell that they have too few columns in common
     pairs = ones.join(twos, "column").where((F.col("component_a") != F.col("component_b")) & _sized(percent)
-                                            & _possible(percent, F.least("times_a", "times_b"))
+                                            & _possible(percent, F.least(_most_common("a", "b"), _most_common("b", "a")))
                                             & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))) \
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
                 *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(f"{x}_a") for x in ("n", "last")),
