@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codesieve.catalog import fixed_values as V
+from codesieve.catalog.specs import compile_errors
 from codesieve.functions.expressions import literals
 
 CATALOGUE_CATEGORIES = [c for c, _ in V.CATEGORIES if c != "GEN"]
@@ -60,14 +60,6 @@ def rule_type() -> Column:
         .when(F.col("semantic"), "semantic").otherwise("hybrid")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def compile_errors(expressions):
-    """Per rule: what is wrong with each expression, null if it compiles."""
-    from codesieve.catalog.specs import compile_error
-
-    return expressions.map(lambda xs: [compile_error(x) for x in xs] if xs is not None else [])
-
-
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Adds ``errors`` and ``warnings`` arrays and ``is_valid`` to each rule."""
     rule_id = F.col("rule_id")
@@ -98,9 +90,23 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ changes
-def upsert_rules(rules: DataFrame, new_rules: DataFrame) -> DataFrame:
-    """Valid new rules replace rules of the same id or are added; invalid ones are dropped."""
-    valid = validate_rules(new_rules).filter("is_valid").select(*rules.columns)
+def latest(rows: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """The row of each key with the highest version; without a version column, the last one as the table is read.
+
+    Partial aggregation leaves one row per key and task, so a key with a third of all rows fills no task.
+    """
+    order = F.col(version) if version else F.monotonically_increasing_id()
+    numbered = rows.withColumn("_version", order)
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.col("_version"))
+    return numbered.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
+
+
+def upsert_rules(rules: DataFrame, new_rules: DataFrame, version: str | None = None) -> DataFrame:
+    """Valid new rules replace rules of the same id or are added; invalid ones are dropped.
+
+    Of several valid rules of one id the latest counts: the highest ``version``, else the last row.
+    """
+    valid = latest(validate_rules(new_rules).filter("is_valid"), "rule_id", version).select(*rules.columns)
     return rules.join(valid.select("rule_id"), "rule_id", "left_anti") \
         .select(*rules.columns).unionByName(valid)
 
@@ -115,9 +121,10 @@ def set_enabled(rules: DataFrame, enabled: bool, *rule_ids: str) -> DataFrame:
         F.col("rule_id").isin(*rule_ids), F.lit(enabled)).otherwise(F.col("enabled")))
 
 
-def add_patterns(patterns: DataFrame, new_patterns: DataFrame) -> DataFrame:
-    ids = new_patterns.select("pattern_id")
-    return patterns.join(ids, "pattern_id", "left_anti").select(*patterns.columns).unionByName(new_patterns)
+def add_patterns(patterns: DataFrame, new_patterns: DataFrame, version: str | None = None) -> DataFrame:
+    """New patterns replace patterns of the same id or are added; the latest of an id counts, as with rules."""
+    new = latest(new_patterns, "pattern_id", version).select(*patterns.columns)
+    return patterns.join(new.select("pattern_id"), "pattern_id", "left_anti").select(*patterns.columns).unionByName(new)
 
 
 def rule_metadata(rules: DataFrame) -> DataFrame:

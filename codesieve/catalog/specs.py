@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codesieve.catalog import fixed_values as V
 from codesieve.catalog import tables
@@ -93,7 +94,13 @@ def pattern_specs(patterns: DataFrame | None = None) -> list[RegexSpec]:
         RegexSpec(row["pattern_id"], number, pattern, needs=_needs(row["pattern_id"], number, pattern),
                   languages=tuple(sorted(row["languages"])),
                   attributes={k: row[k] for k in ("name", "severity", "confidence", "owasp_category")})
-        for row in rows for number, pattern in enumerate(row["regex_patterns"])]
+        for row in rows for number, pattern in enumerate(row["regex_patterns"] or []) if compile_error(pattern) is None]
+
+
+def broken_patterns(patterns: DataFrame) -> DataFrame:
+    """pattern_id, pattern_no, error: the expressions that a scan leaves out because they do not compile."""
+    errors = F.posexplode(compile_errors("regex_patterns")).alias("pattern_no", "error")
+    return patterns.select("pattern_id", errors).where("error is not null")
 
 
 def dependency_specs() -> list[RegexSpec]:
@@ -104,12 +111,18 @@ def dependency_specs() -> list[RegexSpec]:
 def compile_error(pattern: str | None) -> str | None:
     """What is wrong with an expression, None if it compiles."""
     try:
-        re.compile(pattern or "")
-    except re.error as problem:
+        re.compile(pattern or "", re.M)
+    except (re.error, OverflowError, RecursionError) as problem:
         return f"expression {pattern!r} does not compile: {problem}"
     return None
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def compile_errors(expressions):
+    """Per row: what is wrong with each expression, null if it compiles."""
+    return expressions.map(lambda xs: [compile_error(x) for x in xs] if xs is not None else [])
+
+
 def structural_rows(rules: DataFrame | None) -> dict[str, dict]:
     """Enabled structural rules by id, with the values of the table."""
     rows = tables.rule_rows() if rules is None else _collect(rules.filter(F.col("enabled") & (F.col("rule_type") == "ast")))

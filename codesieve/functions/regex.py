@@ -13,78 +13,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codesieve.functions.dialect import groups_of, java_spelling, needed_words, only_python
 from codesieve.functions.expressions import let, sql_literal
+from codesieve.functions.fold import FOLD_FROM, FOLD_TO
+from codesieve.functions.pymatch import Expression, python_matches
 
-# Python's str.isspace() characters, written for a Java character class.
-SPACE_CLASS = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD_CLASS = r"\p{L}\p{N}_"
-# Characters that Unicode case folding maps to an ASCII letter besides that letter's own case.
-FOLD_FROM, FOLD_TO = "\u017f\u0131\u0130\u212a", "siik"
 # Matches folded together before their result is appended; keeps dense texts near linear.
 FOLD_BLOCK = 256
 
+# Expressions that one projection holds; a plan with thousands of them would not compile.
+MOST_NATIVE = 256
+
 MATCH_TYPE = "struct<line:int,col:int,text:string,groups:array<string>>"
 
-_TOKEN = re.compile(r"\\.|\[\^?\]?|\(\?#[^)]*\)|\(\?P<(\w+)>|\(\?P=(\w+)\)|.", re.S)
-_CLASSES = {r"\s": SPACE_CLASS, r"\w": WORD_CLASS, r"\d": r"\p{Nd}"}
 # Marks the places of matches; of the two, the one that a text does not hold is used.
 MARKS = ("\uffff\ufdd0\ufffe", "\ufffe\ufdd1\uffff\ufdd2")
 
 
-def java_pattern(pattern: str, ignore_case: bool = False) -> str:
-    """Spell a Python expression so that Java finds the same matches.
-
-    Only spelling differs between the dialects: Unicode classes, case folding, what ``.`` excludes, line
-    starts, group names, comments, and braces that are not quantifiers.  One difference stays: after an empty match
-    Python looks for a longer match at the same place, Java moves on (lazy expressions such as ``b*?(?=b)``).
-    """
-    inline = re.match(r"\(\?([aiLmsux]+)\)", pattern)
-    flags = set(inline.group(1)) if inline else set()
-    body = pattern[inline.end():] if inline else pattern
-    out, in_class, pos, names = [], False, 0, {}
-    while pos < len(body):
-        found = _TOKEN.match(body, pos)
-        token = found.group(0)
-        if in_class and token in (r"\S", r"\W", r"\D"):
-            piece = f"[^{_CLASSES[token.lower()]}]"
-        elif in_class and token.startswith("(?"):
-            token = piece = "("  # literal in a class
-        elif in_class:
-            # inside a class a "[" is literal here but opens a nested class in Java
-            piece = _CLASSES.get(token) or {"]": "]", "[": r"\[", "&": r"\&"}.get(token, token)
-            if token.startswith("[") and len(token) > 1:
-                piece = "".join(r"\[" if c == "[" else c for c in token)
-                in_class = "]" not in token
-            elif token == "]":
-                in_class = False
-        elif token in _CLASSES:
-            piece = f"[{_CLASSES[token]}]"
-        elif token in (r"\S", r"\W", r"\D"):
-            piece = f"[^{_CLASSES[token.lower()]}]"
-        elif token.startswith("["):
-            piece, in_class = token, True
-            if token.endswith("]"):  # a "]" right after the opening bracket is literal
-                piece = token[:-1] + r"\]"
-        elif token.startswith("(?#"):
-            piece = ""
-        elif found.group(1):  # Java names are letters and digits
-            piece = f"(?<{names.setdefault(found.group(1), f'g{len(names)}')}>"
-        elif found.group(2):
-            piece = rf"\k<{names[found.group(2)]}>"
-        elif token == r"\Z":
-            piece = r"\z"
-        elif token == "^":  # Java leaves out the place behind a line feed that ends the text
-            piece = r"(?:\A|(?<=\n))"
-        elif token == "{" and not re.match(r"\{\d*,?\d*\}", body[pos:]):
-            piece = r"\{"
-        else:
-            piece = token
-        out.append(piece)
-        pos += len(token)
-    fold = "iu" if ignore_case or "i" in flags else ""
-    return f"(?dm{fold}{'s' if 's' in flags else ''})" + "".join(out)
-
-
 @dataclass(frozen=True)
 class RegexSpec:
     """One expression of one rule, with the values its matches carry."""
@@ -101,7 +46,17 @@ class RegexSpec:
 
     @property
     def java(self) -> str:
-        return java_pattern(self.pattern, self.ignore_case)
+        return java_spelling(self.pattern, self.ignore_case)
+
+    @property
+    def only_python(self) -> bool:
+        """Whether Java cannot run the expression with the same result."""
+        return only_python(self.pattern, self.ignore_case) is not None
+
+    @property
+    def words(self) -> tuple[tuple[str, ...], ...]:
+        """``needs``, or what the expression itself tells of them."""
+        return self.needs or needed_words(self.pattern, self.ignore_case)
 
     @property
     def group_count(self) -> int:
@@ -116,38 +71,13 @@ class RegexSpec:
     @property
     def nullable_groups(self) -> list[bool]:
         """Whether each group can match the empty text; where it cannot, an empty value is a group that took no part."""
-        return [bool(_matches_empty(source)) for source in _group_sources(self.pattern)]
-
-
-def _group_sources(pattern: str) -> list[str]:
-    """The inner text of each capturing group, in order of their opening brackets."""
-    sources, open_groups, in_class, pos = {}, [], False, 0
-    while pos < len(pattern):
-        token = _TOKEN.match(pattern, pos).group(0)
-        if in_class:
-            in_class = "]" not in token or token.startswith("\\")
-        elif token.startswith("["):
-            in_class = True
-        elif token.startswith("(?#") or token.startswith("(?P="):
-            pass
-        elif token.startswith("(?P<") or token == "(":
-            capturing = token != "(" or pattern[pos + 1:pos + 2] != "?"
-            open_groups.append((len(sources), pos + len(token)) if capturing else None)
-            if capturing:
-                sources[len(sources)] = ""
-        elif token == ")" and open_groups:
-            group = open_groups.pop()
-            if group:
-                sources[group[0]] = pattern[group[1]:pos]
-        pos += len(token)
-    return [sources[k] for k in range(len(sources))]
-
-
-def _matches_empty(source: str) -> bool:
-    try:
-        return re.fullmatch(source, "") is not None
-    except re.error:  # refers to other groups
-        return False
+        return [nullable for nullable, _ in groups_of(self.pattern)]
+
+    @property
+    def unclear_groups(self) -> bool:
+        """Whether a match tries a group other than once: Java does not always forget what it tried, nor tell a group that took
+        no part from an empty one."""
+        return any(unsure for _, unsure in groups_of(self.pattern))
 
 
 def folded(text: Column) -> Column:
@@ -173,7 +103,7 @@ def locate_matches(text: Column, pattern: Column, group_count: Column | None = N
 
     The text is the concatenation of the pieces between matches and the matches, so the position of a match
     follows from the newlines and lengths of what precedes it.  Positions are folded in blocks.  A group that took
-    no part is null; a group that can match nothing gives an empty text.
+    no part is null; expressions in which that cannot be told from an empty group are left to Python.
     """
     newline = F.lit("\n")
 
@@ -233,7 +163,7 @@ def could_match(spec: RegexSpec, text: str, fold: str, language: str | None) ->
     tests = []
     if spec.languages is not None and language is not None:
         tests.append(f"{language} IN ({', '.join(map(sql_literal, spec.languages))})")
-    for words in spec.needs:
+    for words in spec.words:
         tests.append("(" + " OR ".join(f"contains({fold}, {sql_literal(w)})" for w in words) + ")")
     return " AND ".join(tests + [f"{text} RLIKE {sql_literal(spec.java)}"])
 
@@ -271,3 +201,20 @@ def locate_hits(text: Column, hits: Column, specs: list[RegexSpec], with_groups:
             *([_named(spec["names"], m["groups"]).alias("named_groups")] if with_groups else [])))
 
     return F.flatten(F.transform(hits, lambda number: let(F.get(known, number), one)))
+
+
+def python_hits(text: Column, specs: list[RegexSpec], language: Column | None = None, with_groups: bool = False,
+                names: list[str] | None = None) -> Column:
+    """The same array as ``locate_hits`` gives, by Python's engine; ``names``: the rule values that it has."""
+    names = sorted({k for s in specs for k in s.attributes}) if names is None else names
+    run = python_matches([
+        Expression(k, s.pattern, s.ignore_case, s.words, s.languages if language is not None else None, s.owner_id, s.pattern_no,
+                   tuple((n, s.attributes.get(n)) for n in names)) for k, s in enumerate(specs)], with_groups)
+    return run(text, F.lit(None).cast("string") if language is None else language)
+
+
+def by_engine(specs: list[RegexSpec], with_groups: bool = False) -> tuple[list[RegexSpec], list[RegexSpec]]:
+    """Expressions for Java and for Python. Beyond ``MOST_NATIVE`` all go to Python, whose word index reads a text once."""
+    many = len(specs) > MOST_NATIVE
+    sent = [many or s.only_python or with_groups and s.unclear_groups for s in specs]
+    return [s for s, out in zip(specs, sent) if not out], [s for s, out in zip(specs, sent) if out]

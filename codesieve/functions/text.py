@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesieve.catalog import fixed_values as V
 from codesieve.functions.expressions import let, occurrences
-from codesieve.functions.regex import SPACE_CLASS
+from codesieve.functions.fold import SPACE_CLASS
 
 # Line ends of Python's str.splitlines(); the remaining white space never ends a line.
 LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesieve.catalog import fixed_values as V
 from codesieve.catalog import specs as S
 from codesieve.functions.expressions import let, literals
+from codesieve.functions.pymatch import PythonRule
 
 
 def cap_matches(matches: Column, limit: int) -> Column:
@@ -16,42 +17,59 @@ def cap_matches(matches: Column, limit: int) -> Column:
     return F.when(F.size(matches) > limit, F.slice(in_order, F.lit(1), F.lit(limit))).otherwise(matches)
 
 
+def by_rule(findings: Column, rule_ids: list[str]) -> Column:
+    """Per rule id: rule_id and its matches in order, empty for rules without any.
+
+    One sort brings a file's findings together by rule; ids that are missing come from one hash lookup. So the cost is that
+    of the findings plus that of the rules, not their product.
+    """
+    ordered = F.array_sort(F.transform(findings, lambda f, i: F.struct(f["rule_id"].alias("rule_id"), i.alias("i"), f.alias("match"))))
+
+    def grouped(rows: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.get(rows, i)["rule_id"] != F.get(rows, i - 1)["rule_id"]))
+        return let(starts, lambda s: F.transform(s, lambda start, k: F.struct(
+            F.get(rows, start)["rule_id"].alias("rule_id"),
+            F.transform(F.slice(rows, start + 1, F.coalesce(F.get(s, k + 1), F.size(rows)) - start), lambda r: r["match"]).alias("matches"))))
+
+    none = F.slice(findings, F.lit(1), F.lit(0))
+    hit = let(ordered, lambda rows: F.when(F.size(rows) > 0, grouped(rows)).otherwise(F.array()))
+    return let(hit, lambda groups: F.concat(groups, F.transform(
+        F.array_except(literals(rule_ids), F.transform(groups, lambda g: g["rule_id"])),
+        lambda rule: F.struct(rule.alias("rule_id"), none.alias("matches")))))
+
+
 def rule_executions(file_results: DataFrame, rules: DataFrame, max_matches: int | None = None,
-                    include_disabled: bool = True) -> DataFrame:
-    """Log of every rule on every file.
+                    include_disabled: bool = True, python_rules: list[PythonRule] = ()) -> DataFrame:
+    """Log of every rule on every file, ``python_rules`` of the scan included.
 
-    The rule list is a plan literal and the matches are in the file's row, so neither a join with
-    the rules nor a window over the matches is needed.  ``match_count`` is the true count; ``matches`` are cut, with a
-    warning, only if ``max_matches`` is given.  A rule with an expression that does not compile has status error.
+    The matches are in the file's row and are brought together by rule there; what is known of a rule comes from a
+    table that is as small as the plan.  ``match_count`` is the true count; ``matches`` are cut, with a
+    warning, only if ``max_matches`` is given.  A rule with an expression that does not compile has status error, and so
+    has a Python rule on a file on which it raised.
     """
     chosen = rules if include_disabled else rules.filter("enabled")
     rows = S._collect(chosen.select("rule_id", "rule_type", "enabled", "regexes").orderBy("rule_id"))
-    broken = [next(filter(None, map(S.compile_error, r["regexes"] or [])), None) for r in rows]
-    grid = F.array(*[F.struct(
-        F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["rule_type"]).alias("rule_type"),
-        F.lit(r["enabled"]).alias("enabled"), F.lit(b).cast("string").alias("broken")) for r, b in zip(rows, broken)])
-    error, parsed = F.col("error"), F.coalesce(F.col("parsed"), F.lit(True))
-
-    def one(rule: Column) -> Column:
-        status = F.when(~rule["enabled"], "skipped").when(error.isNotNull() | rule["broken"].isNotNull(), "error") \
-            .when((rule["rule_type"] == "ast") & ~parsed, "failed").otherwise("success")
-
-        def result(found: Column) -> Column:
-            over = F.size(found) > max_matches if max_matches else F.lit(False)
-            return F.struct(
-                rule["rule_id"].alias("rule_id"), status.alias("status"),
-                F.size(found).alias("match_count"),
-                (cap_matches(found, max_matches) if max_matches else found).alias("matches"),
-                F.when(status == "error", F.coalesce(error, rule["broken"]))
-                .when(status == "failed", "source does not parse").alias("error_message"),
-                F.when(over, F.array(F.format_string(
-                    "rule %s has too many matches, limited to %d", rule["rule_id"], F.lit(max_matches or 0))))
-                .otherwise(F.array().cast("array<string>")).alias("warnings"))
-
-        mine = F.filter("findings", lambda f: rule["enabled"] & (f["rule_id"] == rule["rule_id"]))
-        return let(mine, result)
-
-    return file_results.select("filename", F.explode(F.transform(grid, one)).alias("e")).select("filename", "e.*")
+    known = [(r["rule_id"], r["rule_type"], r["enabled"], next(filter(None, map(S.compile_error, r["regexes"] or [])), None)) for r in rows]
+    known += [(r.rule_id, "python", True, None) for r in python_rules]
+    table = file_results.sparkSession.createDataFrame(known, "rule_id string, rule_type string, enabled boolean, broken string")
+    why = F.get(F.filter("rule_errors", lambda e: e["rule_id"] == F.col("e.rule_id")), 0)["message"] \
+        if "rule_errors" in file_results.columns else F.lit(None).cast("string")
+    entries = file_results.select("filename", "error", "parsed", *[c for c in ("rule_errors",) if c in file_results.columns],
+                                  F.explode(by_rule(F.col("findings"), list(dict.fromkeys(r[0] for r in known)))).alias("e"))
+    found = entries.withColumn("raised", why).select("filename", "error", "parsed", "raised", "e.*").join(table, "rule_id")
+    # a disabled rule has no matches, whatever the scan was given
+    mine = F.when(F.col("enabled"), F.col("matches")).otherwise(F.slice("matches", F.lit(1), F.lit(0)))
+    count = F.when(F.col("enabled"), F.size("matches")).otherwise(0)
+    fault = F.coalesce("error", "broken", "raised")
+    status = F.when(~F.col("enabled"), "skipped").when(fault.isNotNull(), "error") \
+        .when((F.col("rule_type") == "ast") & ~F.coalesce("parsed", F.lit(True)), "failed").otherwise("success")
+    over = (count > max_matches) if max_matches else F.lit(False)
+    return found.select(
+        "filename", "rule_id", status.alias("status"), count.alias("match_count"),
+        (cap_matches(mine, max_matches) if max_matches else mine).alias("matches"),
+        F.when(status == "error", fault).when(status == "failed", "source does not parse").alias("error_message"),
+        F.when(over, F.array(F.format_string("rule %s has too many matches, limited to %d", F.col("rule_id"), F.lit(max_matches or 0))))
+        .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
 def execution_summary(executions: DataFrame) -> DataFrame:

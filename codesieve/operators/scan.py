@@ -17,7 +17,8 @@ from codesieve.catalog import tables
 from codesieve.functions.expressions import bind, let
 from codesieve.functions.facts import code_facts
 from codesieve.functions.paths import base_name
-from codesieve.functions.regex import RegexSpec, folded, locate_hits, regex_hits
+from codesieve.functions.pymatch import PythonRule, python_findings
+from codesieve.functions.regex import RegexSpec, by_engine, folded, locate_hits, python_hits, regex_hits
 from codesieve.functions.structural import STRUCTURAL_RULES, STRUCTURAL_VALUES, structural_matches
 from codesieve.functions.text import nonblank_lines, severity_score
 
@@ -31,8 +32,17 @@ def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: s
     extra = [F.col(language).alias("_language")] if language else []
     base = bind(texts.select(*key, *extra, F.col(text).alias("_raw")), "_text", F.col("_raw")) \
         .withColumn("_fold", folded(F.col("_text")))
-    hits = regex_hits("_text", "_fold", specs, "_language" if language else None)
-    found = base.select(*key, F.explode(locate_hits(F.col("_text"), hits, specs, with_groups)).alias("m"))
+    native, python = by_engine(specs, with_groups)
+    parts = []
+    if native or not python:
+        hits = regex_hits("_text", "_fold", native, "_language" if language else None)
+        parts.append(locate_hits(F.col("_text"), hits, native, with_groups))
+    if python:
+        sent = python_hits(F.col("_text"), python, F.col("_language") if language else None, with_groups,
+                           sorted({k for s in specs for k in s.attributes}))
+        base = bind(base.withColumn("_sent", sent), "_python", F.col("_sent")).drop("_sent")
+        parts.append(F.coalesce("_python", F.array()))
+    found = base.select(*key, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("m"))
     matches = found.select(*key, "m.rule.*", "m.*").drop("rule")
     return matches if with_groups else matches.drop("groups")  # named_groups come with_groups alone
 
@@ -156,13 +166,15 @@ def _at_least(rule: StructuralRule, min_severity: str) -> StructuralRule:
 
 
 def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | None = None,
-               custom_rules: list[StructuralRule] = (), text: str = "text") -> DataFrame:
+               custom_rules: list[StructuralRule] = (), text: str = "text", python_rules: list[PythonRule] = ()) -> DataFrame:
     """One row per file with the positions of all its findings and its text.
 
     ``files`` has path, language, text and size.  Rules below ``min_severity`` or switched off are
     left out of the plan, so they cost nothing.  ``read_error``, if there, is why a text is missing.  Snippets are cut where findings are flattened.
+    With ``python_rules`` there is a column rule_errors: the rules that raised on the file, and why.
     """
     specs = S.rule_specs(rules, min_severity)
+    native, python = by_engine(specs)
     structural = _structural_rules(rules, min_severity)
     custom = [_at_least(rule, min_severity) for rule in custom_rules]
     why = "read_error" if "read_error" in files.columns else None
@@ -173,14 +185,23 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
         F.col(why) if why else F.lit(None).cast("string")).alias("_why")), "_text", F.col("_raw"))
     body = F.col("_text")
     by_regex = by_structure = None
-    if specs:
+    if native:
         base = base.withColumn("_fold", folded(body))
-        by_regex = locate_hits(body, regex_hits("_text", "_fold", specs), specs)
+        by_regex = locate_hits(body, regex_hits("_text", "_fold", native), native)
+    if python:
+        sent = python_hits(body, python, names=sorted(S.RULE_ATTRIBUTES))
+        base = bind(base.withColumn("_sent", sent), "_python", F.col("_sent")).drop("_sent")
+        more = F.coalesce(F.col("_python"), F.array().cast(f"array<{_NO_REGEX}>"))
+        by_regex = more if by_regex is None else F.concat(by_regex, more)
     if structural or custom:
         base = with_facts(base, "_text")
         by_structure = F.when(F.col("facts.parsed"), structural_matches(F.col("facts"), structural + custom))
 
     empty = F.array().cast(f"array<{FINDING_TYPE}>")
+    if python_rules:
+        floor = S.severity_rank(min_severity)
+        checked = python_findings(list(python_rules), lambda severity: S.severity_rank(severity) >= floor)
+        base = bind(base.withColumn("_sent", checked(F.col("path"), F.when(F.length(body) > 0, body), F.col("language"))), "_checked", F.col("_sent")).drop("_sent")
 
     def all_findings(regex: Column, structure: Column) -> Column:
         return F.concat(
@@ -193,6 +214,9 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     findings = let(by_regex if by_regex is not None else no_regex, lambda r: let(
         F.coalesce(by_structure, no_structure) if by_structure is not None else no_structure,
         lambda t: F.when(F.size(r) + F.size(t) > 0, all_findings(r, t)).otherwise(empty)))
+    if python_rules:
+        findings = F.concat(findings, F.coalesce(F.col("_checked.findings"), empty))
+        other.append(F.col("_checked.errors").alias("rule_errors"))
     parsed = F.col("facts.parsed") if structural or custom else F.lit(None).cast("boolean")
     return bind(base.select(
         F.col("path").alias("filename"), "language",

@@ -48,25 +48,25 @@ class Scan:
 
 def scan_table(table: DataFrame, options: ScanOptions | None = None, path: str = "path",
                content: str = "content", language: str | None = None, rules: DataFrame | None = None,
-               custom_rules=(), analyzers: dict[str, list[str]] | None = None) -> Scan:
+               custom_rules=(), analyzers: dict[str, list[str]] | None = None, python_rules=()) -> Scan:
     """Scan a table of path and content (text or binary): the way to scan large corpora.
 
     Partitioning follows the table: a scan adds no shuffle.
     """
     options = options or ScanOptions.of()
     files = filters.analyzable_files(source_files(table, path, content), options, analyzers, language)
-    return Scan(scan_files(files, options.min_severity, rules, custom_rules), options)
+    return Scan(scan_files(files, options.min_severity, rules, custom_rules, python_rules=python_rules), options)
 
 
 def scan_tree(spark: SparkSession, root: str, options: ScanOptions | None = None, language: str | None = None,
               rules: DataFrame | None = None, custom_rules=(), partitions: int | None = None,
-              analyzers: dict[str, list[str]] | None = None) -> Scan:
+              analyzers: dict[str, list[str]] | None = None, python_rules=()) -> Scan:
     """Scan a directory tree; excluded files are never read."""
     options = options or ScanOptions.of()
     listed = filters.analyzable_files(list_tree(spark, root), options, analyzers, language)
     read = read_contents(listed, partitions).select(
         "path", "language", "size", decode_text(F.col("content")).alias("text"), F.coalesce("error", "read_error").alias("read_error"))
-    return Scan(scan_files(read, options.min_severity, rules, custom_rules), options)
+    return Scan(scan_files(read, options.min_severity, rules, custom_rules, python_rules=python_rules), options)
 
 
 def scan_run(scan: Scan, target: str) -> DataFrame:

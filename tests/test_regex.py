@@ -1,12 +1,12 @@
 import random
 import re
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codesieve.catalog import specs as S
-from codesieve.functions.regex import RegexSpec, java_pattern
+from codesieve.functions.dialect import needed_words
+from codesieve.functions.pymatch import Expression, Matcher
+from codesieve.functions.regex import MOST_NATIVE, RegexSpec, by_engine
 from codesieve.operators.scan import regex_scan
 
 FRAGMENTS = [
@@ -59,7 +59,7 @@ def test_all_expressions_equal_python(spark):
 
 def test_shortcut_words_never_hide_a_match():
     """Every match of an expression holds one word of each of its lists (after case folding)."""
-    from codesieve.functions.regex import FOLD_FROM, FOLD_TO
+    from codesieve.functions.fold import FOLD_FROM, FOLD_TO
     rnd = random.Random(3)
     table = str.maketrans(FOLD_FROM, FOLD_TO)
     hit = set()
@@ -86,16 +86,80 @@ def test_large_text_needs_no_stack(spark):
     assert len(spark_matches(spark, [text], specs)[0]) == 1
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab1 _\n\t{}[]()=,. é", max_size=30))
-def test_translation_is_valid_java_spelling(text):
-    assert java_pattern(re.escape(text)).startswith("(?dm")
+ATOMS = ["a", "b", "B", "1", "é", "_", r"\.", r"\{", "{}", "[ab]", "[^a]", "[]x]", r"[^\W\d]", r"[\S]", r"[a-c\d]", r"\w", r"\W", r"\d", r"\s", r"\S", ".", "^", "$", r"\A",
+         r"\Z", r"\b", r"\B", "(?=b)", "(?!a)", "(?<=a)", "(?<!b)", "(?i:b)", "(?s:.)", "(?a:\\w)", "(?:)", "ab", "K", "ß"]
+REPEATS = ["*", "+", "?", "*?", "+?", "??", "{2}", "{,2}", "{1,3}", "{1,}?", "*+"]
 
 
-def test_translation_spelling():
-    assert java_pattern(r"(?i)a{2}\s*{").startswith("(?dmiu)a{2}[")
-    assert java_pattern(r"(?i)a{2}\s*{").endswith(r"\{")
-    assert java_pattern(r"(?P<x>[[a])(?P=x)\Z") == r"(?dm)(?<g0>[\[a])\k<g0>\z"
+def random_expression(rnd, depth=3):
+    kind = rnd.randrange(8) if depth else 0
+    if kind < 2:
+        return rnd.choice(ATOMS)
+    inner = [random_expression(rnd, depth - 1) for _ in range(3)]
+    return ("".join(inner[:2]), "".join(inner), f"(?:{inner[0]}|{inner[1]})", f"({inner[0]})", f"(?:{inner[0]}){rnd.choice(REPEATS)}",
+            rnd.choice([f"({inner[0]})?{inner[1]}(?(1)a|b)", f"(?>{inner[0]})", f"({inner[0]}){rnd.choice(REPEATS)}"]))[kind - 2]
+
+
+TEXTS = ["", "a", "ab", "aab b1\nBa_", "é ab\n\nb", "{}a{2}", "a.b\r\nA", "K1 kß\n", "ﬁ x]", "b\n", "²a ١", "aaaa bbbb"]
+
+
+def valid(pattern):
+    try:
+        re.compile(pattern, re.M)
+    except (re.error, OverflowError):
+        return False
+    return True
+
+
+def test_random_expressions_equal_python(spark):
+    """By whichever engine can run them; conditions always go to Python."""
+    rnd = random.Random(20)
+    made = dict.fromkeys(rnd.choice(["", "", "(?i)", "(?s)", "(?a)", "(?ia)"]) + random_expression(rnd) for _ in range(900))
+    patterns = [p for p in made if valid(p)]
+    assert len(patterns) > 500
+    native = 0
+    for low in range(0, len(patterns), 100):
+        specs = [RegexSpec("R", n, p) for n, p in enumerate(patterns[low:low + 100])]
+        assert all(s.only_python for s in specs if "(?(1)" in s.pattern)
+        native += len(by_engine(specs, True)[0])
+        for text, got in zip(TEXTS, spark_matches(spark, TEXTS, specs)):
+            want = python_matches(text, specs)
+            assert got == want, [(specs[x[1]].pattern, text, x) for x in got + want if (x in got) != (x in want)][:4]
+    assert native > 250
+
+
+def test_expressions_that_java_spells_otherwise(spark):
+    patterns = [r"f\({}\)", "a{}", "a{,2}", "a{,}", "(a)?b(?(1)c| )", "(?x)a b # c\n | d", r"(?a)\w+", r"(?u)\w+", r"b*?(?=b)", r"a*?", "(?:|a)", "(?:a|)*b",
+                "(?i:K)x", "(?-i:k)", r"(?i)(?-i:b)a", "[&&a]", r"[[:a]", r"\N{LATIN SMALL LETTER E WITH ACUTE}", r"\x41\u00e9\101", "(?s).", "a(?#note)b", "(?P<x>.)(?P=x)"]
+    specs = [RegexSpec("R", n, p) for n, p in enumerate(patterns)]
+    texts = ["f({}) a{} aaa b abc b  é ab", "abd a{,}", "kx Kx", "Éé ééé Aé&[:a", "", "bbb\nba"]
+    assert [s.pattern for s in specs if s.only_python] == [patterns[k] for k in (4, 8, 9, 10, 11)]
+    assert spark_matches(spark, texts, specs) == [python_matches(t, specs) for t in texts]
+
+
+def test_words_of_expressions_never_hide_a_match():
+    rnd, hit = random.Random(11), 0
+    patterns = [r"(?i)secret\s*=\s*\w+", r"(?:select|insert)\s+from", r"(abc|(?:defg)+)?hij", r"x(?:foo)*bar{2}", "(?i)straße", r"(?:ab|cde)fgh|ijkl", "KELVIN|kelvin"]
+    assert [needed_words(p) for p in patterns[:3]] == [(("secret",),), (("from",), ("insert", "select")), (("hij",),)]
+    pieces = ["secret", "SECRET", "ſecret", " = ", "v", "select", "insert ", "from", "abc", "defg", "hij", "x", "foo", "barr", "straße", "STRASSE", "fgh", "ab", "cde", "ijkl", "KELVIN", "kelvin"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(pieces) for _ in range(5))
+        matcher = Matcher([Expression(n, p, False, needed_words(p)) for n, p in enumerate(patterns)])
+        found = {m[0] for m in matcher.matches(text)}
+        want = {n for n, p in enumerate(patterns) if re.search(p, text, re.M)}
+        hit += len(want)
+        assert found == want
+    assert hit > 500
+
+
+def test_many_rules_are_scanned_through_the_word_index(spark):
+    """More expressions than a projection holds: the same matches, and few expressions run per text."""
+    specs = [RegexSpec("M", n, rf"(?i)\bword{n}x\s*=\s*(\d+)") for n in range(MOST_NATIVE + 50)]
+    texts = ["WORD7x = 12\nword300x=5 word300x = 6", "nothing", "aword9x=1 word9xx = 2"]
+    assert by_engine(specs)[0] == []
+    assert spark_matches(spark, texts, specs) == [python_matches(t, specs) for t in texts]
+    matcher = Matcher([Expression(s.pattern_no, s.pattern, False, s.words) for s in specs])
+    assert [x.number for x in matcher.candidates(texts[0], None)] == [7, 300]
 
 
 def test_custom_patterns_equal_python(spark):

@@ -11,7 +11,7 @@ from codesieve.catalog import fixed_values as V
 from codesieve.catalog import prose, tables
 from codesieve.functions.paths import MEDIA_TYPES
 from workload.corpus import CODE_FILES_CTE, K, TEMPLATES, language_case, python_templates, quote
-from workload.queries import MATCH_CAP, RULE_QUERIES, SIZE_LIMIT, STRUCTURAL_QUERIES
+from workload.queries import MATCH_CAP, RULE_QUERIES, SIZE_LIMIT, STRUCTURAL_QUERIES, USER_EXPRESSIONS
 
 SPACES = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -419,6 +419,46 @@ FROM enriched WHERE rule_id IN ('PY002', 'PY005')"""
 SELECT filename, owner_id AS rule_id, line_number, md5(snippet) AS snippet_md5,
   md5(replace(snippet, matched_text, {mark})) AS highlighted_md5
 FROM (SELECT *, array_to_string({window_of(lines_of('text'), 'line_number', 2, 2)}, chr(10)) AS snippet FROM ({debug}))"""
+    marked = """(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'f({}) abc ab b ' || doc_id ELSE '' END AS text FROM documents)"""
+    out["user_expression_scan"] = f"SELECT doc_id, {columns} FROM ({all_matches(marked, 'doc_id', [('USER', n, p) for n, (_, p) in enumerate(USER_EXPRESSIONS)])})"
+    known = [(i, n, p) for i in ("A02_001", "A05_001") for n, p in enumerate(V.PATTERN_REGEXES[i])]
+    kept = [(i, n + (i == "A02_001"), p, "language IN (" + ", ".join(f"'{x}'" for x in PATTERNS[i]["languages"]) + ")") for i, n, p in known]
+    out["broken_expression_scan"] = with_(CODE_FILES_CTE, ALL_FILES) + f"""
+SELECT owner_id AS pattern_id, pattern_no, count(*) AS match_count FROM ({all_matches('all_files', 'path, language', kept)}) GROUP BY ALL
+UNION ALL SELECT 'A02_001', 0, NULL"""
+    out["indexed_rule_scan"] = """
+WITH named AS (SELECT doc_id, text, p_name FROM documents JOIN part ON doc_id * 7 % (SELECT max(p_partkey) FROM part) + 1 = p_partkey)
+SELECT doc_id, 'P' || p.p_partkey AS rule_id, CAST(2 + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS line_number,
+  CAST(0 AS INTEGER) AS column_number
+FROM named n JOIN part p ON lower(n.p_name) = lower(p.p_name)"""
+    lines = f"""SELECT path AS filename, text, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line
+  FROM (SELECT path, text, string_split(text, chr(10)) AS ls FROM py_files WHERE text <> '' {{}})"""
+    out["python_rule_findings"] = with_(CODE_FILES_CTE, PY_FILES) + f"""
+, lines AS ({lines.format(f"AND NOT {glob('path', *DEFAULT_GLOBS, *TEST_GLOBS)}")}),
+found AS (
+  SELECT filename, 'X_PASS' AS rule_id, CASE WHEN length(filename) % 2 = 0 THEN 'high' ELSE 'medium' END AS severity,
+    'GEN: {NAMES["GEN"]}' AS owasp_category_name, n AS line_number, instr(line, 'password') - 1 AS column_number, text
+  FROM lines WHERE contains(line, 'password')
+  UNION ALL SELECT filename, 'X_FRAGILE', 'critical', 'GEN: {NAMES["GEN"]}', 1, 0, text FROM lines WHERE n = 1 AND length(filename) % 3 <> 0)
+SELECT filename, rule_id, severity, owasp_category_name, CAST(line_number AS INTEGER) AS line_number, CAST(column_number AS INTEGER) AS column_number,
+  md5(array_to_string({window_of(lines_of('text'), 'line_number', 2, 2)}, chr(10))) AS snippet_md5 FROM found"""
+    out["python_rule_log"] = base + f"""
+, lines AS ({lines.format("")}),
+counts AS (
+  SELECT filename, rule_id, count(*) AS match_count FROM enriched WHERE rule_id IN ('PY006', 'PY009') GROUP BY ALL
+  UNION ALL SELECT filename, 'X_LONG', count(*) FROM lines WHERE length(line) > 40 GROUP BY ALL
+  UNION ALL SELECT filename, 'X_PASS', count(*) FROM lines WHERE contains(line, 'password') GROUP BY ALL
+  UNION ALL SELECT filename, 'X_FRAGILE', 1 FROM lines WHERE n = 1 AND length(filename) % 3 <> 0)
+SELECT path AS filename, r.rule_id, CASE WHEN text = '' OR raised THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN text = '' THEN 0 ELSE coalesce(c.match_count, 0) END AS match_count,
+  CASE WHEN text = '' THEN '{V.UNREADABLE_FILE_ERROR}' WHEN raised THEN 'ValueError: cannot judge ' || path END AS error_message
+FROM (SELECT *, r.rule_id = 'X_FRAGILE' AND length(path) % 3 = 0 AS raised
+  FROM py_files CROSS JOIN (VALUES ('PY006'), ('PY009'), ('X_LONG'), ('X_PASS'), ('X_FRAGILE')) r(rule_id)) r
+LEFT JOIN counts c ON c.filename = r.path AND c.rule_id = r.rule_id"""
+    out["rule_versions"] = """
+SELECT 'V' || p_partkey % 97 AS rule_id, arg_max(p_name, p_partkey) AS title, arg_max(p_type, p_partkey) AS description,
+  arg_max(p_brand, p_partkey) AS expression
+FROM part WHERE p_size % 4 <> 0 AND p_size % 7 <> 0 GROUP BY p_partkey % 97"""
     out["broken_rule_log"] = base + f"""
 SELECT path AS filename, r.rule_id, CASE WHEN r.rule_id = 'PY009' OR text = '' THEN 'error' ELSE 'success' END AS status,
   CASE WHEN r.rule_id = 'PY009' THEN 0 ELSE count(e.filename) END AS match_count
@@ -438,6 +478,8 @@ UNION ALL SELECT owner_id, CASE owner_id WHEN 'PY006' THEN 'A05' ELSE 'GEN' END,
   CASE owner_id WHEN 'PY006' THEN 'A05: {NAMES["A05"]}' ELSE 'GEN: {NAMES["GEN"]}' END, count(*)
 FROM ({all_matches('py_files', 'path', custom)}) GROUP BY ALL"""
     opens = values("opens", "template_id, line_number, column_number", [(12, 5, 8), (12, 6, 8), (12, 8, 8)])
+    out["custom_rule_threshold"] = with_(CODE_FILES_CTE, opens) + """
+SELECT 'X_HIGH' AS rule_id, 'high' AS severity, count(*) AS finding_count FROM code_files JOIN opens USING (template_id)"""
     out["custom_structural_rule"] = with_(CODE_FILES_CTE, opens) + """
 SELECT path, 'X_OPEN' AS rule_id, CAST(line_number AS INTEGER) AS line_number, CAST(column_number AS INTEGER) AS column_number
 FROM code_files JOIN opens USING (template_id)"""

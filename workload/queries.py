@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.catalog import fixed_values as V
-from codesieve.catalog import manage, tables
+from codesieve.catalog import manage, specs, tables
+from codesieve.catalog.specs import broken_patterns
+from codesieve.functions.pymatch import PythonRule
 from codesieve.functions.regex import RegexSpec
 from codesieve.functions import content, paths, structural, text
 from codesieve.operators import enrich, executions, filters, rollups, scan
@@ -89,8 +91,8 @@ def rule_scan_documents(spark, sf_dir):
 @query
 def anchor_scan(spark, sf_dir):
     """Expressions that match nothing but places: starts and ends of lines."""
-    specs = [RegexSpec("ANCHOR", 0, "^"), RegexSpec("ANCHOR", 1, "$")]
-    return scan.regex_scan(documents(spark, sf_dir), specs, ["doc_id"]).select("doc_id", *MATCH_COLUMNS)
+    anchors = [RegexSpec("ANCHOR", 0, "^"), RegexSpec("ANCHOR", 1, "$")]
+    return scan.regex_scan(documents(spark, sf_dir), anchors, ["doc_id"]).select("doc_id", *MATCH_COLUMNS)
 
 
 NAMED = "(?P<first_word>[A-Za-z]+) (?P<second>[a-z]+)[.]"
@@ -650,6 +652,103 @@ def python_rule(spark, sf_dir):
         "filename", "rule_id", "line_number")
 
 
+#: Expressions as users write them, each with a second spelling that any engine reads.
+USER_EXPRESSIONS = [
+    (r"f\({}\)", r"f\(\{\}\)"), ("th{,2}e", "th{0,2}e"), ("(a)?b(?(1)c| )", "abc|b "), (r"(?x) the \s+ [a-z]+  # two words", r"the\s+[a-z]+"),
+    (r"(?a)\w+ing ", "[0-9A-Za-z_]+ing "), (r"(?s)\AT.", r"\A(?s:T.)"), (r"(?P<one>[aeiou])(?:x|yz)", "[aeiou](?:x|yz)"), (r"\d+\Z", r"[0-9]+\z")]
+
+
+def user_texts(spark, sf_dir):
+    """Whole documents; every third one ends with a call of braces and its number."""
+    mark = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nf({}) abc ab b "), F.col("doc_id").cast("string"))).otherwise("")
+    return documents(spark, sf_dir).withColumn("text", F.concat("text", mark))
+
+
+@query
+def user_expression_scan(spark, sf_dir):
+    """Expressions that Java reads otherwise or not at all, by whichever engine can run them."""
+    users = [RegexSpec("USER", n, p) for n, (p, _) in enumerate(USER_EXPRESSIONS)]
+    return scan.regex_scan(user_texts(spark, sf_dir), users, ["doc_id"]).select("doc_id", *MATCH_COLUMNS)
+
+
+@query
+def broken_expression_scan(spark, sf_dir):
+    """A catalogue with a pattern that does not compile: the others run, and the broken one is reported."""
+    patterns = tables.patterns(spark).filter("pattern_id in ('A02_001', 'A05_001')").withColumn(
+        "regex_patterns", F.when(F.col("pattern_id") == "A02_001", F.concat(F.array(F.lit("(abc")), "regex_patterns")).otherwise(F.col("regex_patterns")))
+    found = scan.catalogue_scan(all_files(spark, sf_dir), ["path", "language"], patterns).groupBy("pattern_id", "pattern_no") \
+        .agg(F.count("*").alias("match_count"))
+    broken = broken_patterns(patterns).select("pattern_id", "pattern_no", F.lit(None).cast("long").alias("match_count"))
+    return found.unionByName(broken)
+
+
+@query
+def indexed_rule_scan(spark, sf_dir):
+    """A rule for the name of every part over whole documents that each name one: found through the word index."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rules = parts.select(
+        F.concat(F.lit("P"), "p_partkey").alias("rule_id"), F.lit("part").alias("title"), F.lit("names a part").alias("description"),
+        F.lit("low").alias("severity"), F.lit("high").alias("confidence"), F.lit("A04").alias("owasp_category"), F.lit(True).alias("enabled"),
+        F.lit("regex").alias("rule_type"), F.array(F.concat(F.lit("(?i)^part:\\s+"), F.replace("p_name", F.lit(" "), F.lit("\\s+")), F.lit("$"))).alias("regexes"))
+    named = documents(spark, sf_dir).join(parts, F.col("doc_id") * 7 % parts_in(spark, sf_dir) + 1 == F.col("p_partkey"))
+    texts = named.select("doc_id", F.concat("text", F.lit("\nPart: "), F.upper("p_name")).alias("text"))
+    return scan.regex_scan(texts, specs.rule_specs(rules), ["doc_id"]).select(
+        "doc_id", F.col("owner_id").alias("rule_id"), "line_number", "column_number")
+
+
+def parts_in(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+
+
+def python_rules() -> list[PythonRule]:
+    """Long lines (low), lines that name a password (medium, high in files of even number), and one that fails on some files."""
+    def long_lines(path, text):
+        return [{"line_number": n, "detail": "long line"} for n, line in enumerate(text.split("\n"), 1) if len(line) > 40]
+
+    def passwords(path, text):
+        for n, line in enumerate(text.split("\n"), 1):
+            if "password" in line:
+                yield {"line_number": n, "column_number": line.index("password"), "severity": "high" if len(path) % 2 == 0 else "medium"}
+
+    def fragile(path, text):
+        if len(path) % 3 == 0:
+            raise ValueError(f"cannot judge {path}")
+        return [{}]
+
+    return [PythonRule("X_LONG", long_lines, "Long line", "low"), PythonRule("X_PASS", passwords, "Password", "medium", owasp_category="A02"),
+            PythonRule("X_FRAGILE", fragile, "Fragile", "critical")]
+
+
+@query
+def python_rule_findings(spark, sf_dir):
+    """Python rules in a whole scan: threshold, enrichment and snippets as for all other rules."""
+    files = code_files(spark, sf_dir).select("path", "text")
+    done = scan_table(files, ScanOptions.of(min_severity="medium"), content="text", python_rules=python_rules())
+    return done.findings.filter("rule_id like 'X%'").select(
+        "filename", "rule_id", "severity", "owasp_category_name", "line_number", "column_number", F.md5("code_snippet").alias("snippet_md5"))
+
+
+@query
+def python_rule_log(spark, sf_dir):
+    """Log of Python rules beside built-in ones; where one raised, it has status error and its message."""
+    rules = tables.rules(spark).filter("rule_id in ('PY006', 'PY009')")
+    done = scanned(spark, sf_dir, rules=rules, python_rules=python_rules())
+    return executions.rule_executions(done, rules, python_rules=python_rules()).select(
+        "filename", "rule_id", "status", F.col("match_count").cast("long").alias("match_count"), "error_message")
+
+
+@query
+def custom_rule_threshold(spark, sf_dir):
+    """Custom structural rules answer to the threshold too: one of two is below it."""
+    def opens(rule_id: str, severity: str):
+        return lambda f: F.transform(F.filter(f["calls"], lambda c: (c["name_full"] == "open") & (F.size(c["args"]) == 1)),
+                                     lambda c: structural.match(rule_id, "Open call", severity, "low", "A01", c, F.lit("open call")))
+
+    done = scanned(spark, sf_dir, "medium", rules=tables.rules(spark).filter("rule_id = 'PY006'"), custom_rules=[opens("X_LOW", "low"), opens("X_HIGH", "high")])
+    return done.select("filename", F.explode("findings").alias("f")).filter("f.rule_id like 'X%'").groupBy("f.rule_id", "f.severity") \
+        .agg(F.count("*").alias("finding_count"))
+
+
 @query
 def new_language_scan(spark, sf_dir):
     """A second analyzer (by extension) with the catalogue expressions of its language."""
@@ -710,6 +809,18 @@ def rule_upsert(spark, sf_dir):
         F.count("*").alias("rules"))
 
 
+@query
+def rule_versions(spark, sf_dir):
+    """Versions of rules from the parts table, all in one batch: the latest valid version of each id counts."""
+    new = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("V"), (F.col("p_partkey") % 97).cast("string")).alias("rule_id"), F.col("p_name").alias("title"),
+        F.col("p_type").alias("description"), F.when(F.col("p_size") % 4 == 0, "fatal").otherwise("low").alias("severity"),
+        F.lit("high").alias("confidence"), F.lit("A04").alias("owasp_category"), F.lit(True).alias("enabled"), F.lit("regex").alias("rule_type"),
+        F.array(F.when(F.col("p_size") % 7 == 0, F.lit("(x")).otherwise(F.col("p_brand"))).alias("regexes"), F.col("p_partkey").alias("version"))
+    rules = manage.upsert_rules(tables.rules(spark), new, "version")
+    return rules.filter("rule_id like 'V%'").select("rule_id", "title", "description", F.get("regexes", F.lit(0)).alias("expression"))
+
+
 @query
 def derived_rule_statistics(spark, sf_dir):
     rules = candidate_rules(spark, sf_dir).withColumn("rule_type", manage.rule_type())
