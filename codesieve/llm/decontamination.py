@@ -4,7 +4,8 @@ Method: a size-partitioned MinHash search. A document may be a thousand times lo
 the whole document says nothing about the item (their Jaccard similarity is near zero, and no number of bands finds
 it). Items are therefore partitioned by size (powers of two of their shingle count), and each partition has a window
 length: the longest run of shingles that every item of it surely has left in one piece while at least ``threshold`` of
-its shingles are shared, since a changed word breaks as many shingles in a row as a shingle has words. Documents
+its shingles are shared, since each break of the item (a word put in, changed or left out, a part moved) costs at least
+one shingle less than a shingle has words. Documents
 and items are represented by the MinHashes of all their windows of that length: equal windows have equal MinHashes,
 and neighbouring windows mostly share one, so a document gives about two values per window length. Matches are
 candidates; they are verified by the exact share of the item's different shingles that the document has, compared as
@@ -68,7 +69,8 @@ def window_of(size: int, shingle: int, threshold: float) -> int:
 
     def run(n: int) -> int:
         shared = int(np.ceil(threshold * n - 1e-9))
-        return -(-shared // ((n - shared) // shingle + 1))
+        # an inserted word breaks shingle - 1 of the item's shingles, fewer break none
+        return -(-shared // ((n - shared) // max(shingle - 1, 1) + 1))
 
     return max(1, min(run(n) for n in range(low, 2 * low)))
 
@@ -237,10 +239,11 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle
     key = ["doc_id", "text_hash"]
     candidates = looked_up.select(*key, F.explode("windows").alias("hash")) \
         .join(hashes.where("kind = 'window'").select("item_id", "hash"), "hash").select(*key, "item_id").distinct()
-    shared = looked_up.select(*key, F.explode("grams").alias("gram")).distinct() \
-        .join(known.select("item_id", "n", F.explode("grams").alias("gram")), "gram") \
+    # candidates first: only what a document shares with its own candidates is counted, at most its grams per candidate
+    sought = candidates.join(known.select("item_id", "n", F.explode("grams").alias("gram")), "item_id")
+    shared = looked_up.select(*key, F.explode("grams").alias("gram")).distinct().join(sought, [*key, "gram"]) \
         .groupBy(*key, "item_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return shared.where(F.col("shared") >= F.lit(threshold) * F.col("n")).join(candidates, [*key, "item_id"], "left_semi").select(
+    return shared.where(F.col("shared") >= F.lit(threshold) * F.col("n")).select(
         F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text_hash", "item_id", "shared",
         F.col("n").cast("long").alias("shingles"), (F.col("shared") / F.col("n")).alias("containment"))
 

@@ -10,10 +10,11 @@ Method: naive Bayes over independent pieces of evidence, each of which may be mi
 The last two are counted over all documents by grouped aggregation, with the best language by text alone as the label,
 and a document does not count for itself. Counts are aggregated partially before the shuffle, so a host with a third of
 all rows is one row per task. The text model is fitted on a bounded sample of rows with a known language: about
-``sample_rows`` per language, chosen by a hash of the text; a language needs ``least_rows`` of them. The languages are
-the ``max_languages`` most frequent labels; trigrams fall into ``2 ** 16`` cells, so the model has a fixed size.
+``sample_rows`` per language, chosen by a hash of the text. All labels are languages (``least_rows`` can leave out those of
+fewer rows); trigrams fall into ``2 ** 16`` cells, so the model has a fixed size per language.
 
-A document is rejected if no language can be told: no letter in its text, or a posterior below ``least_posterior``.
+A document is rejected if no language can be told: no letter in its text, a text that the background (all cells
+equally likely) explains so much better than any language that its small prior still wins, or a posterior below ``least_posterior``.
 
 Cases: a null or blank text has no text evidence and is rejected; a null declaration, address or host is missing evidence,
 and so is a declaration never seen; without any labelled rows no language is known and every document is rejected; ties
@@ -37,6 +38,10 @@ CELLS = 1 << 16
 CELL_PRIOR, VALUE_PRIOR, HOST_WEIGHT = 0.5, 1.0, 10.0
 #: Number of trigrams at which the text evidence has half of its greatest weight.
 TEMPER = 256
+#: Log likelihood of a trigram in text of no known language.
+BACKGROUND = -np.log(CELLS)
+#: Odds before the text is seen that it is of no known language.
+BACKGROUND_PRIOR = 0.001
 
 
 def cells(data: np.ndarray) -> np.ndarray:
@@ -50,11 +55,10 @@ def prepared(text: str | None) -> np.ndarray:
     return np.frombuffer(f" {(text or '').lower()} ".encode(), np.uint8)
 
 
-def fit(rows: DataFrame, sample_rows: int = 2000, least_rows: int = 5, max_languages: int = 64) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, sample_rows: int = 2000, least_rows: int = 1) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each cell (cells x languages) from rows (text, language)."""
     known = rows.where(F.col("language").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("language").count().where(F.col("count") >= least_rows) \
-        .orderBy(F.desc("count"), "language").limit(max_languages).collect()
+    sizes = known.groupBy("language").count().where(F.col("count") >= least_rows).collect()
     languages = sorted(r["language"] for r in sizes)
     if not languages:
         return [], np.zeros((CELLS, 0))
@@ -83,7 +87,7 @@ def fit(rows: DataFrame, sample_rows: int = 2000, least_rows: int = 5, max_langu
 
 def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """``rows`` (row, text, ...) with evidence (tempered log likelihood per language) and best (its largest, from 0; null
-    if the text has no letter)."""
+    if the text has no letter or is told better by the background)."""
     table = model.astype(np.float32)
     broadcast = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -100,7 +104,10 @@ def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> D
             n = len(data) - 2
             for low in range(0, n, 1 << 16):
                 total += table[cells(data[low:low + (1 << 16) + 2])].sum(axis=0, dtype=np.float64)
-            out.append(total / n * (n * TEMPER / (n + TEMPER)))
+            known = total / n * (n * TEMPER / (n + TEMPER))
+            # the background explains the text so much better that even its small prior wins
+            unknown = known.max() < BACKGROUND * (n * TEMPER / (n + TEMPER)) + np.log(BACKGROUND_PRIOR)
+            out.append(None if unknown else known)
         return pd.Series(out, dtype="object")
 
     scored = rows.withColumn("evidence", score(F.coalesce("text", F.lit(""))))
@@ -121,10 +128,19 @@ def declared_in(html: str | Column) -> Column:
     return F.when(found != "", found)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _counts(combined: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Per key: how many documents have each language by text, as an array of ``n``."""
-    parts = [F.sum(F.when(F.col("best") == k, F.col("times")).otherwise(0)) for k in range(n)]
-    return combined.groupBy(*keys).agg(F.array(*parts).alias("counts"))
+    times = combined.groupBy(*keys, "best").agg(F.sum("times").alias("times"))
+    # at most one entry per language
+    found = times.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "times"))).alias("by_language"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(
+        F.try_element_at("by_language", k.cast("long")), F.lit(0)).cast("double"))
+    return found.select(*keys, counts.alias("counts"))
 
 
 def identify_rows(rows: DataFrame, languages: list[str], model: np.ndarray, least_posterior: float = 0.5) -> DataFrame:
@@ -138,30 +154,37 @@ def identify_rows(rows: DataFrame, languages: list[str], model: np.ndarray, leas
     # the only pass over the texts that the counts need; their tables are written, so a join knows their sizes
     combined = written(scored.where("best is not null").groupBy("declared", "suffix", "host", "best").agg(
         F.count("*").alias("times")), "evidence")
-    zero = F.array(*[F.lit(0).cast("long")] * n)
-    totals = [float(x or 0) for x in _counts(combined, [], n).first()["counts"]]
+    first = _counts(combined, [], n).first()
+    totals = list(first["counts"]) if first else [0.0] * n
     named = scored
     for column, name in (("declared", "of_declared"), ("suffix", "of_suffix"), ("host", "of_host")):
         found = written(_counts(combined.where(F.col(column).isNotNull()), [column], n)
                         .select(F.col(column), F.col("counts").alias(name)), name)
         named = named.join(found, column, "left")
 
-    own = [F.when(F.col("best") == k, 1.0).otherwise(0.0) for k in range(n)]
+    zero, all_totals = (F.expr("array(" + ", ".join(f"{x!r}D" for x in values) + ")") for values in ([0.0] * n, totals))
+    everything = sum(totals)
+    # a document does not count for itself
+    one = F.when(F.col("best").isNotNull(), 1.0).otherwise(0.0)
+    own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(k == F.col("best"), 1.0).otherwise(0.0))
+    named = named.withColumn("own", own)
 
-    def less_own(column: str, k: int) -> Column:
-        return F.get(F.coalesce(F.col(column), zero), k) - F.when(F.col(column).isNotNull(), own[k]).otherwise(0.0)
+    def less_own(column: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.zip_with(column, "own", lambda c, o: c - o)).otherwise(zero)
 
-    def size(column: str) -> Column:
-        return sum((less_own(column, k) for k in range(n)), F.lit(0.0))
+    def shrunk(column: str, parent: Column) -> Column:
+        counts = less_own(column)
+        return let(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + HOST_WEIGHT, lambda size: F.zip_with(
+            counts, parent, lambda c, p: (c + HOST_WEIGHT * p) / size))
 
     # mix of all documents, then of the suffix, then of the host, each shrunk to the one before
-    everything = sum(totals)
-    world = [(F.lit(totals[k]) - own[k] + 1.0) / (everything - sum(own, F.lit(0.0)) + n) for k in range(n)]
-    suffix = [(less_own("of_suffix", k) + HOST_WEIGHT * world[k]) / (size("of_suffix") + HOST_WEIGHT) for k in range(n)]
-    host = [(less_own("of_host", k) + HOST_WEIGHT * suffix[k]) / (size("of_host") + HOST_WEIGHT) for k in range(n)]
-    said = [(less_own("of_declared", k) + VALUE_PRIOR) / (F.lit(totals[k]) - own[k] + 2 * VALUE_PRIOR) for k in range(n)]
-    logs = F.array(*[F.get("evidence", k) + F.log(host[k]) + F.when(F.col("of_declared").isNotNull(), F.log(said[k])).otherwise(0.0)
-                     for k in range(n)])
+    world = F.zip_with(all_totals, F.col("own"), lambda t, o: (t - o + 1.0) / (everything - one + n))
+    named = named.withColumn("world", world).withColumn("of_suffix", shrunk("of_suffix", F.col("world"))) \
+        .withColumn("of_host", shrunk("of_host", F.col("of_suffix")))
+    said = F.zip_with(less_own("of_declared"), F.zip_with(all_totals, F.col("own"), lambda t, o: t - o + 2 * VALUE_PRIOR),
+                      lambda c, t: F.log((c + VALUE_PRIOR) / t))
+    told = F.zip_with("evidence", "of_host", lambda e, h: e + F.log(h))
+    logs = F.when(F.col("of_declared").isNotNull(), F.zip_with(told, said, lambda t, x: t + x)).otherwise(told)
     fused = named.select("row", "best", logs.alias("logs")).withColumn("top", F.array_max("logs"))
     weight = F.aggregate(F.col("logs"), F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names = F.array(*[F.lit(x) for x in languages])
@@ -173,7 +196,7 @@ def identify_rows(rows: DataFrame, languages: list[str], model: np.ndarray, leas
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, text_column: str = "text", declared: Column | None = None,
-             host: Column | None = None, sample_rows: int = 2000, least_posterior: float = 0.5) -> DataFrame:
+             host: Column | None = None, sample_rows: int = 2000, least_posterior: float = 0.5, least_rows: int = 1) -> DataFrame:
     """row (the input row), language, posterior, text_language. ``labelled`` (text, language) fits the text model; by
     default the declared languages of ``docs`` do. The suffix is the last label of a host name that has a dot."""
     none = F.lit(None).cast("string")
@@ -183,4 +206,4 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, text_column: st
                        suffix.alias("suffix"), host.alias("host"))
     if labelled is None:
         labelled = rows.select("text", F.col("declared").alias("language"))
-    return identify_rows(rows, *fit(labelled, sample_rows), least_posterior)
+    return identify_rows(rows, *fit(labelled, sample_rows, least_rows), least_posterior)

@@ -20,11 +20,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def slices(batches, rows: int = 512):
-    """Arrow batches cut to few rows each: what Python holds of long texts at a time stays small."""
+def slices(batches, rows: int = 512, most_bytes: int = 4 << 20):
+    """Arrow batches cut to few rows and bytes each: what Python holds of long texts at a time stays small. A longer row
+    is a slice of its own. Memory that a batch took goes back to the system before the next one comes."""
+    import pyarrow as pa
+
     for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
+        low = 0
+        while low < batch.num_rows:
+            high = min(batch.num_rows, low + rows)
+            while high > low + 1 and _bytes_of(batch, low, high) > most_bytes:
+                high = low + (high - low) // 2
+            yield batch.slice(low, high - low)
+            low = high
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def _bytes_of(batch, low: int, high: int) -> int:
+    return sum(c.slice(low, high - low).nbytes for c in batch.columns)
 
 
 def new_path(spark: SparkSession, label: str) -> str:

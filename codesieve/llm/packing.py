@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.lineage import written
+from codesieve.llm.lineage import slices, written
 from codesieve.llm.tokens import encoder
 
 PIECES = ("doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, "
@@ -39,25 +39,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, spaces: str | None, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task, seen = encoder(tokenizer, spaces), TaskContext.get().partitionId(), [0] * (size + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                out: list[list] = [[] for _ in range(8)]
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % size or min(n, size)
-                    begins = [0, *range(first, n, size)]
-                    for k, begin in enumerate(begins):
-                        length = first if k == 0 else size
-                        own = ids[4 * begin:4 * (begin + length)]
-                        for column, value in zip(out, (doc, k, begin, length, own, zlib.crc32(own), task, seen[length])):
-                            column.append(value)
-                        seen[length] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(),
-                                                          pa.int64(), pa.int32(), pa.int64()))],
-                    names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "task", "slot"])
+        for part in slices(batches, 256):
+            out: list[list] = [[] for _ in range(8)]
+            for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
+                ids += end
+                n = len(ids) // 4
+                first = n % size or min(n, size)
+                begins = [0, *range(first, n, size)]
+                for k, begin in enumerate(begins):
+                    length = first if k == 0 else size
+                    own = ids[4 * begin:4 * (begin + length)]
+                    for column, value in zip(out, (doc, k, begin, length, own, zlib.crc32(own), task, seen[length])):
+                        column.append(value)
+                    seen[length] += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(),
+                                                      pa.int64(), pa.int32(), pa.int64()))],
+                names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "task", "slot"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")) \
         .mapInArrow(run, PIECES)

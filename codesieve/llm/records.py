@@ -13,7 +13,8 @@ The format is a Python data source of Spark: executors write straight to the sha
 the marked blocks in random order, and the records of a group of blocks in random order through the index.
 
 Cases: a null text is empty and has the end id alone; an empty table gives a manifest without files and no rows;
-null ids come first; rows with equal ids are ordered by a hash of their text and kept; other columns are not used.
+null ids come first; rows with equal ids are ordered by a hash of their text and kept; other columns are not used. A
+second write to a path comes after the first one. The data source takes ids as bytes of the width it writes.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
+from codesieve.llm.lineage import slices, written
 from codesieve.llm.tokens import encoder
 
 MAGIC, VERSION = b"TIDS", 1
@@ -103,9 +105,7 @@ class _Writer(DataSourceArrowWriter):
                     if at - block_start >= BLOCK_BYTES:
                         blocks.append([at, records, ids_before])
                         block_start = at
-                    n = len(ids) // 4
-                    if self.id_bytes == 2:
-                        ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                    n = len(ids) // self.id_bytes
                     record = frame(struct.pack("<Bq", doc is None, doc or 0) + ids)
                     data.write(record)
                     entries.append((doc is None, doc or 0, at, n))
@@ -123,7 +123,14 @@ class _Writer(DataSourceArrowWriter):
         store.create_dir(folder, recursive=True)
         files = [{"name": m.name, "blocks": m.blocks} for m in sorted(
             (m for m in messages if m and m.blocks[-1][1]), key=lambda m: m.partition)]
-        with store.open_output_stream(f"{folder}/_manifest.json") as out:
+        path = f"{folder}/_manifest.json"
+        if store.get_file_info(path).is_file:  # a later write comes after what is there
+            with store.open_input_stream(path) as f:
+                before = json.loads(f.read())
+            if before["id_bytes"] != self.id_bytes:
+                raise ValueError(f"{self.path} holds ids of {before['id_bytes']} bytes")
+            files = before["files"] + files
+        with store.open_output_stream(path) as out:
             out.write(json.dumps({"version": VERSION, "id_bytes": self.id_bytes, "files": files}).encode())
 
     def abort(self, messages: list) -> None:
@@ -225,24 +232,34 @@ def write_token_records(docs: DataFrame, path: str, tokenizer: str, spaces: str
                         id_bytes: int = 4, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode all texts, add the end id and write the records in ascending document id order."""
 
+    if id_bytes not in (2, 4):
+        raise ValueError("ids take 2 or 4 bytes")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer, spaces), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = [x + end for x in coder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for part in slices(batches, 256):
+            ids = [narrowed(x + end, id_bytes) for x in coder.encode(part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text_hash", "ids"])
 
-    if id_bytes not in (2, 4):
-        raise ValueError("ids take 2 or 4 bytes")
     docs.sparkSession.dataSource.register(TokenRecords)
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")) \
-        .repartitionByRange(*order).sortWithinPartitions(*order) \
-        .mapInArrow(run, "doc_id long, ids binary") \
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
+    # encoded once and written: sorting moves ids, not texts, and does not encode again to find its ranges
+    encoded = written(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+                      .mapInArrow(run, "doc_id long, text_hash long, ids binary"), "encoded")
+    encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids") \
         .write.format("token_records").option("id_bytes", str(id_bytes)).mode("append").save(path)
 
 
+def narrowed(ids: bytes, id_bytes: int) -> bytes:
+    """Unsigned 32-bit ids in ``id_bytes`` bytes each; ids that do not fit are an error."""
+    if id_bytes == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"id {wide.max()} does not fit into 2 bytes")
+    return wide.astype("<u2").tobytes()
+
+
 def read_token_records(spark: SparkSession, path: str, shuffle_seed: int | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit)."""
     spark.dataSource.register(TokenRecords)

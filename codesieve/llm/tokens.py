@@ -20,6 +20,7 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;<=>?@^_~-]{1,9}
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
 
+_SPACE_LETTER = chr(_BYTE_LETTERS[32])
 _PUNCTUATION = frozenset(string.punctuation)
 _ENTRY_BYTES = 160
 _encoders: dict[tuple, "PieceEncoder"] = {}
@@ -31,16 +32,18 @@ class PieceEncoder:
     The tokenizers in use split a text by a pattern before merging, and no piece of that pattern reaches
     over a single space before a visible character. Cutting a text at such spaces and joining the ids of
     the pieces therefore gives the ids of the whole text; ``tests/llm`` compares both on random texts.
-    Strings of special tokens inside a text are ordinary text. The memo holds about ``memo_bytes``: when
-    half of that is full it becomes the old generation, from which pieces that occur again are taken over.
+    Texts that may hold a string of an added token go to the tokenizer whole, which then does what it does by default.
+    The memo holds about ``memo_bytes``: when half of that is full it becomes the old generation, from which pieces that
+    occur again are taken over.
     """
 
-    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 128 << 20):
+    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaces, self.memo_bytes = spaces, memo_bytes
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.prefix = os.path.commonprefix(self.added)
         self.signs: dict[str, bytes] = {}
         self.feed = self._word("\n") if spaces == LEADING else b""
         self.memo, self.held = _Memo(self), 0
@@ -65,13 +68,29 @@ class PieceEncoder:
             word = word.lower()
         ids = found.get(word) or self.memo.get(word)
         if not ids:
-            ids = found[word] = self._word(" " + word if self.spaces == LEADING else word)
+            if self.spaces == DROPPED:
+                ids = self._word(word)
+            elif word.isascii():
+                ids = array("I", [x.id for x in self.tokenizer.model.tokenize(_SPACE_LETTER + word)]).tobytes()
+            else:
+                ids = self._word(" " + word)
+            found[word] = ids
         return ids
 
+    def _holds_added(self, text: str) -> bool:
+        """Whether a text may hold an added token; their common beginning rules most texts out."""
+        if not self.added or self.prefix and self.prefix == self.prefix.upper() and self.prefix not in text:
+            return False
+        low = text.lower()
+        return any(x in low for x in self.added)
+
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         odd = []
         for piece in pieces:
+            if piece.isascii() and piece.isalpha():
+                found[piece] = self._spaced(piece, found)
+                continue
             match = _SIMPLE.fullmatch(piece)
             if not match:
                 odd.append(piece)
@@ -115,7 +134,7 @@ class PieceEncoder:
             self.memo, self.held, self.signs = _Memo(self, self.memo), 0, {}
         memo, held = self.memo, []
         for x in texts:
-            head, *tails = (x or "").split(" ")
+            head, *tails = [x] if x and self._holds_added(x) else (x or "").split(" ")
             held.append((head, tails, list(map(memo.__getitem__, tails))))
         found = self._encode_pieces(list(memo.new))
         for piece, cell in memo.new.items():
@@ -141,10 +160,10 @@ class _Memo(dict):
         self.coder, self.old, self.new = coder, old or {}, {}
 
     def __missing__(self, piece: str) -> bytes | bytearray | None:
-        if piece in self.old:
+        if self.old and piece in self.old:
             value = self.old[piece]
             self.coder.held += len(piece) + len(value or b"") + _ENTRY_BYTES
-        elif self.coder._starts_piece(piece):
+        elif piece.isalpha() or self.coder._starts_piece(piece):
             value = self.new[piece] = bytearray()
         else:
             value = None

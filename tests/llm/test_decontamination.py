@@ -74,5 +74,35 @@ def test_array_shingles_are_those_of_the_words(text):
         assert found == d.shingles_of(d.words_of(t), 5)
 
 
+def test_items_with_words_put_in_left_out_or_moved(spark):
+    """Every kind of edit, at all sizes of the benchmark: whatever still holds four fifths of an item is found."""
+    rng = random.Random(9)
+    docs, items = [], []
+    for size in range(15, 57):
+        inside = words(rng, size)
+        items.append((size, " ".join(inside)))
+        for _ in range(12):
+            now = list(inside)
+            for _ in range(rng.randrange(1, 3)):
+                at, to = rng.randrange(len(now)), rng.randrange(len(now))
+                kind = rng.randrange(4)
+                if kind == 0:
+                    now.insert(at, "new")
+                elif kind == 1:
+                    now.pop(at)
+                elif kind == 2:
+                    now[at:at] = ["several", "new", "words"]
+                else:
+                    now = now[to:] + now[:to]
+            docs.append((len(docs), " ".join(words(rng, 50) + now + words(rng, 50))))
+    expected = brute(docs, items)
+    assert len(expected) > 150 and run(spark, docs, items) == expected
+
+
 def test_window_is_never_longer_than_what_is_left():
-    assert [d.window_of(n, 5, 0.8) for n in (1, 2, 4, 8, 16, 32)] == [1, 2, 4, 7, 10, 13]
+    """Breaks at all distances, each at the cost of an inserted word: the longest run left is no shorter than the window."""
+    for n in range(1, 130):
+        lost = n - -(-8 * n // 10)
+        breaks = lost // 4
+        longest = -(-(n - 4 * breaks) // (breaks + 1))
+        assert 1 <= d.window_of(n, 5, 0.8) <= max(longest, 1), n

@@ -1,6 +1,7 @@
 """Language identification (operator 3)."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -32,7 +33,12 @@ def brute(rows, names, table, least=0.5):
             continue
         codes = lang.cells(np.frombuffer(data, np.uint8))
         total, n = table.astype(np.float32)[codes].sum(axis=0, dtype=np.float64), len(codes)
-        evidence.append(total * lang.TEMPER / (n + lang.TEMPER))
+        weight = lang.TEMPER / (n + lang.TEMPER)
+        if (total.max() + n * math.log(lang.CELLS)) * weight < math.log(lang.BACKGROUND_PRIOR):
+            evidence.append(None)
+            best.append(None)
+            continue
+        evidence.append(total * weight)
         best.append(int(np.argmax(evidence[-1])))
     count = {key: Counter((r[key], b) for r, b in zip(rows, best) if b is not None and r[key] is not None) for key in (1, 2, 3)}
     world_counts = mix(Counter(b for b in best if b is not None), names)
@@ -95,6 +101,25 @@ def test_host_and_markup_decide_short_texts(spark, model):
     assert set(found[0].row.asDict()) == set(pages.columns)
 
 
+def test_texts_of_no_known_language_are_rejected(spark):
+    labelled = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", F.col("lang").alias("language"))
+    texts = ["Wczoraj poszliśmy do kina, a potem wróciliśmy do domu późnym wieczorem.", "xkcd qwrtz bcdfg hjklm npqrs tvwxz zxcvb",
+             "Hyvää huomenta, kuinka voit tänään ystäväni, kysyi vanha mies hiljaa"]
+    found = lang.identify(spark.createDataFrame([(t,) for t in texts], "text string"), labelled).collect()
+    assert [r.language for r in found] == [None] * 3
+    clean = lang.identify(labelled.drop("language"), labelled)
+    assert clean.where("language is null").count() <= 0.005 * labelled.count()
+
+
+def test_every_label_is_a_language(spark):
+    """Also labels of one row, and more than any fixed number of them."""
+    rng = random.Random(6)
+    rows = [(" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)), f"l{i:02d}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = lang.identify(docs.select("text", F.col("lang").alias("expected")), docs.select("text", F.col("lang").alias("language"))).collect()
+    assert sum(r.language == r.row.expected for r in found) >= 70
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "some text", None), (2, None, None)], "i long, text string, lang string")
     assert [r.language for r in lang.identify(none, declared=F.col("lang")).collect()] == [None, None]

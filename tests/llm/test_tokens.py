@@ -22,7 +22,6 @@ def tokenizer(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t
 
 
@@ -167,3 +166,37 @@ def test_damaged_records_are_refused():
         broken[place] ^= 1
         with pytest.raises(ValueError):
             records.unframe(bytes(broken), 0)
+
+
+def test_strings_of_added_tokens_are_what_the_library_makes_of_them(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|ENDOFTEXT|>y", "<| no token |>", "a <|startoftext|>b <|endoftext|>"]
+    for path, spaces in ((BYTE, tokens.LEADING), (WORD, tokens.DROPPED)):
+        assert tokens.PieceEncoder(path, spaces).encode(texts) == whole(path, texts)
+    assert tokens.PieceEncoder(BYTE, tokens.LEADING).encode(["<|endoftext|>"]) == [as_bytes([50256])]
+
+
+def test_a_second_write_comes_after_the_first(spark, tmp_path):
+    path = f"file://{tmp_path}/twice"
+    for first in (0, 100):
+        records.write_token_records(documents(spark, ["one two", "three"], first), path, WORD, tokens.DROPPED, 1, id_bytes=2)
+    rows = records.read_token_records(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [0, 1, 100, 101] and rows[2].start == sum(r.n_tokens for r in rows[:2])
+    with pytest.raises(Exception, match="holds ids of 2 bytes"):
+        records.write_token_records(documents(spark, ["x"]), path, WORD, tokens.DROPPED, 1, id_bytes=4)
+
+
+def test_ids_that_are_too_wide_are_an_error():
+    assert records.narrowed(as_bytes([1, 65535]), 2) == bytes([1, 0, 255, 255])
+    with pytest.raises(ValueError, match="does not fit"):
+        records.narrowed(as_bytes([70000]), 2)
+
+
+def test_batches_are_cut_by_bytes_too():
+    import pyarrow as pa
+
+    from codesieve.llm.lineage import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 10 + ["y" * 100_000] + [None] * 5)], names=["t"])
+    got = list(slices([batch, batch.slice(0, 0)], rows=8, most_bytes=3000))
+    assert [t for part in got for t in part.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert max(sum(len(t or "") for t in part.column(0).to_pylist()) for part in got if part.num_rows > 1) <= 3000
