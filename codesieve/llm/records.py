@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
-from codesieve.llm.lineage import slices, written
+from codesieve.llm.lineage import slices
 from codesieve.llm.tokens import encoder
 
 MAGIC, VERSION = b"TIDS", 1
@@ -238,15 +238,14 @@ def write_token_records(docs: DataFrame, path: str, tokenizer: str, spaces: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer, spaces), np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches, 256):
-            ids = [narrowed(x + end, id_bytes) for x in coder.encode(part.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["doc_id", "text_hash", "ids"])
+            ids = [narrowed(x + end, id_bytes) for x in coder.encode(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     docs.sparkSession.dataSource.register(TokenRecords)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
-    # encoded once and written: sorting moves ids, not texts, and does not encode again to find its ranges
-    encoded = written(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-                      .mapInArrow(run, "doc_id long, text_hash long, ids binary"), "encoded")
-    encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids") \
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")) \
+        .repartitionByRange(*order).sortWithinPartitions(*order) \
+        .mapInArrow(run, "doc_id long, ids binary") \
         .write.format("token_records").option("id_bytes", str(id_bytes)).mode("append").save(path)
 
 

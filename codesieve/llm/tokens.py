@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import string
@@ -37,7 +38,7 @@ class PieceEncoder:
     occur again are taken over.
     """
 
-    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 64 << 20):
+    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 256 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -127,6 +128,16 @@ class PieceEncoder:
         return b"".join(self._encode([*parts, now]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        # nothing here is in a cycle, so the collector would only walk the lists in vain
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[bytes]:
         if self.spaces is None:
             return self._encode([x or "" for x in texts])
         if self.held > self.memo_bytes // 2:
