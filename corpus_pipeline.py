@@ -17,32 +17,35 @@ from codesieve.llm.queries import BYTE_BPE, documents_by_language, tokenizer_pat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay, as they are."""
+    """Documents whose language can be told stay, as they are; null and blank texts go. Repeated rows stay."""
     return documents_by_language(docs).where(F.col("language").isNotNull()).select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go; so do documents of which nothing is left."""
-    found = line_dedup.delete_duplicate_lines(docs)
+    """Blocks of lines that an earlier document has go; so do documents of which nothing is left. Null texts stay null,
+    n_chars (where there is such a column) follows the text, and any other column stays as it is."""
+    found = line_dedup.delete_duplicate_lines(docs.select(F.struct("*").alias("given"), "doc_id", "text"))
     left = found.where((F.col("removed_lines") == 0) | (F.col("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = F.col("given").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        given = F.when(F.col("removed_lines") > 0, given.withField("n_chars", F.length("text").cast("long"))).otherwise(given)
+    return left.select(given.alias("given")).select("given.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One document of each group of near-duplicates stays, the one with the smallest id (null first, ties by text)."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and blank texts hold none."""
     return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in sequences of at most 1024 tokens."""
+    """The places of all pieces in sequences of at most 1024 tokens; a null text is one piece with the end id alone."""
     name, spaces = BYTE_BPE
-    return packing.pack(docs, tokenizer_path(name), spaces, end_id=2, size=1024) \
+    return packing.pack(docs, tokenizer_path(name), spaces, end_id=2, size=1024, memo_bytes=64 << 20) \
         .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
