@@ -23,21 +23,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.llm.lineage import slices, written
-from codesieve.llm.tokens import encoder
+from codesieve.llm.tokens import MEMO_BYTES, encoder
 
 PIECES = ("doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, "
           "task int, slot long")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, spaces: str | None, end_id: int, size: int,
-                 id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                 id_column: str = "doc_id", text_column: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encode every text, add the end id and cut what is longer than ``size``; only the first piece may be shorter.
 
     ``task`` and ``slot`` number the pieces of one length within a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = encoder(tokenizer, spaces), TaskContext.get().partitionId(), [0] * (size + 1)
+        coder, task, seen = encoder(tokenizer, spaces, memo_bytes), TaskContext.get().partitionId(), [0] * (size + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches, 256):
             out: list[list] = [[] for _ in range(8)]
@@ -138,9 +138,11 @@ def place_table(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 
 def pack(docs: DataFrame, tokenizer: str, spaces: str | None, end_id: int, size: int = 1024,
-         id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Pieces with their ids and places: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset."""
-    pieces = written(token_pieces(docs, tokenizer, spaces, end_id, size, id_column, text_column), "pieces")
+         id_column: str = "doc_id", text_column: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """Pieces with their ids and places: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
+
+    ``memo_bytes``: memory that a worker process keeps between tasks to encode equal words once."""
+    pieces = written(token_pieces(docs, tokenizer, spaces, end_id, size, id_column, text_column, memo_bytes), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

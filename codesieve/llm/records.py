@@ -5,7 +5,7 @@ records. A record is its payload length (unsigned 64 bit), the masked CRC-32 of
 the masked CRC-32 of the payload; all numbers are little-endian. The payload is 1 byte (1: the id is null), the
 signed 64-bit document id and the token ids. Index file (``.idx``): per record 25 bytes: null flag, document id,
 byte offset of the record and number of ids, and at the end the masked CRC-32 of all that. ``_manifest.json``
-names the committed files in order, with a mark every 32 MB from which a reader can start. Files of attempts that
+names the committed files in order, with a mark every 16 MB from which a reader can start. Files of attempts that
 failed are in no manifest. Ids take 2 bytes where the vocabulary allows, else 4.
 
 The format is a Python data source of Spark: executors write straight to the shared path (any file system that
@@ -36,10 +36,10 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
 from codesieve.llm.lineage import slices
-from codesieve.llm.tokens import encoder
+from codesieve.llm.tokens import encoder, release
 
 MAGIC, VERSION = b"TIDS", 1
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 INDEX = np.dtype([("absent", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -156,6 +156,7 @@ class _Reader(DataSourceReader):
         return [Blocks(blocks[i:i + 4]) for i in range(0, len(blocks), 4)] or [Blocks([])]
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+        release()  # a worker that has encoded holds a large memo
         store, folder = file_system(self.path)
         rows: list[list] = [[], [], [], []]
         held = 0
@@ -229,14 +230,14 @@ class TokenRecords(DataSource):
 
 
 def write_token_records(docs: DataFrame, path: str, tokenizer: str, spaces: str | None, end_id: int,
-                        id_bytes: int = 4, id_column: str = "doc_id", text_column: str = "text") -> None:
+                        id_bytes: int = 4, id_column: str = "doc_id", text_column: str = "text", memo_bytes: int = 192 << 20) -> None:
     """Encode all texts, add the end id and write the records in ascending document id order."""
 
     if id_bytes not in (2, 4):
         raise ValueError("ids take 2 or 4 bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer, spaces), np.array([end_id], dtype="<u4").tobytes()
+        coder, end = encoder(tokenizer, spaces, memo_bytes), np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches, 256):
             ids = [narrowed(x + end, id_bytes) for x in coder.encode(part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])

@@ -22,6 +22,8 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 _SPACE_LETTER = chr(_BYTE_LETTERS[32])
+#: Bytes of the memo of a worker process: more of it takes less time.
+MEMO_BYTES = 256 << 20
 _PUNCTUATION = frozenset(string.punctuation)
 _ENTRY_BYTES = 160
 _encoders: dict[tuple, "PieceEncoder"] = {}
@@ -38,7 +40,7 @@ class PieceEncoder:
     occur again are taken over.
     """
 
-    def __init__(self, path: str, spaces: str | None, memo_bytes: int = 256 << 20):
+    def __init__(self, path: str, spaces: str | None, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -183,8 +185,15 @@ class _Memo(dict):
         return value
 
 
-def encoder(path: str, spaces: str | None) -> PieceEncoder:
+def encoder(path: str, spaces: str | None, memo_bytes: int = MEMO_BYTES) -> PieceEncoder:
     """One encoder per worker process, kept between tasks."""
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = PieceEncoder(path, spaces)
-    return _encoders[path, spaces]
+    key = path, spaces, memo_bytes
+    if key not in _encoders:
+        release()
+        _encoders[key] = PieceEncoder(path, spaces, memo_bytes)
+    return _encoders[key]
+
+
+def release() -> None:
+    """Drop the encoders of this worker process; other work in it needs their memory."""
+    _encoders.clear()
