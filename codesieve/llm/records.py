@@ -36,7 +36,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage)
 
 from codesieve.llm.lineage import slices
-from codesieve.llm.tokens import encoder, release
+from codesieve.llm.tokens import MEMO_BYTES, encoder, release
 
 MAGIC, VERSION = b"TIDS", 1
 BLOCK_BYTES = 16 << 20
@@ -230,7 +230,7 @@ class TokenRecords(DataSource):
 
 
 def write_token_records(docs: DataFrame, path: str, tokenizer: str, spaces: str | None, end_id: int,
-                        id_bytes: int = 4, id_column: str = "doc_id", text_column: str = "text", memo_bytes: int = 192 << 20) -> None:
+                        id_bytes: int = 4, id_column: str = "doc_id", text_column: str = "text", memo_bytes: int = MEMO_BYTES) -> None:
     """Encode all texts, add the end id and write the records in ascending document id order."""
 
     if id_bytes not in (2, 4):
