@@ -110,7 +110,8 @@ def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> D
             out.append(None if unknown else known)
         return pd.Series(out, dtype="object")
 
-    scored = rows.withColumn("evidence", score(F.coalesce("text", F.lit(""))))
+    # called non-deterministic, or a filter on its result would run it once more, in Python workers of its own
+    scored = rows.withColumn("evidence", score.asNondeterministic()(F.coalesce("text", F.lit(""))))
     return scored.withColumn("best", F.array_position("evidence", F.array_max("evidence")) - 1)
 
 
