@@ -43,7 +43,8 @@ def rule_executions(file_results: DataFrame, rules: DataFrame, max_matches: int
     """Log of every rule on every file, ``python_rules`` of the scan included.
 
     The matches are in the file's row and are brought together by rule there; what is known of a rule comes from a
-    table that is as small as the plan.  ``match_count`` is the true count; ``matches`` are cut, with a
+    table that is as small as the plan.  That table is the side that is sent around, whatever Spark takes the size of the log
+    for: files that are derived from a few bytes of key look smaller than it.  ``match_count`` is the true count; ``matches`` are cut, with a
     warning, only if ``max_matches`` is given.  A rule with an expression that does not compile has status error, and so
     has a Python rule on a file on which it raised.
     """
@@ -56,7 +57,7 @@ def rule_executions(file_results: DataFrame, rules: DataFrame, max_matches: int
         if "rule_errors" in file_results.columns else F.lit(None).cast("string")
     entries = file_results.select("filename", "error", "parsed", *[c for c in ("rule_errors",) if c in file_results.columns],
                                   F.explode(by_rule(F.col("findings"), list(dict.fromkeys(r[0] for r in known)))).alias("e"))
-    found = entries.withColumn("raised", why).select("filename", "error", "parsed", "raised", "e.*").join(table, "rule_id")
+    found = entries.withColumn("raised", why).select("filename", "error", "parsed", "raised", "e.*").join(F.broadcast(table), "rule_id")
     # a disabled rule has no matches, whatever the scan was given
     mine = F.when(F.col("enabled"), F.col("matches")).otherwise(F.slice("matches", F.lit(1), F.lit(0)))
     count = F.when(F.col("enabled"), F.size("matches")).otherwise(0)

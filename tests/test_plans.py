@@ -344,3 +344,12 @@ def test_plan_has_no_shuffle_and_reads_two_columns(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Cartesian" not in plan
     assert "ReadSchema: struct<path:string,content:string>" in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_log_is_never_the_side_that_is_sent_around(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "keys"))  # a few bytes of key that become files
+    files = spark.read.parquet(str(tmp_path / "keys")).select(F.format_string("f%d.py", "id").alias("path"), F.lit("eval(x)\n").alias("content"))
+    log = executions.rule_executions(scan_table(files).file_results, tables.rules(spark))
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert log.count() == 5 * len(V.RULES)
