@@ -69,10 +69,14 @@ def dependency_audit(files: DataFrame, path: str = "path", text: str = "text") -
 
 
 # ------------------------------------------------------------------ code facts
+def facts_of(text: str = "text", language: str = "language") -> Column:
+    """Facts of a Python text; null for texts of other languages, which are not sent to the parser."""
+    return code_facts(F.when((F.col(language) == "python") & (F.length(text) > 0), F.col(text)))
+
+
 def with_facts(files: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
     """Add the facts of Python files; files of other languages are not sent to the parser."""
-    python_text = F.when((F.col(language) == "python") & (F.length(text) > 0), F.col(text))
-    parsed = files.withColumn("_facts", code_facts(python_text))
+    parsed = files.withColumn("_facts", facts_of(text, language))
     # bound, or a filter the optimizer derives from a later explode would run the parser twice
     return bind(parsed, "facts", F.col("_facts")).drop("_facts")
 
@@ -177,6 +181,8 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     native, python = by_engine(specs)
     structural = _structural_rules(rules, min_severity)
     custom = [_at_least(rule, min_severity) for rule in custom_rules]
+    if structural or custom:  # the parser's workers have the text anyway: they run the expressions in the same pass
+        native, python = [], specs
     why = "read_error" if "read_error" in files.columns else None
     other = [c for c in files.columns if c not in ("path", "language", text, "size", why)]
 
@@ -188,20 +194,24 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
     if native:
         base = base.withColumn("_fold", folded(body))
         by_regex = locate_hits(body, regex_hits("_text", "_fold", native), native)
+    # what Python workers tell of a file, in one pass of them
+    sent = {}
     if python:
-        sent = python_hits(body, python, names=sorted(S.RULE_ATTRIBUTES))
-        base = bind(base.withColumn("_sent", sent), "_python", F.col("_sent")).drop("_sent")
-        more = F.coalesce(F.col("_python"), F.array().cast(f"array<{_NO_REGEX}>"))
+        sent["regex"] = python_hits(body, python, names=sorted(S.RULE_ATTRIBUTES))
+        more = F.coalesce(F.col("_told.regex"), F.array().cast(f"array<{_NO_REGEX}>"))
         by_regex = more if by_regex is None else F.concat(by_regex, more)
     if structural or custom:
-        base = with_facts(base, "_text")
-        by_structure = F.when(F.col("facts.parsed"), structural_matches(F.col("facts"), structural + custom))
-
-    empty = F.array().cast(f"array<{FINDING_TYPE}>")
+        sent["facts"] = facts_of("_text")
+        by_structure = F.when(F.col("_told.facts.parsed"), structural_matches(F.col("_told.facts"), structural + custom))
     if python_rules:
         floor = S.severity_rank(min_severity)
         checked = python_findings(list(python_rules), lambda severity: S.severity_rank(severity) >= floor)
-        base = bind(base.withColumn("_sent", checked(F.col("path"), F.when(F.length(body) > 0, body), F.col("language"))), "_checked", F.col("_sent")).drop("_sent")
+        sent["checked"] = checked(F.col("path"), F.when(F.length(body) > 0, body), F.col("language"))
+    if sent:
+        asked = base.withColumns({f"_{name}": column for name, column in sent.items()})
+        base = bind(asked, "_told", F.struct(*[F.col(f"_{name}").alias(name) for name in sent])).drop(*[f"_{name}" for name in sent])
+
+    empty = F.array().cast(f"array<{FINDING_TYPE}>")
 
     def all_findings(regex: Column, structure: Column) -> Column:
         return F.concat(
@@ -215,9 +225,9 @@ def scan_files(files: DataFrame, min_severity: str = "low", rules: DataFrame | N
         F.coalesce(by_structure, no_structure) if by_structure is not None else no_structure,
         lambda t: F.when(F.size(r) + F.size(t) > 0, all_findings(r, t)).otherwise(empty)))
     if python_rules:
-        findings = F.concat(findings, F.coalesce(F.col("_checked.findings"), empty))
-        other.append(F.col("_checked.errors").alias("rule_errors"))
-    parsed = F.col("facts.parsed") if structural or custom else F.lit(None).cast("boolean")
+        findings = F.concat(findings, F.coalesce(F.col("_told.checked.findings"), empty))
+        other.append(F.col("_told.checked.errors").alias("rule_errors"))
+    parsed = F.col("_told.facts.parsed") if structural or custom else F.lit(None).cast("boolean")
     return bind(base.select(
         F.col("path").alias("filename"), "language",
         F.when(~readable, F.coalesce("_why", F.lit(V.UNREADABLE_FILE_ERROR))).alias("error"),

@@ -9,6 +9,7 @@ from codesieve.catalog import manage, tables
 from codesieve.operators import enrich, executions, filters, rollups, scan
 from codesieve.plans.scan import scan_run, self_check
 from codesieve.sources import sinks
+from codesieve.functions.pymatch import PythonRule
 from codesieve.functions.structural import match
 from codesieve.sources.tables import file_profile, safe_files
 from codesieve.sources.tree import list_tree, read_contents
@@ -353,3 +354,22 @@ def test_log_is_never_the_side_that_is_sent_around(spark, tmp_path):
     plan = log._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
     assert log.count() == 5 * len(V.RULES)
+
+
+def test_workers_read_a_text_once(spark):
+    """Parser, expressions and Python rules run in one pass of the Python workers, and nothing locates matches a second time."""
+    files = source_table(spark, [("a.py", "eval(x)\nDEBUG = True\n"), ("b.py", "password = 'hunter2hunter2'\n")])
+    rule = PythonRule("X_ANY", lambda path, text: [{}], "Any", "high")
+    results = scan_table(files, python_rules=[rule]).file_results
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "_fold" not in plan
+    assert {(r.filename, f.rule_id) for r in results.collect() for f in r.findings} == {
+        ("a.py", "PY005"), ("a.py", "PY006"), ("a.py", "X_ANY"), ("b.py", "PY003"), ("b.py", "X_ANY")}
+
+
+def test_paths_are_looked_up(spark):
+    from workload.corpus import PATH_SQL, TEMPLATES, path_column
+    keys = spark.range(23 * 29 * len(TEMPLATES)).withColumnRenamed("id", "o_orderkey")
+    paths = keys.select(path_column().alias("a"), F.expr(PATH_SQL).alias("b"))
+    assert paths.filter("not (a <=> b)").count() == 0
+    assert keys.select(path_column())._jdf.queryExecution().executedPlan().toString().count("WHEN") < 10

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.functions.expressions import literals
+
 K = "@K@"  # replaced by the order key
 
 
@@ -312,6 +314,28 @@ CASE {extensions} END
             if not t.name else f"'{t.extension}'") for i, t in enumerate(TEMPLATES)))
 
 
+DIRECTORIES = {0: "tests/unit/", 1: "src/tests/", 2: "venv/lib/", 3: "node_modules/x/", 4: ".git/hooks/", 5: "build/", 6: "app/venv/"}
+NAMES = {2: "__init__", 3: "_private"}
+
+
+def path_column() -> Column:
+    """The path of ``PATH_SQL`` from lookups by remainder: as one long CASE it makes methods that Java never compiles."""
+    key = F.col("o_orderkey")
+    number, word = key.cast("string"), (key % 29).cast("int")
+    template = (key % len(TEMPLATES)).cast("int")
+
+    def of(values: list, at: Column) -> Column:
+        return F.get(literals(values), at)
+
+    fixed = of(["1" if t.name else "" for t in TEMPLATES], template) == "1"
+    name = F.when(fixed, "requirements").when(word == 0, F.concat(F.lit("test_"), number)).when(word == 1, F.concat(number, F.lit("_test"))) \
+        .otherwise(of([NAMES.get(n, "main") for n in range(29)], word))
+    extension = F.when(word == 4, of([t.extension if t.name else t.extension.upper() for t in TEMPLATES], template)) \
+        .otherwise(of([t.extension for t in TEMPLATES], template))
+    return F.concat(of([DIRECTORIES.get(n, "src/") for n in range(23)], (key % 23).cast("int")), F.lit("r"), (key % 97).cast("string"),
+                    F.lit("/m"), number, F.lit("/"), name, extension)
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_id, template_id, path, text, size)`` for every order."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
@@ -322,7 +346,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = orders.repartition(spark.sparkContext.defaultParallelism * 4)
     return spread.select(
         F.col("o_orderkey").alias("file_id"), number.cast("int").alias("template_id"),
-        F.expr(PATH_SQL).alias("path"), text.alias("text")) \
+        path_column().alias("path"), text.alias("text")) \
         .withColumn("size", F.octet_length("text").cast("long"))
 
 
