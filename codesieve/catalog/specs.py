@@ -87,6 +87,12 @@ def rule_specs(rules: DataFrame | None = None, min_severity: str | None = None)
         for number, pattern in enumerate(row["regexes"]) if compile_error(pattern) is None]
 
 
+def expression_specs(owners: DataFrame) -> list[RegexSpec]:
+    """Each distinct expression (``pattern``) that compiles, once, whoever owns it."""
+    distinct = owners.select("pattern").where("pattern is not null").distinct().orderBy("pattern")
+    return [RegexSpec("", number, row["pattern"]) for number, row in enumerate(_collect(distinct)) if compile_error(row["pattern"]) is None]
+
+
 def pattern_specs(patterns: DataFrame | None = None) -> list[RegexSpec]:
     """Expressions of the catalogue, each bound to the languages of its pattern."""
     rows = tables.pattern_rows() if patterns is None else _collect(patterns.orderBy("pattern_id"))

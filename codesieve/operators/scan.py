@@ -27,12 +27,15 @@ StructuralRule = Callable[[Column], Column]
 
 # ------------------------------------------------------------------ regex operators
 def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: str = "text",
-               language: str | None = None, with_groups: bool = False) -> DataFrame:
-    """One row per match of any expression: key, owner, position, matched text, groups, rule values."""
+               language: str | None = None, with_groups: bool = False, indexed: bool = False) -> DataFrame:
+    """One row per match of any expression: key, owner, position, matched text, groups, rule values.
+
+    ``indexed`` sends all expressions through the word index, however few they are.
+    """
     extra = [F.col(language).alias("_language")] if language else []
     base = bind(texts.select(*key, *extra, F.col(text).alias("_raw")), "_text", F.col("_raw")) \
         .withColumn("_fold", folded(F.col("_text")))
-    native, python = by_engine(specs, with_groups)
+    native, python = ([], specs) if indexed else by_engine(specs, with_groups)
     parts = []
     if native or not python:
         hits = regex_hits("_text", "_fold", native, "_language" if language else None)
@@ -53,6 +56,23 @@ def rule_scan(texts: DataFrame, key: list[str], rule_ids: list[str] | None = Non
     return regex_scan(texts, specs, key, **kwargs).withColumnRenamed("owner_id", "rule_id")
 
 
+def rule_table_scan(texts: DataFrame, rules: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Matches of the enabled rules of a table, which may have very many rules.
+
+    An expression that several rules share runs once; its matches find their rules in a join. So the plan grows with the
+    distinct expressions, not with the rules, and only the result with both.
+    """
+    owners = rules.filter(F.col("enabled") & (F.size("regexes") > 0)).select(
+        F.col("rule_id").alias("owner_id"), *[F.col(k if k != "detail" else "description").alias(k) for k in S.RULE_ATTRIBUTES],
+        F.posexplode("regexes").alias("pattern_no", "pattern"))
+    specs = S.expression_specs(owners)
+    if not specs:  # none compiles: no match, with the columns of one
+        specs = [RegexSpec("", 0, "(?!)")]
+    found = regex_scan(texts, specs, key, text, indexed=True).drop("owner_id", "pattern_no")
+    return found.join(owners, "pattern").select(*key, "owner_id", *S.RULE_ATTRIBUTES, "pattern_no", "match_no", "line_number",
+                                                "column_number", "matched_text", "pattern")
+
+
 def catalogue_scan(files: DataFrame, key: list[str], patterns: DataFrame | None = None, **kwargs) -> DataFrame:
     """Matches of every catalogue expression that applies to the file's language."""
     return regex_scan(files, S.pattern_specs(patterns), key, language="language", **kwargs) \

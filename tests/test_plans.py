@@ -373,3 +373,18 @@ def test_paths_are_looked_up(spark):
     paths = keys.select(path_column().alias("a"), F.expr(PATH_SQL).alias("b"))
     assert paths.filter("not (a <=> b)").count() == 0
     assert keys.select(path_column())._jdf.queryExecution().executedPlan().toString().count("WHEN") < 10
+
+
+def test_rules_that_share_an_expression_run_it_once(spark):
+    from codesieve.catalog import specs
+    rows = [("A", [r"x\s+y"], True), ("B", ["(", r"x\s+y"], True), ("C", [r"x\s+y"], False), ("D", ["none"], True)]
+    rules = tables.local_table(spark, tables.RULE_FIELDS, [
+        {"rule_id": i, "title": i, "description": i, "severity": "low", "confidence": "high", "owasp_category": "A04",
+         "enabled": on, "rule_type": "regex", "regexes": regexes} for i, regexes, on in rows])
+    texts = source_table(spark, [("a", "x  y\nx y"), ("b", "z")])
+    found = scan.rule_table_scan(texts, rules, ["path"], "content")
+    assert sorted((r.path, r.owner_id, r.pattern_no, r.match_no, r.line_number, r.column_number, r.title) for r in found.collect()) == [
+        ("a", "A", 0, 1, 1, 0, "A"), ("a", "A", 0, 2, 2, 0, "A"), ("a", "B", 1, 1, 1, 0, "B"), ("a", "B", 1, 2, 2, 0, "B")]
+    many = spark.range(1000).select(F.lit(r"x\s+y").alias("pattern"))
+    assert len(specs.expression_specs(many)) == 1
+    assert scan.rule_table_scan(texts, rules.filter("rule_id = 'C'"), ["path"], "content").count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.catalog import fixed_values as V
-from codesieve.catalog import manage, specs, tables
+from codesieve.catalog import manage, tables
 from codesieve.catalog.specs import broken_patterns
 from codesieve.functions.pymatch import PythonRule
 from codesieve.functions.regex import RegexSpec
@@ -692,7 +692,7 @@ def indexed_rule_scan(spark, sf_dir):
         F.lit("regex").alias("rule_type"), F.array(F.concat(F.lit("(?i)^part:\\s+"), F.replace("p_name", F.lit(" "), F.lit("\\s+")), F.lit("$"))).alias("regexes"))
     named = documents(spark, sf_dir).join(parts, F.col("doc_id") * 7 % parts_in(spark, sf_dir) + 1 == F.col("p_partkey"))
     texts = named.select("doc_id", F.concat("text", F.lit("\nPart: "), F.upper("p_name")).alias("text"))
-    return scan.regex_scan(texts, specs.rule_specs(rules), ["doc_id"]).select(
+    return scan.rule_table_scan(texts, rules, ["doc_id"]).select(
         "doc_id", F.col("owner_id").alias("rule_id"), "line_number", "column_number")
 
 
