@@ -11,7 +11,8 @@ Only components are asked for, so links inside one are not sought again, and a g
 1. equal sets are one row;
 2. each column of the first block pairs its members with its first one; overlaps are exact, and links join components;
 3. the product runs over pairs of different components: in each column, members outside its most frequent component
-   against the others. Columns inside one component, as those of near copies, drop out.
+   against the others. Columns inside one component, as those of near copies, drop out. Bit maps of whole sets bound their
+   symmetric difference, so near copies that stay below the threshold are compared in their columns, but few become rows.
 
 Rarity comes from a sketch of ``2 ** cells`` counters over all documents (each counts the n-grams of its hash range), as
 logarithms in one byte: what is broadcast has that fixed size. The order decides how much work there is, never the result.
@@ -141,21 +142,23 @@ def _chunk_rows(chunks: np.ndarray, counts) -> Iterator[pa.RecordBatch]:
 
 
 def incidence(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n_shingles, sum_a, sum_b (over its set) and its columns of the first block, in order; empty
-    if the set can reach the threshold with no other. A column is the level of an n-gram, then the rest of its hash."""
+    """Per document: doc_id, n_shingles, sum_a, sum_b (over its set), a bit map of the set and its columns of the first block,
+    in order; empty if the set can reach the threshold with no other. A column is the level of an n-gram, then the rest of
+    its hash."""
     cells = len(levels).bit_length() - 1
     broadcast = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, levels = Grams(n), broadcast.value
         for batch in slices(batches):
-            sizes, sums, others, first = [], [], [], []
+            sizes, sums, others, maps, first = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = grams.of(text)
                 size = len(own)
                 sizes.append(size)
                 sums.append(int(own.sum(dtype=np.uint64)))
                 others.append(int(_mixed(own).sum(dtype=np.uint64)))
+                maps.append(bit_map(own))
                 prefix = size - least_shared(size, percent) + 1
                 # a set so small that one more n-gram breaks the threshold links with its equals alone
                 if not size or 100 * size < percent * (size + 1):
@@ -165,10 +168,20 @@ def incidence(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
                     first.append(np.sort(np.partition(column, prefix - 1)[:prefix]) if prefix < size else np.sort(column))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)),
-                 pa.array(np.array(others, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "sum_a", "sum_b", "first"])
+                 pa.array(np.array(others, np.uint64).view(np.int64)), pa.array(maps, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "sum_a", "sum_b", "bits", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sum_a long, sum_b long, first array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sum_a long, sum_b long, bits array<long>, first array<long>")
+
+
+#: Words of the bit map of a set: a bit per n-gram, by hash.
+MAP = tuple(f"map_{k}" for k in range(8))
+
+
+def bit_map(grams: np.ndarray) -> np.ndarray:
+    found = np.zeros(64 * len(MAP), bool)
+    found[(grams & np.uint64(64 * len(MAP) - 1)).astype(np.int64)] = True
+    return np.packbits(found, bitorder="little").view(np.int64)
 
 
 def columns(grams: np.ndarray, levels: np.ndarray, cells: int) -> np.ndarray:
@@ -251,8 +264,25 @@ def _most_common(one: str, other: str) -> Column:
 
 
 def _sized(percent: int):
-    """Whether the sizes of a pair allow the threshold at all."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    """Whether the sizes and bit maps of a pair allow the threshold at all: a bit of one map alone is an n-gram of one set alone."""
+    apart = [F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in MAP]
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) \
+        & (F.col("n_a") + F.col("n_b") - sum(apart[1:], apart[0]) >= 2 * ceiling((F.col("n_a") + F.col("n_b")) * percent, 100 + percent))
+
+
+def _pairs(mixed: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components, once per column that they have in common, with sizes and last columns."""
+    values = ("n", "last", "times", *MAP, *MARKS)
+    rows_of = mixed.join(marked, "node")
+    ones = rows_of.where("component <> most").select("column", *(F.col(x).alias(f"{x}_a") for x in ("node", "component", *values)))
+    twos = rows_of.select("column", "most", *(F.col(x).alias(f"{x}_b") for x in ("node", "component", *values)))
+    # most pairs are never made: their marks tell that they have too few columns in common
+    return ones.join(twos, "column").where((F.col("component_a") != F.col("component_b")) & _sized(percent)
+                                            & _possible(percent, F.least(_most_common("a", "b"), _most_common("b", "a")))
+                                            & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))) \
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
+                *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(f"{x}_a") for x in ("n", "last")),
+                *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(f"{x}_b") for x in ("n", "last")))
 
 
 def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22, id_column: str = "doc_id",
@@ -263,15 +293,17 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
     key = ["sum_a", "sum_b", "n_shingles"]
     rows = written(incidence(docs, n, percent, sketch(docs.select("text"), n, cells)), "incidence")
     # equal sets have equal columns
-    sets = written(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.first("first").alias("first"))
+    sets = written(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("first").alias("first"))
                    .withColumn("node", F.monotonically_increasing_id()), "sets")
     cell = sets.where(F.size("first") > 0).select("node", F.explode("first").alias("column"))
-    several = cell.groupBy("column").agg(F.count("*").alias("members")).where("members > 1").select("column")
+    several = cell.groupBy("column").agg(F.count("*").alias("members")).where("members > 1")
     shared = written(cell.join(several, "column"), "shared")
-    times = shared.groupBy("node").agg(F.count("*").alias("times"))
-    sizes = written(sets.select("node", F.col("n_shingles").alias("n"), F.array_max("first").alias("last")).join(times, "node"), "sizes")
-    # the member with the fewest columns of its own is the likeliest to be in the middle of its copies
-    middle = F.struct((F.col("n") - ceiling(F.col("n") * percent, 100) - F.col("times")).alias("own"), "node")
+    times = shared.groupBy("node").agg(F.count("*").alias("times"), F.sum("members").alias("members"))
+    sizes = written(sets.select("node", F.col("n_shingles").alias("n"), F.array_max("first").alias("last"),
+                               *(F.get("bits", F.lit(k)).alias(x) for k, x in enumerate(MAP))).join(times, "node"), "sizes")
+    shared = shared.drop("members")
+    # the member whose first block is in the fullest columns is the likeliest to be in the middle of its copies
+    middle = F.struct((-F.col("members") / (F.col("n") - ceiling(F.col("n") * percent, 100) + 1)).alias("empty"), "node")
     heads = shared.join(sizes, "node").groupBy("column").agg(F.min(middle).alias("head"))
     named = sets.select("node", "first_id", *key)
 
@@ -281,7 +313,7 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with sizes, last columns and numbers of shared columns of both."""
         for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "last", "times"))), side)
+            pairs = pairs.join(sizes.select(F.col("node").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in ("n", "last", "times", *MAP))), side)
         return pairs
 
     stars = sized(shared.join(heads, "column").where("node <> head.node").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
@@ -295,18 +327,8 @@ def similar_sets(docs: DataFrame, n: int = 3, percent: int = 90, cells: int = 22
         F.max_by("component", F.struct("times", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
     mixed = written(labelled.join(most.select("column", "most"), "column"), "mixed")
     marked = written(mixed.groupBy("node").agg(F.count("*").alias("times"), *_marks("column"))
-                     .join(sizes.drop("times"), "node"), "marked")
-    values = ("n", "last", "times", *MARKS)
-    rows_of = mixed.join(marked, "node")
-    ones = rows_of.where("component <> most").select("column", *(F.col(x).alias(f"{x}_a") for x in ("node", "component", *values)))
-    twos = rows_of.select("column", "most", *(F.col(x).alias(f"{x}_b") for x in ("node", "component", *values)))
-    # most pairs are never made: their marks tell that they have too few columns in common
-    pairs = ones.join(twos, "column").where((F.col("component_a") != F.col("component_b")) & _sized(percent)
-                                            & _possible(percent, F.least(_most_common("a", "b"), _most_common("b", "a")))
-                                            & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))) \
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
-                *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(f"{x}_a") for x in ("n", "last")),
-                *(F.when(F.col("node_a") < F.col("node_b"), F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(f"{x}_b") for x in ("n", "last")))
+                     .join(sizes.drop("times", "members"), "node"), "marked")
+    pairs = _pairs(mixed, marked, percent)
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *(F.first(x).alias(x) for x in ("n_a", "n_b", "last_a", "last_b")))
     left = written(counted.where(_possible(percent, F.col("common"))).select("a", "b"), "left")
     more = full_sets(docs, n, named.join(ends(left).join(whole.select("node"), "node", "left_anti"), "node"))

@@ -106,3 +106,34 @@ def test_order_of_columns_depends_on_counts(spark):
 
 def test_empty_table(spark):
     assert ngram_join.similar_sets(documents(spark, []), cells=12).collect() == []
+
+
+def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Copies that share nine columns with each other and link with none: nearly every pair is ruled out before it is a row."""
+    made = []
+    pairs = ngram_join._pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_pairs", counted)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(words)
+        copy[10 + i % 60], copy[80 + i % 55] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(copy)))
+    assert found(spark, rows) == expected(rows)
+    assert sum(made) < 60 * 59 / 2 * 9 / 4  # each pair shares nine columns or so
+
+
+def test_bit_maps_never_rule_out_a_link():
+    draw = np.random.default_rng(3)
+    for n in (5, 40, 148, 600, 4000):
+        for apart in (0, 1, n // 30, n // 10):
+            both = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+            a, b = both[:n - apart], both[apart:]
+            found = np.unpackbits((ngram_join.bit_map(a) ^ ngram_join.bit_map(b)).view(np.uint8)).sum()
+            assert found <= 2 * apart
