@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.catalog import fixed_values as V
@@ -24,6 +24,9 @@ from codesieve.functions.text import nonblank_lines, severity_score
 
 StructuralRule = Callable[[Column], Column]
 
+# Rules of one expression that a match meets together; a multiple of eight, as files pack numbers by eights.
+RULE_BLOCK = 512
+
 
 # ------------------------------------------------------------------ regex operators
 def regex_scan(texts: DataFrame, specs: list[RegexSpec], key: list[str], text: str = "text",
@@ -61,6 +64,10 @@ def rule_table_scan(texts: DataFrame, rules: DataFrame, key: list[str], text: st
 
     An expression that several rules share runs once; its matches find their rules in a join. So the plan grows with the
     distinct expressions, not with the rules, and only the result with both.
+
+    The result has a row for each match and rule of its expression. Rules come in blocks: a task takes a block and goes
+    through its matches, each with the rules of the block in the same order, so the rows are never shuffled, a written result
+    takes a small part of a byte a row, and rules of one expression are shared among tasks.
     """
     owners = rules.filter(F.col("enabled") & (F.size("regexes") > 0)).select(
         F.col("rule_id").alias("owner_id"), *[F.col(k if k != "detail" else "description").alias(k) for k in S.RULE_ATTRIBUTES],
@@ -69,8 +76,17 @@ def rule_table_scan(texts: DataFrame, rules: DataFrame, key: list[str], text: st
     if not specs:  # none compiles: no match, with the columns of one
         specs = [RegexSpec("", 0, "(?!)")]
     found = regex_scan(texts, specs, key, text, indexed=True).drop("owner_id", "pattern_no")
-    return found.join(owners, "pattern").select(*key, "owner_id", *S.RULE_ATTRIBUTES, "pattern_no", "match_no", "line_number",
-                                                "column_number", "matched_text", "pattern")
+    # one row per expression, which the plan holds anyway
+    counts = owners.groupBy("pattern").agg(F.ceil(F.count("*") / RULE_BLOCK).cast("int").alias("_blocks"))
+    spread = found.join(F.broadcast(counts), "pattern").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    values = ["owner_id", *S.RULE_ATTRIBUTES, "pattern_no"]
+    place = F.row_number().over(Window.partitionBy("pattern").orderBy(*values))  # by all values: the same blocks if a task runs again
+    blocks = owners.withColumn("_block", F.floor((place - 1) / RULE_BLOCK).cast("int")) \
+        .groupBy("pattern", "_block").agg(F.collect_list(F.struct(*values)).alias("_rules"))
+    # a merge join goes through the matches by block; joined by hash, they would meet all blocks one after another
+    return spread.join(blocks.hint("merge"), ["pattern", "_block"]).withColumn("_rule", F.explode("_rules")).select(
+        *key, "_rule.owner_id", *[f"_rule.{k}" for k in S.RULE_ATTRIBUTES], "_rule.pattern_no", "match_no", "line_number", "column_number",
+        "matched_text", "pattern")
 
 
 def catalogue_scan(files: DataFrame, key: list[str], patterns: DataFrame | None = None, **kwargs) -> DataFrame:

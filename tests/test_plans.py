@@ -388,3 +388,23 @@ def test_rules_that_share_an_expression_run_it_once(spark):
     many = spark.range(1000).select(F.lit(r"x\s+y").alias("pattern"))
     assert len(specs.expression_specs(many)) == 1
     assert scan.rule_table_scan(texts, rules.filter("rule_id = 'C'"), ["path"], "content").count() == 0
+
+
+def test_rules_of_one_expression_come_in_blocks(spark, tmp_path):
+    """Every match meets every rule once, and written rows repeat few rules in one order: they take little room."""
+    constants = {"title": "t", "description": "d", "severity": "low", "confidence": "high", "owasp_category": "A04", "rule_type": "regex"}
+    rules = spark.range(20_000).select(
+        F.concat(F.lit("R"), "id").alias("rule_id"), *[F.lit(v).alias(k) for k, v in constants.items()],
+        F.lit(True).alias("enabled"), F.array(F.lit(r"x\s+y"), F.when(F.col("id") < 1300, "z$").otherwise("(")).alias("regexes"))
+    texts = spark.range(200).select(F.concat(F.lit("p"), "id").alias("path"), F.when(F.col("id") == 7, "x  y\nz\nz").otherwise("x y").alias("content"))
+    found = scan.rule_table_scan(texts, rules, ["path"], "content")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables too large to be sent around
+    try:
+        found.select("path", "owner_id", "pattern_no", "match_no", "line_number").write.parquet(str(tmp_path / "found"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    written = spark.read.parquet(str(tmp_path / "found"))
+    by_path = written.groupBy("path", "pattern_no", "match_no", "line_number").agg(F.count("*").alias("n"), F.countDistinct("owner_id").alias("rules"))
+    assert {(r.path, r.pattern_no, r.match_no, r.line_number, r.n, r.rules) for r in by_path.collect()} == {
+        ("p7", 1, 1, 2, 1300, 1300), ("p7", 1, 2, 3, 1300, 1300), *((f"p{k}", 0, 1, 1, 20_000, 20_000) for k in range(200))}
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 0.5 * 200 * 20_000
