@@ -25,7 +25,10 @@ from codesieve.functions.text import nonblank_lines, severity_score
 StructuralRule = Callable[[Column], Column]
 
 # Rules of one expression that a match meets together; a multiple of eight, as files pack numbers by eights.
-RULE_BLOCK = 512
+RULE_BLOCK = 1024
+
+# Shares of the work, at least, for each task of a join of matches with their rules.
+TASK_SHARES = 4
 
 
 # ------------------------------------------------------------------ regex operators
@@ -66,8 +69,8 @@ def rule_table_scan(texts: DataFrame, rules: DataFrame, key: list[str], text: st
     distinct expressions, not with the rules, and only the result with both.
 
     The result has a row for each match and rule of its expression. Rules come in blocks: a task takes a block and goes
-    through its matches, each with the rules of the block in the same order, so the rows are never shuffled, a written result
-    takes a small part of a byte a row, and rules of one expression are shared among tasks.
+    through its matches, each with the rules of the block in the same order, so the rows are never shuffled and a written result
+    takes a small part of a byte a row. An expression of few rules is shared among tasks by the key of its matches.
     """
     owners = rules.filter(F.col("enabled") & (F.size("regexes") > 0)).select(
         F.col("rule_id").alias("owner_id"), *[F.col(k if k != "detail" else "description").alias(k) for k in S.RULE_ATTRIBUTES],
@@ -76,15 +79,21 @@ def rule_table_scan(texts: DataFrame, rules: DataFrame, key: list[str], text: st
     if not specs:  # none compiles: no match, with the columns of one
         specs = [RegexSpec("", 0, "(?!)")]
     found = regex_scan(texts, specs, key, text, indexed=True).drop("owner_id", "pattern_no")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = ["pattern", "_block", "_part"]
     # one row per expression, which the plan holds anyway
-    counts = owners.groupBy("pattern").agg(F.ceil(F.count("*") / RULE_BLOCK).cast("int").alias("_blocks"))
-    spread = found.join(F.broadcast(counts), "pattern").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    counts = owners.groupBy("pattern").agg(F.ceil(F.count("*") / RULE_BLOCK).cast("int").alias("_blocks")) \
+        .withColumn("_parts", F.ceil(F.lit(-(-TASK_SHARES * tasks // len(specs))) / F.col("_blocks")).cast("int"))
+    spread = found.join(F.broadcast(counts), "pattern").withColumn("_part", F.pmod(F.xxhash64(*key), F.col("_parts")).cast("int")) \
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).repartition(tasks, *share)
     values = ["owner_id", *S.RULE_ATTRIBUTES, "pattern_no"]
     place = F.row_number().over(Window.partitionBy("pattern").orderBy(*values))  # by all values: the same blocks if a task runs again
     blocks = owners.withColumn("_block", F.floor((place - 1) / RULE_BLOCK).cast("int")) \
-        .groupBy("pattern", "_block").agg(F.collect_list(F.struct(*values)).alias("_rules"))
+        .groupBy("pattern", "_block").agg(F.collect_list(F.struct(*values)).alias("_rules")) \
+        .join(F.broadcast(counts.select("pattern", "_parts")), "pattern") \
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").repartition(tasks, *share)
     # a merge join goes through the matches by block; joined by hash, they would meet all blocks one after another
-    return spread.join(blocks.hint("merge"), ["pattern", "_block"]).withColumn("_rule", F.explode("_rules")).select(
+    return spread.join(blocks.hint("merge"), share).withColumn("_rule", F.explode("_rules")).select(
         *key, "_rule.owner_id", *[f"_rule.{k}" for k in S.RULE_ATTRIBUTES], "_rule.pattern_no", "match_no", "line_number", "column_number",
         "matched_text", "pattern")
 
